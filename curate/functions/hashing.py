@@ -23,7 +23,3 @@ def draw_int(*parts, hex_digits: int = 8) -> Column:
     """Non-negative BIGINT from the first hex digits of the digest (15 digits = 60 bits)."""
     return F.conv(F.substring(draw_key(*parts), 1, hex_digits), 16, 10).cast("bigint")
 
-
-def key_bucket(key: Column) -> Column:
-    """First 16 bits of a hex digest as an INT; a monotone prefix of the digest's order."""
-    return F.conv(F.substring(key, 1, 4), 16, 10).cast("int")

@@ -18,22 +18,28 @@ from curate.operators.running import running
 SYSTEM = ("system",)
 
 
-def class_scores(preds: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
+def class_scores(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3) -> DataFrame:
     """Long form: one row per class with its score and whether it is the true class."""
-    return preds.select(*by, "true_label", F.posexplode("probs").alias("cls", "score")).select(
-        *by, "cls", "score", (F.col("true_label") == F.col("cls")).alias("positive")
-    )
+    rows = [
+        F.struct(
+            F.lit(c).alias("cls"), F.col("probs")[c].alias("score"), (F.col("true_label") == c).alias("positive")
+        )
+        for c in range(n_classes)
+    ]
+    return preds.select(*by, F.inline(F.array(*rows)))
 
 
-def _score_digits(score: Column) -> tuple[Column, Column]:
-    """Two 16-bit digits that grow with the score.
+def _score_spread(score: Column) -> Column:
+    """Grows with the score and gives room to both ends, where confident models crowd.
 
-    The fourth root spreads the tiny probabilities a confident model gives; near 1 the spacing
-    of doubles itself bounds a leaf. Scores outside [0, 1] share an end leaf and stay in order.
+    Scores outside [0, 1] share an end and stay in order.
     """
-    spread = F.sqrt(F.sqrt(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))) * 65536.0
-    high = F.floor(spread)
-    return high, F.floor((spread - high) * 65536.0)
+    s = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+
+    def half(x: Column) -> Column:
+        return F.sqrt(F.sqrt(2.0 * x)) / 2.0
+
+    return F.when(s < 0.5, half(s)).otherwise(1.0 - half(1.0 - s))
 
 
 def running_counts(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,18 +47,21 @@ def running_counts(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     grouped = scores.groupBy(*keys, "score").agg(
         F.count_if(F.col("positive")).alias("p"), F.count_if(~F.col("positive")).alias("q")
     )
-    high, low = _score_digits(F.col("score"))
-    digits = grouped.withColumns({"__d1": high, "__d2": low})
     counts = running(
-        digits, keys, ["__d1", "__d2"], [F.desc("score")], {"p": F.col("p"), "q": F.col("q")}, descending=True
+        grouped,
+        keys,
+        _score_spread(F.col("score")),
+        [F.desc("score")],
+        {"p": F.col("p"), "q": F.col("q")},
+        descending=True,
     )
     return counts.withColumnsRenamed(
         {"p_upto": "tp", "q_upto": "fp", "p_total": "positives", "q_total": "negatives"}
     )
 
 
-def _counts(preds: DataFrame, by: Sequence[str]) -> DataFrame:
-    return running_counts(class_scores(preds, by), [*by, "cls"])
+def _counts(preds: DataFrame, by: Sequence[str], n_classes: int = 3) -> DataFrame:
+    return running_counts(class_scores(preds, by, n_classes), [*by, "cls"])
 
 
 def class_areas(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3) -> DataFrame:
@@ -61,7 +70,7 @@ def class_areas(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3
     The ROC area is NULL where a class has no positives or no negatives; average precision is 0
     where it has no positives.
     """
-    counts = _counts(preds, by)
+    counts = _counts(preds, by, n_classes)
 
     def double(name: str) -> Column:
         return F.col(name).cast("double")

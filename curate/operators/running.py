@@ -1,10 +1,13 @@
 """Running totals and ranks that never put a whole group into one task.
 
 A plain ``sum() OVER (PARTITION BY group ORDER BY x)`` sorts each group in one task, so a class
-that holds a third of the table is one straggler. Here the order is cut into *digits*: columns
-that are a monotone prefix of the order, most significant first. Totals per digit path form a
-small tree; each node's offset is a window over its siblings only, and rows are sorted only
-inside their leaf. The result is exact and independent of partitioning.
+that holds a third of the table is one straggler. Here the order is first mapped to a *spread* in
+[0, 1) that grows with it, and the spread is cut into buckets. Bucket totals give each bucket its
+offset, and rows are sorted only inside their bucket. A bucket with too many rows is cut once
+more, so a concentration of values does not make a straggler either. The result is exact and does
+not depend on partitioning.
+
+Group columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -15,92 +18,89 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curate.functions.hashing import key_bucket
-
-
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe equality, keeping the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return left.join(renamed, same).drop(*[f"__{k}" for k in keys])
+BUCKETS = 1 << 12
+LEAF_ROWS = 200_000
 
 
 def running(
     df: DataFrame,
     group: Sequence[str],
-    digits: Sequence[str],
+    spread: Column,
     order: Sequence[Column],
     sums: Mapping[str, Column],
     descending: bool = False,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Add ``{name}_upto`` (inclusive running sum) and ``{name}_total`` (group sum) columns.
 
-    ``digits`` must be columns of ``df`` that agree with ``order``: a row with a smaller digit
-    path (larger, if ``descending``) comes first.
+    ``spread`` must not decrease along ``order`` (not increase, if ``descending``); how evenly it
+    spreads the rows decides the balance, never the result.
     """
-    group, digits, names = list(group), list(digits), list(sums)
-    source = df.withColumns({f"__v_{n}": c for n, c in sums.items()})
-
-    def sort(col):
-        return F.desc(col) if descending else F.asc(col)
-
-    totals = source.groupBy(*group, *digits).agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in names])
-    offsets = None
-    for level in range(1, len(digits) + 1):
-        path = group + digits[:level]
-        nodes = totals
-        if level < len(digits):
-            nodes = totals.groupBy(*path).agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in names])
-        siblings = Window.partitionBy(*path[:-1])
-        before = siblings.orderBy(sort(path[-1])).rowsBetween(Window.unboundedPreceding, -1)
-        cols = [*path]
-        for n in names:
-            cols.append(F.coalesce(F.sum(f"__v_{n}").over(before), F.lit(0)).alias(f"__o{level}_{n}"))
-            if level == 1:
-                cols.append(F.sum(f"__v_{n}").over(siblings).alias(f"{n}_total"))
-        nodes = nodes.select(*cols)
-        offsets = nodes if offsets is None else _attach(nodes, offsets, path[:-1])
-
-    leaf = Window.partitionBy(*group, *digits).orderBy(*order)
-    upto = leaf.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = source.withColumns({f"__l_{n}": F.sum(f"__v_{n}").over(upto) for n in names})
-    joined = _attach(local, offsets, group + digits)
-    summed = {
-        f"{n}_upto": reduce(
-            lambda a, b: a + b, [F.col(f"__o{lv}_{n}") for lv in range(1, len(digits) + 1)], F.col(f"__l_{n}")
-        )
+    group, names = list(group), list(sums)
+    node, leaf = [*group, "__d1"], [*group, "__d1", "__d2"]
+
+    def sums_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in names], F.count("*").alias("__n"))
+
+    def starts(keys: Sequence[str], tag: str) -> list[Column]:
+        place = F.desc(keys[-1]) if descending else F.asc(keys[-1])
+        before = Window.partitionBy(*keys[:-1]).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(f"__v_{n}").over(before), F.lit(0)).alias(f"__{tag}_{n}") for n in names]
+
+    scaled = spread * float(BUCKETS)
+    high = F.least(F.floor(scaled), F.lit(BUCKETS - 1))
+    low = F.greatest(F.least(F.floor((scaled - F.col("__d1")) * float(BUCKETS)), F.lit(BUCKETS - 1)), F.lit(0))
+    rows = df.withColumns({f"__v_{n}": c for n, c in sums.items()} | {"__d1": high})
+
+    nodes = sums_of(rows, node).select(
+        *node,
+        *starts(node, "node"),
+        *[F.sum(f"__v_{n}").over(Window.partitionBy(*group)).alias(f"{n}_total") for n in names],
+        (F.col("__n") > leaf_rows).alias("__crowded"),
+    )
+    # A group has at most BUCKETS nodes, whatever its number of rows: safe to broadcast.
+    rows = rows.join(F.broadcast(nodes), node).withColumn(
+        "__d2", F.when(F.col("__crowded"), low).otherwise(F.lit(0).cast("bigint"))
+    )
+    leaves = sums_of(rows.where("__crowded"), leaf).select(*leaf, *starts(leaf, "leaf"))
+
+    inside = Window.partitionBy(*leaf).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumns({f"__in_{n}": F.sum(f"__v_{n}").over(inside) for n in names})
+    upto = {
+        f"{n}_upto": F.col(f"__node_{n}") + F.coalesce(F.col(f"__leaf_{n}"), F.lit(0)) + F.col(f"__in_{n}")
         for n in names
     }
-    return joined.withColumns(summed).drop(*[c for c in joined.columns if c.startswith("__")])
+    keep = [*df.columns, *upto, *[f"{n}_total" for n in names]]
+    return local.join(leaves, leaf, "left").withColumns(upto).select(*keep)
 
 
 def rank_by_key(
-    df: DataFrame, group: Sequence[str], key: str, tie: Sequence[str] = (), out: str = "rank"
+    df: DataFrame, group: Sequence[str], key: str, tie: Sequence[str] = (), out: str = "rank",
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """1-based position inside the group in the order of a hex digest column, plus group size.
+    """1-based position inside the group in the order of a hex digest column, and the group size.
 
-    Adds ``{out}`` and ``{out}_size`` (both BIGINT).
+    Adds ``{out}`` and ``{out}_size``, both BIGINT.
     """
-    bucketed = df.withColumn("__bucket", key_bucket(F.col(key)))
-    return _ranked(bucketed, group, ["__bucket"], [F.col(key), *[F.col(t) for t in tie]], out)
+    spread = F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return _ranked(df, group, spread, [F.col(key), *[F.col(t) for t in tie]], out, leaf_rows)
 
 
 def rank_by_number(
-    df: DataFrame, group: Sequence[str], number: str, tie: Sequence[str] = (), out: str = "rank"
+    df: DataFrame, group: Sequence[str], number: str, tie: Sequence[str] = (), out: str = "rank",
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """Like :func:`rank_by_key` for an order that starts with a non-negative BIGINT column.
+    """Like :func:`rank_by_key` for an order that starts with an integer column.
 
-    The number is cut into 16-bit digits, so a leaf spans at most 65,536 consecutive numbers
-    and a parent has at most 65,536 children.
+    The spread is the place of the number between the smallest and the largest one.
     """
-    digit_cols = {
-        "__d1": F.shiftright(number, 32),
-        "__d2": F.shiftright(number, 16).bitwiseAND(F.lit(0xFFFF)),
-    }
-    split = df.withColumns(digit_cols)
-    return _ranked(split, group, list(digit_cols), [F.col(number), *[F.col(t) for t in tie]], out)
+    low = df.agg(F.min(number).cast("double")).scalar()
+    high = df.agg(F.max(number).cast("double")).scalar()
+    spread = (F.col(number).cast("double") - low) / (high - low + 1.0)
+    return _ranked(df, group, spread, [F.col(number), *[F.col(t) for t in tie]], out, leaf_rows)
 
 
-def _ranked(df, group, digits, order, out):
-    ranked = running(df, group, digits, order, {out: F.lit(1).cast("bigint")})
+def _ranked(df, group, spread, order, out, leaf_rows):
+    one = {out: F.lit(1).cast("bigint")}
+    ranked = running(df, group, spread, order, one, leaf_rows=leaf_rows)
     return ranked.withColumnsRenamed({f"{out}_upto": out, f"{out}_total": f"{out}_size"})

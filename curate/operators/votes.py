@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from curate.functions.prob import adjust_priors, arg_max, one_hot
 
 TIE_DIGITS = 12
-"""Mean probabilities are rounded to this many digits before the arg-max, so an exact tie goes to
-the lowest class whatever order the shuffle adds them in."""
+"""Digits kept of mean probabilities. A shuffle adds doubles in any order, so without this equal
+means could differ in the last bit, which would break ties in labels and curves at random."""
 
 
 def with_adjusted_priors(
@@ -78,7 +78,8 @@ def ensemble(
         return F.struct(F.lit(name).alias("system"), pred.alias("pred_label"), probs.alias("probs"))
 
     winner = arg_max(F.col("votes"))
-    rows = F.array(system(hard_name, winner, one_hot(winner, n_classes)), system(soft_name, arg_max(soft), soft))
+    leader = arg_max(F.array(*[F.round(soft[c], TIE_DIGITS) for c in range(n_classes)]))
+    rows = F.array(system(hard_name, winner, one_hot(winner, n_classes)), system(soft_name, leader, soft))
     return checked.select("row_id", "true_label", F.inline(rows)).select(
         "system", "row_id", "true_label", "pred_label", "probs"
     )

@@ -9,8 +9,8 @@ from curate.operators import curves, metrics, significance, votes
 from curate.workload.registry import query, rounded
 from curate.workload.views import N_CLASSES, logits, predictions
 
-TARGET = (0.05, 0.80, 0.15)
-TRAIN = (0.30, 0.40, 0.30)
+TARGET = (1001 / 17348, 13433 / 17348, 2914 / 17348)
+TRAIN = (0.31, 0.42, 0.27)
 
 
 def _long(df):
@@ -86,7 +86,7 @@ def prior_correction(spark, sf_dir):
     "prior_correction_uniform",
     """
     WITH scaled AS (SELECT system, row_id, cls,
-                           prob * (CASE cls WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 0.80 ELSE 0.15 END / (1.0::DOUBLE / 3)) AS s
+                           prob * (CASE cls WHEN 0 THEN 1001::DOUBLE WHEN 1 THEN 13433 ELSE 2914 END / 17348 / (1.0::DOUBLE / 3)) AS s
                     FROM pred_long)
     SELECT system, row_id, cls::INTEGER AS cls,
            round(s / sum(s) OVER (PARTITION BY system, row_id), 9) AS prob
@@ -273,7 +273,7 @@ _SOFT = """
 @query(
     "soft_voting",
     f"""WITH {_SOFT}
-    SELECT row_id, cls::INTEGER AS cls, round(prob, 9) AS prob,
+    SELECT row_id, cls::INTEGER AS cls, round(prob, 6) AS prob,
            (first_value(cls) OVER (PARTITION BY row_id ORDER BY prob DESC, cls))::INTEGER AS pred_label
     FROM mean
     """,
@@ -281,7 +281,7 @@ _SOFT = """
 )
 def soft_voting(spark, sf_dir):
     both = votes.ensemble(predictions(spark, sf_dir)).where(F.col("system") == "soft_voting")
-    return rounded(both.select("row_id", "pred_label", F.posexplode("probs").alias("cls", "prob")))
+    return rounded(both.select("row_id", "pred_label", F.posexplode("probs").alias("cls", "prob")), 6)
 
 
 @query(
@@ -293,21 +293,21 @@ def soft_voting(spark, sf_dir):
     {_HARD.format(source='relabelled')}, {_SOFT},
     soft_scaled AS (SELECT m.row_id, m.true_label, m.cls, m.prob * (p.target / greatest(p.train, 1e-8)) AS s
                     FROM mean m JOIN priors p ON m.cls = p.cls),
-    soft AS (SELECT *, s / sum(s) OVER (PARTITION BY row_id) AS prob,
-                    first_value(cls) OVER (PARTITION BY row_id ORDER BY s DESC, cls) AS pred_label
-             FROM soft_scaled)
+    soft_prob AS (SELECT *, s / sum(s) OVER (PARTITION BY row_id) AS prob FROM soft_scaled),
+    soft AS (SELECT *, first_value(cls) OVER (PARTITION BY row_id ORDER BY round(prob, 12) DESC, cls) AS pred_label
+             FROM soft_prob)
     SELECT 'hard_voting' AS system, h.row_id, h.true_label, h.pred_label::INTEGER AS pred_label, c.cls::INTEGER AS cls,
            CASE WHEN h.pred_label = c.cls THEN 1.0::DOUBLE ELSE 0.0 END AS prob
     FROM hard h, (VALUES (0), (1), (2)) c(cls)
     UNION ALL
-    SELECT 'soft_voting', row_id, true_label, pred_label::INTEGER, cls::INTEGER, round(prob, 9) FROM soft
+    SELECT 'soft_voting', row_id, true_label, pred_label::INTEGER, cls::INTEGER, round(prob, 6) FROM soft
     """,
     "pred_long",
 )
 def ensemble_with_priors(spark, sf_dir):
     both = votes.ensemble(predictions(spark, sf_dir), target=TARGET, train=TRAIN)
     return rounded(
-        both.select("system", "row_id", "true_label", "pred_label", F.posexplode("probs").alias("cls", "prob"))
+        both.select("system", "row_id", "true_label", "pred_label", F.posexplode("probs").alias("cls", "prob")), 6
     )
 
 

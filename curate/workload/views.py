@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------- scores
 def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(system, row_id, event_type, true_label, raws): integer raw score per class."""
+    """(system, row_id, event_type, true_label, raw_0, raw_1, raw_2): raw score per class."""
     event = F.col("event_id")
     draw = draw_int(F.lit("y:"), event) % 1000
     truth = F.when(draw < 58, 0).when(draw < 832, 1).otherwise(2)
@@ -39,22 +39,24 @@ def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         + F.when(F.col("true_label") == c, F.col("boost")).otherwise(0)
         for c in range(N_CLASSES)
     ]
-    return long.select("system", "row_id", "event_type", "true_label", F.array(*raws).alias("raws"))
+    return long.select(
+        "system", "row_id", "event_type", "true_label", *[r.cast("double").alias(f"raw_{c}") for c, r in enumerate(raws)]
+    )
 
 
 def predictions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """(system, row_id, true_label, pred_label, probs) of three systems."""
-    total = sum(F.col("raws")[c] for c in range(N_CLASSES))
-    probs = F.array(*[F.col("raws")[c].cast("double") / total.cast("double") for c in range(N_CLASSES)])
-    scored = raw_scores(spark, sf_dir).select("system", "row_id", "true_label", *extra, probs.alias("probs"))
-    return scored.withColumn("pred_label", arg_max(F.col("probs"))).select(
-        "system", "row_id", "true_label", "pred_label", "probs", *extra
+    raws = [F.col(f"raw_{c}") for c in range(N_CLASSES)]
+    probs = F.array(*[r / sum(raws[1:], raws[0]) for r in raws])
+    labelled = raw_scores(spark, sf_dir).select("system", "row_id", "true_label", *extra, probs.alias("probs"))
+    return labelled.select(
+        "system", "row_id", "true_label", arg_max(F.col("probs")).alias("pred_label"), "probs", *extra
     )
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(system, row_id, true_label, logits): logs of the raw scores."""
-    logs = F.array(*[F.log(F.col("raws")[c].cast("double")) for c in range(N_CLASSES)])
+    logs = F.array(*[F.log(f"raw_{c}") for c in range(N_CLASSES)])
     return raw_scores(spark, sf_dir).select("system", "row_id", "true_label", logs.alias("logits"))
 
 
