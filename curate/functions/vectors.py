@@ -1,4 +1,8 @@
-"""Dense vector columns (``ARRAY<FLOAT>`` or ``ARRAY<DOUBLE>``), computed in DOUBLE."""
+"""Dense vector columns (``ARRAY<FLOAT>`` or ``ARRAY<DOUBLE>``), computed in DOUBLE.
+
+An outer value used inside a lambda is evaluated for every element, because the optimizer inlines
+it there. Such values are passed as a repeated array instead, which is evaluated once per row.
+"""
 
 from __future__ import annotations
 
@@ -16,17 +20,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def unit(vec: Column) -> Column:
-    """L2-normalised vector; the norm is floored so a zero vector stays zero."""
+def norm(vec: Column) -> Column:
+    """L2 norm, floored so that a zero vector can be divided by it."""
     wide = as_double(vec)
-    norm = F.greatest(F.sqrt(dot(wide, wide)), F.lit(NORM_FLOOR))
-    return F.transform(wide, lambda x: x / norm)
+    return F.greatest(F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x)), F.lit(NORM_FLOOR))
+
+
+def unit(vec: Column) -> Column:
+    """L2-normalised vector; a zero vector stays zero."""
+    return F.zip_with(as_double(vec), F.array_repeat(norm(vec), F.size(vec)), lambda x, n: x / n)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(unit(a), unit(b))
+    return dot(as_double(a), as_double(b)) / (norm(a) * norm(b))
 
 
-def best_match(vec: Column, refs: Column) -> Column:
-    """Largest dot product of one unit vector with an array of unit vectors."""
-    return F.array_max(F.transform(refs, lambda r: dot(vec, r)))
+def best_match(vec: Column, unit_refs: Column) -> Column:
+    """Largest cosine similarity of a vector with an array of unit vectors."""
+    pairs = F.zip_with(
+        unit_refs, F.array_repeat(as_double(vec), F.size(unit_refs)), lambda r, v: dot(v, r)
+    )
+    return F.array_max(pairs) / norm(vec)
