@@ -14,13 +14,14 @@ from curate.constants import (
     MIN_CHARS,
     REFUSAL_PHRASES,
 )
+from curate.functions.once import with_once
 from curate.functions.text import LINE_BREAK, any_phrase, clean_line, strip, text_key
 
 
 def response_lines(responses: DataFrame, keys: Sequence[str], response: str = "response") -> DataFrame:
     """One row per non-blank line of a model response, with its position."""
     lines = responses.select(*keys, F.posexplode(F.split(response, LINE_BREAK)).alias("pos", "line"))
-    return lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
+    return with_once(lines, "line", strip(F.col("line"))).where("line <> ''")
 
 
 def reject_reason(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
@@ -74,7 +75,7 @@ def filter_candidates(
     Equal texts are reduced to one before the anti-join, which gives the same rows and leaves no
     hot key to join on.
     """
-    cleaned = candidates.withColumn("text", clean_line(F.col(raw)))
+    cleaned = with_once(candidates, "text", clean_line(F.col(raw)))
     valid = cleaned.where(is_valid(F.col("text"), min_chars, max_chars))
     unique = first_of_key(valid, text_key(F.col("text")), order)
     return unique if seen is None else without_seen(unique, seen)

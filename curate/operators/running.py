@@ -94,9 +94,8 @@ def rank_by_number(
 
     The spread is the place of the number between the smallest and the largest one.
     """
-    low = df.agg(F.min(number).cast("double")).scalar()
-    high = df.agg(F.max(number).cast("double")).scalar()
-    spread = (F.col(number).cast("double") - low) / (high - low + 1.0)
+    ends = df.agg(F.struct(F.min(number).cast("double").alias("lo"), F.max(number).cast("double").alias("hi"))).scalar()
+    spread = (F.col(number).cast("double") - ends["lo"]) / (ends["hi"] - ends["lo"] + 1.0)
     return _ranked(df, group, spread, [F.col(number), *[F.col(t) for t in tie]], out, leaf_rows)
 
 

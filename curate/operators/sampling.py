@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curate.constants import MIN_SEEDS, SEED, SEEDS_PER_CLUSTER
 from curate.functions.hashing import draw_int, draw_key
+from curate.functions.once import with_once
 from curate.functions.text import words
 from curate.operators.running import rank_by_number
 
@@ -75,12 +76,11 @@ def numbered_rows(needs: DataFrame, keys: Sequence[str], n: str = "n", out: str
     return spread.select(*keys, F.explode(F.sequence(first, last)).alias(out))
 
 
-def perturb(text: Column, *draw: Column | str | int) -> Column:
+def perturb(w: Column, *draw: Column | str | int) -> Column:
     """Drop an inner word, double a word or swap two neighbours; short texts are only rejoined.
 
-    ``draw`` seeds the choice of action and position.
+    ``w`` holds the words; ``draw`` seeds the choice of action and position.
     """
-    w = words(text)
     n = F.size(w)
     action = draw_int(*draw, F.lit(":action")) % 3
     pick = draw_int(*draw, F.lit(":index"))
@@ -98,19 +98,24 @@ def perturb(text: Column, *draw: Column | str | int) -> Column:
     return F.array_join(F.when(n >= 4, changed).otherwise(w), " ")
 
 
-def perturbed_oversample(
-    pool: DataFrame, needs: DataFrame, seed: int, row_id: str = "row_id"
-) -> DataFrame:
+def numbered_pool(pool: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``(label, pick, text)``: the rows of each class numbered from 1 in key order."""
+    ranked = rank_by_number(pool.select("label", row_id, "text"), ["label"], row_id, out="pick")
+    return ranked.select("label", "pick", "text")
+
+
+def perturbed_oversample(pool: DataFrame, needs: DataFrame, seed: int) -> DataFrame:
     """``(label, i, text)``: exactly ``n`` perturbed texts per row ``(label, n)`` of ``needs``.
 
-    Pool rows are numbered in key order; row ``i`` looks up a seeded number.
+    ``pool`` comes from :func:`numbered_pool`; row ``i`` looks up a seeded number.
     """
-    numbered = rank_by_number(pool.select("label", row_id, "text"), ["label"], row_id, out="__pick")
-    sizes = pool.groupBy("label").agg(F.count("*").alias("__size"))
+    sizes = pool.groupBy("label").agg(F.max("pick").alias("__size"))
     wanted = needs.select("label", "n").join(sizes, "label")
     rows = numbered_rows(wanted, ["label", "__size"])
     picked = rows.withColumn(
-        "__pick", draw_int(seed, F.lit(":pick:"), F.col("label"), F.lit(":"), F.col("i"), hex_digits=15) % F.col("__size") + 1
+        "pick", draw_int(seed, F.lit(":pick:"), F.col("label"), F.lit(":"), F.col("i"), hex_digits=15) % F.col("__size") + 1
     )
-    texts = picked.join(numbered.select("label", "__pick", "text"), ["label", "__pick"])
-    return texts.select("label", "i", perturb(F.col("text"), seed, F.lit(":"), F.col("label"), F.lit(":"), F.col("i")).alias("text"))
+    texts = picked.join(pool, ["label", "pick"])
+    split = with_once(texts, "__words", words(F.col("text")))
+    draw = (seed, F.lit(":"), F.col("label"), F.lit(":"), F.col("i"))
+    return split.select("label", "i", perturb(F.col("__words"), *draw).alias("text"))

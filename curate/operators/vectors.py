@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curate.functions.once import with_once
 from curate.functions.vectors import as_double, best_match, dot, norm, unit
 
 MAX_BROADCAST_REFS = 100_000
@@ -48,7 +49,7 @@ def best_similarity(
         ),
     )
     joined = candidates.join(F.broadcast(lists), list(by), "left")
-    return joined.withColumn(out, best_match(F.col(vec), F.col("__refs"))).drop("__refs")
+    return with_once(joined, out, best_match(F.col(vec), F.col("__refs"))).drop("__refs")
 
 
 def best_similarity_in_blocks(

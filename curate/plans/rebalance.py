@@ -16,6 +16,7 @@ from curate.operators.candidates import filter_candidates, first_of_key
 from curate.operators.running import rank_by_number
 from curate.operators.sampling import (
     cluster_quotas,
+    numbered_pool,
     numbered_rows,
     perturbed_oversample,
     stratified_seeds,
@@ -144,24 +145,34 @@ def accepted_candidates(gated: DataFrame, targets: DataFrame) -> DataFrame:
 
     Leftovers are taken round by round over the clusters, as a top-up loop does.
     """
-    placed = capped(gated)
+    placed = stored(capped(gated), "placed")
     main = placed.where("place <= quota")
-    used = main.groupBy("label").agg(F.count("*").alias("n"))
-    short = targets.join(used, "label", "left").select(
-        "label", (F.col("target") - F.coalesce("n", F.lit(0))).alias("short")
-    )
-    left = placed.where("place > quota").join(F.broadcast(short.where("short > 0")), "label")
+    first = main.select("label", F.lit("candidate").alias("origin"), "text")
+    short = _shortfall(targets, main)
+    if short is None:
+        return first
+    short = short.withColumnRenamed("n", "short")
+    left = placed.where("place > quota").join(F.broadcast(short), "label")
     topped = rank_by_number(left, ["label"], "round", ["cluster_pos", "line"], "turn").where("turn <= short")
-    return main.select("label", F.lit("candidate").alias("origin"), "text").unionByName(
-        topped.select("label", F.lit("top_up").alias("origin"), "text")
-    )
+    return first.unionByName(topped.select("label", F.lit("top_up").alias("origin"), "text"))
+
+
+def _per_class(df: DataFrame) -> DataFrame | None:
+    """A table of one row per class as constants, so that later stages do not carry its plan.
+
+    None if it has no rows.
+    """
+    values = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in df.dtypes]) for r in df.collect()]
+    return df.sparkSession.range(1).select(F.inline(F.array(*values))) if values else None
 
 
-def _shortfall(targets: DataFrame, rows: DataFrame) -> DataFrame:
+def _shortfall(targets: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """``(label, n)`` for the classes that have fewer rows than their target, or None."""
     have = rows.groupBy("label").agg(F.count("*").alias("have"))
-    return targets.join(have, "label", "left").select(
-        "label", (F.col("target") - F.coalesce("have", F.lit(0))).alias("n")
+    short = targets.join(have, "label", "left").select(
+        "label", (F.col("target") - F.coalesce("have", F.lit(0))).cast("bigint").alias("n")
     )
+    return _per_class(short.where("n > 0"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -182,24 +193,34 @@ def synthetic_rows(
 ) -> DataFrame:
     """``(label, origin, text)`` with exactly ``target`` rows per class of ``targets``.
 
+    ``targets`` should be a small stored or constant table, as it is read by every stage.
+
     Accepted candidates come first, perturbed real texts fill what is missing; repeats of a class
-    are dropped and the gap patched with perturbed texts that may repeat.
+    are dropped and the gap patched with perturbed texts that may repeat. Each stage is stored,
+    and the fill runs only if a class is short.
     """
-    mine = real.join(F.broadcast(targets.select("label")), "label", "left_semi")
     by = ["label", "cluster_name"]
-    quotas = cluster_quotas(mine, targets, k)
+    mine = real.join(F.broadcast(targets.select("label")), "label", "left_semi")
+    quotas = stored(cluster_quotas(mine, targets, k), "quotas")
     seeds = stratified_seeds(mine, by, per_group=seeds_per_cluster, seed=seed)
     gated = stored(gated_candidates(candidates, real, quotas, seeds, threshold), "gated")
     accepted = stored(accepted_candidates(gated, targets), "accepted")
 
-    fill = perturbed_oversample(mine, _shortfall(targets, accepted), seed + C.FILL_SEED_SHIFT)
+    short = _shortfall(targets, accepted)
+    if short is None:
+        return accepted
+    pool = stored(numbered_pool(mine.join(F.broadcast(short.select("label")), "label", "left_semi")), "pool")
+    fill = perturbed_oversample(pool, short, seed + C.FILL_SEED_SHIFT)
     key = F.concat_ws(":", F.col("label").cast("string"), text_key(F.col("text"), trim=True))
     taken = accepted.select(key.alias("__taken"))
     fresh = first_of_key(fill, key, ["i"]).withColumn("__taken", key).join(taken, "__taken", "left_anti")
     filled = stored(
         accepted.unionByName(fresh.select("label", F.lit("fill").alias("origin"), "text")), "filled"
     )
-    patch = perturbed_oversample(mine, _shortfall(targets, filled), seed + C.PATCH_SEED_SHIFT)
+    short = _shortfall(targets, filled)
+    if short is None:
+        return filled
+    patch = perturbed_oversample(pool, short, seed + C.PATCH_SEED_SHIFT)
     return filled.unionByName(patch.select("label", F.lit("patch").alias("origin"), "text"))
 
 
@@ -218,11 +239,13 @@ def augment(
     ``real`` is ``(row_id, text, label, cluster_name[, embedding])``. Columns out:
     ``row_id`` (NULL for synthetic rows), ``text, label, label_name, is_synthetic, origin``.
     """
-    targets = rebalance_targets(real, balance, labels, n_classes)
-    made = synthetic_rows(real, candidates, targets, threshold, k, seed)
+    targets = _per_class(rebalance_targets(real, balance, labels, n_classes))
     kept = real.select(
         "row_id", "text", "label", F.lit(False).alias("is_synthetic"), F.lit("real").alias("origin")
     )
+    if targets is None:
+        return kept.withColumn("label_name", label_name(F.col("label")))
+    made = synthetic_rows(real, candidates, targets, threshold, k, seed)
     added = made.select(
         F.lit(None).cast("bigint").alias("row_id"), "text", "label", F.lit(True).alias("is_synthetic"), "origin"
     )

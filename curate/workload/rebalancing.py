@@ -22,7 +22,8 @@ from curate.workload.views import (
 )
 
 THRESHOLD = 0.45
-STRICT = 0.75
+LOOSE = 0.15
+STRICT = 0.25
 
 REASON = """CASE WHEN text = '' THEN 'empty' WHEN length(text) NOT BETWEEN 5 AND 280 THEN 'length'
     WHEN regexp_matches(lower(text), '(i (cannot|can''t|won''t)|this (is|content)|as an ai|i apologize|please note|disclaimer|warning:)') THEN 'disclaimer'
@@ -361,7 +362,7 @@ def _sql_perturbed(name: str, needs: str, seed: int) -> str:
 def perturbed_oversample(spark, sf_dir):
     rows = corpus(spark, sf_dir)
     needs = rows.groupBy("label").agg(F.count("*").alias("n"))
-    return sampling.perturbed_oversample(rows, needs, 7)
+    return sampling.perturbed_oversample(sampling.numbered_pool(rows), needs, 7)
 
 
 _GATED = f"""
@@ -384,7 +385,7 @@ _GATED = f"""
 
 @query(
     "gated_candidates",
-    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)}, {_GATED.replace('{threshold}', str(THRESHOLD))}
+    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)}, {_GATED.replace('{threshold}', str(LOOSE))}
     SELECT label, cluster_name, round, line, text FROM gated
     """,
     "corpus candidates",
@@ -400,12 +401,12 @@ def _gated(spark, sf_dir):
     quotas = sampling.cluster_quotas(mine, targets)
     seeds = sampling.stratified_seeds(mine, ["label", "cluster_name"])
     offered = rebalance_candidates(spark, sf_dir)
-    return rebalance.gated_candidates(offered, real, quotas, seeds, THRESHOLD)
+    return rebalance.gated_candidates(offered, real, quotas, seeds, LOOSE)
 
 
 @query(
     "capped_candidates",
-    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)}, {_GATED.replace('{threshold}', str(THRESHOLD))}
+    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)}, {_GATED.replace('{threshold}', str(LOOSE))}
     SELECT label, cluster_name, round, line, place, text FROM placed WHERE place <= quota
     """,
     "corpus candidates",
@@ -444,13 +445,13 @@ ONE_CLASS = MAJORITY.replace("label IN (0, 2)", "label = 2").replace("CASE label
 def augment_one_class(spark, sf_dir):
     """A strict gate, so that top-up, fill and patch all take part."""
     real = real_rows(spark, sf_dir)
-    targets = balance.rebalance_targets(real, labels=(2,))
+    targets = rebalance.stored(balance.rebalance_targets(real, labels=(2,)), "targets")
     return rebalance.synthetic_rows(real, rebalance_candidates(spark, sf_dir), targets, STRICT)
 
 
 @query(
     "augment",
-    f"""WITH {_sql_synthetic(THRESHOLD, MAJORITY)},
+    f"""WITH {_sql_synthetic(LOOSE, MAJORITY)},
     rows AS (SELECT row_id, label, 'real' AS origin, text, false AS is_synthetic FROM real
              UNION ALL SELECT NULL, label, origin, text, true FROM made)
     SELECT row_id, text, label, is_synthetic, origin,
@@ -459,7 +460,7 @@ def augment_one_class(spark, sf_dir):
     "corpus candidates",
 )
 def augment(spark, sf_dir):
-    return rebalance.augment(real_rows(spark, sf_dir), rebalance_candidates(spark, sf_dir), THRESHOLD)
+    return rebalance.augment(real_rows(spark, sf_dir), rebalance_candidates(spark, sf_dir), LOOSE)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curate.functions.hashing import draw_int
+from curate.functions.once import with_once
 from curate.functions.prob import arg_max
 
 SYSTEM_BOOST = {"A": 20, "B": 35, "C": 50}
@@ -84,7 +85,8 @@ def candidate_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     ).where(F.trim("line") != "")
-    kind = draw_int(F.lit("c:"), F.col("doc_id"), F.lit(":"), F.col("pos")) % 8
+    lines = with_once(lines, "kind", draw_int(F.lit("c:"), F.col("doc_id"), F.lit(":"), F.col("pos")) % 8)
+    kind = F.col("kind")
     raw = (
         F.when(kind == 0, F.concat(F.lit("12. "), "line"))
         .when(kind == 1, F.concat(F.lit("- "), "line"))
