@@ -12,7 +12,7 @@ Group columns must not be NULL.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,56 +22,92 @@ BUCKETS = 1 << 12
 LEAF_ROWS = 200_000
 
 
-def running(
+def _running(
     df: DataFrame,
     group: Sequence[str],
     spread: Column,
     order: Sequence[Column],
-    sums: Mapping[str, Column],
-    descending: bool = False,
-    leaf_rows: int = LEAF_ROWS,
-) -> DataFrame:
-    """Add ``{name}_upto`` (inclusive running sum) and ``{name}_total`` (group sum) columns.
-
-    ``spread`` must not decrease along ``order`` (not increase, if ``descending``); how evenly it
-    spreads the rows decides the balance, never the result.
-    """
-    group, names = list(group), list(sums)
+    values: Mapping[str, Column],
+    fold: Callable[[Column], Column],
+    combine: Callable[..., Column],
+    end: int,
+    descending: bool,
+    leaf_rows: int,
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the pieces of each running value, and the expressions that combine them."""
+    group, names = list(group), list(values)
     node, leaf = [*group, "__d1"], [*group, "__d1", "__d2"]
 
-    def sums_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return rows.groupBy(*keys).agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in names], F.count("*").alias("__n"))
+    def folded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[fold(F.col(f"__v_{n}")).alias(f"__v_{n}") for n in names], F.count("*").alias("__n"))
 
     def starts(keys: Sequence[str], tag: str) -> list[Column]:
         place = F.desc(keys[-1]) if descending else F.asc(keys[-1])
         before = Window.partitionBy(*keys[:-1]).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-        return [F.coalesce(F.sum(f"__v_{n}").over(before), F.lit(0)).alias(f"__{tag}_{n}") for n in names]
+        return [fold(F.col(f"__v_{n}")).over(before).alias(f"__{tag}_{n}") for n in names]
 
     scaled = spread * float(BUCKETS)
     high = F.least(F.floor(scaled), F.lit(BUCKETS - 1))
     low = F.greatest(F.least(F.floor((scaled - F.col("__d1")) * float(BUCKETS)), F.lit(BUCKETS - 1)), F.lit(0))
-    rows = df.withColumns({f"__v_{n}": c for n, c in sums.items()} | {"__d1": high})
+    rows = df.withColumns({f"__v_{n}": c for n, c in values.items()} | {"__d1": high})
 
-    nodes = sums_of(rows, node).select(
+    nodes = folded(rows, node).select(
         *node,
         *starts(node, "node"),
-        *[F.sum(f"__v_{n}").over(Window.partitionBy(*group)).alias(f"{n}_total") for n in names],
+        *[fold(F.col(f"__v_{n}")).over(Window.partitionBy(*group)).alias(f"{n}_total") for n in names],
         (F.col("__n") > leaf_rows).alias("__crowded"),
     )
     # A group has at most BUCKETS nodes, whatever its number of rows: safe to broadcast.
     rows = rows.join(F.broadcast(nodes), node).withColumn(
         "__d2", F.when(F.col("__crowded"), low).otherwise(F.lit(0).cast("bigint"))
     )
-    leaves = sums_of(rows.where("__crowded"), leaf).select(*leaf, *starts(leaf, "leaf"))
-
-    inside = Window.partitionBy(*leaf).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumns({f"__in_{n}": F.sum(f"__v_{n}").over(inside) for n in names})
-    upto = {
-        f"{n}_upto": F.col(f"__node_{n}") + F.coalesce(F.col(f"__leaf_{n}"), F.lit(0)) + F.col(f"__in_{n}")
-        for n in names
-    }
-    keep = [*df.columns, *upto, *[f"{n}_total" for n in names]]
-    return local.join(leaves, leaf, "left").withColumns(upto).select(*keep)
+    leaves = folded(rows.where("__crowded"), leaf).select(*leaf, *starts(leaf, "leaf"))
+
+    inside = Window.partitionBy(*leaf).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    local = rows.withColumns({f"__in_{n}": fold(F.col(f"__v_{n}")).over(inside) for n in names})
+    pieces = {n: combine(*[F.col(f"__{tag}_{n}") for tag in ("node", "leaf", "in")]) for n in names}
+    return local.join(leaves, leaf, "left"), pieces
+
+
+def running(
+    df: DataFrame,
+    group: Sequence[str],
+    spread: Column,
+    order: Sequence[Column],
+    sums: Mapping[str, Column],
+    descending: bool = False,
+    leaf_rows: int = LEAF_ROWS,
+) -> DataFrame:
+    """Add ``{name}_upto`` (inclusive running sum) and ``{name}_total`` (group sum) columns.
+
+    ``spread`` must not decrease along ``order`` (not increase, if ``descending``); how evenly it
+    spreads the rows decides the balance, never the result.
+    """
+
+    def add(*parts: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
+
+    rows, pieces = _running(
+        df, group, spread, order, sums, F.sum, add, Window.currentRow, descending, leaf_rows
+    )
+    upto = {f"{n}_upto": c for n, c in pieces.items()}
+    return rows.withColumns(upto).select(*df.columns, *upto, *[f"{n}_total" for n in sums])
+
+
+def running_max_before(
+    df: DataFrame,
+    group: Sequence[str],
+    spread: Column,
+    order: Sequence[Column],
+    value: Column,
+    out: str,
+    leaf_rows: int = LEAF_ROWS,
+) -> DataFrame:
+    """Add the largest value of the rows before each row; NULL on the first."""
+    rows, pieces = _running(
+        df, group, spread, order, {out: value}, F.max, F.greatest, -1, False, leaf_rows
+    )
+    return rows.withColumn(out, pieces[out]).select(*df.columns, out)
 
 
 def rank_by_key(

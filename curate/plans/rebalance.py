@@ -22,7 +22,7 @@ from curate.operators.sampling import (
     stratified_seeds,
 )
 from curate.operators.vectors import similarity_gate
-from curate.session import scratch_path
+from curate.session import stored
 
 TOP_UP_FIRST_STYLE = 500
 
@@ -175,13 +175,6 @@ def _shortfall(targets: DataFrame, rows: DataFrame) -> DataFrame | None:
     return _per_class(short.where("n > 0"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back, so later stages do not repeat it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def synthetic_rows(
     real: DataFrame,
     candidates: DataFrame,

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from curate.workload import rebalancing, scores, texts  # noqa: F401
+from curate.workload import learning, rebalancing, reports, scores, texts  # noqa: F401
 from curate.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

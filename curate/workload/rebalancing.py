@@ -9,6 +9,7 @@ from curate.functions.text import clean_line
 from curate.functions.vectors import cosine
 from curate.operators import balance, candidates as cand, sampling, vectors as vec
 from curate.plans import rebalance
+from curate.session import stored
 from curate.workload.registry import query, rounded
 from curate.workload.texts import sql_clean_line, sql_strip
 from curate.workload.views import (
@@ -412,7 +413,7 @@ def _gated(spark, sf_dir):
     "corpus candidates",
 )
 def capped_candidates(spark, sf_dir):
-    placed = rebalance.capped(rebalance.stored(_gated(spark, sf_dir), "gated")).where("place <= quota")
+    placed = rebalance.capped(stored(_gated(spark, sf_dir), "gated")).where("place <= quota")
     return placed.select("label", "cluster_name", "round", "line", "place", "text")
 
 
@@ -445,7 +446,7 @@ ONE_CLASS = MAJORITY.replace("label IN (0, 2)", "label = 2").replace("CASE label
 def augment_one_class(spark, sf_dir):
     """A strict gate, so that top-up, fill and patch all take part."""
     real = real_rows(spark, sf_dir)
-    targets = rebalance.stored(balance.rebalance_targets(real, labels=(2,)), "targets")
+    targets = stored(balance.rebalance_targets(real, labels=(2,)), "targets")
     return rebalance.synthetic_rows(real, rebalance_candidates(spark, sf_dir), targets, STRICT)
 
 
