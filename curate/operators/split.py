@@ -21,16 +21,29 @@ def stratified_split(
     """Add ``split``: train, val or test, with the shares kept per class to within one row.
 
     The order inside a class is a seeded hash of the row key, so the same key is always in the
-    same split, and the ranks come without sorting a class in one task.
+    same split. Ranks are taken over keys alone, to find the last key of each split; rows are then
+    compared with these where they are, so texts are never shuffled.
     """
     if not 0 < train_percent + val_percent < 100:
         raise ValueError("train and validation percent must leave room for a test split")
-    keyed = df.withColumn("__key", draw_key(seed, F.lit(":"), F.col(row_id)))
-    ranked = rank_by_key(keyed, ["label"], "__key", [row_id], "__rank", leaf_rows)
+    key = draw_key(seed, F.lit(":"), F.col(row_id))
+    ranked = rank_by_key(
+        df.select("label", row_id, key.alias("__key")), ["label"], "__key", [row_id], "__rank", leaf_rows
+    )
     place, size = F.col("__rank") * 100, F.col("__rank_size")
+    position = F.struct("__key", row_id)
+
+    def last_within(percent: int):
+        return F.max(F.when(place <= size * percent, position))
+
+    # One row per class.
+    cuts = ranked.groupBy("label").agg(
+        last_within(train_percent).alias("__train"), last_within(train_percent + val_percent).alias("__val")
+    )
+    mine = F.struct(key.alias("__key"), F.col(row_id))
     split = (
-        F.when(place <= size * train_percent, F.lit("train"))
-        .when(place <= size * (train_percent + val_percent), F.lit("val"))
+        F.when(mine <= F.col("__train"), F.lit("train"))
+        .when(mine <= F.col("__val"), F.lit("val"))
         .otherwise(F.lit("test"))
     )
-    return ranked.withColumn("split", split).drop("__key", "__rank", "__rank_size")
+    return df.join(F.broadcast(cuts), "label").withColumn("split", split).select(*df.columns, "split")
