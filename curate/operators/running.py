@@ -5,9 +5,7 @@ that holds a third of the table is one straggler. Here the order is first mapped
 [0, 1) that grows with it, and the spread is cut into buckets. Bucket totals give each bucket its
 offset, and rows are sorted only inside their bucket. A bucket with too many rows is cut once
 more, so a concentration of values does not make a straggler either. The result is exact and does
-not depend on partitioning.
-
-Group columns must not be NULL.
+not depend on partitioning. A NULL group or order fails the job rather than lose the row.
 """
 
 from __future__ import annotations
@@ -33,6 +31,7 @@ def _running(
     end: int,
     descending: bool,
     leaf_rows: int,
+    few_groups: bool,
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with the pieces of each running value, and the expressions that combine them."""
     group, names = list(group), list(values)
@@ -49,7 +48,9 @@ def _running(
     scaled = spread * float(BUCKETS)
     high = F.least(F.floor(scaled), F.lit(BUCKETS - 1))
     low = F.greatest(F.least(F.floor((scaled - F.col("__d1")) * float(BUCKETS)), F.lit(BUCKETS - 1)), F.lit(0))
-    rows = df.withColumns({f"__v_{n}": c for n, c in values.items()} | {"__d1": high})
+    placed = reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group], spread.isNotNull())
+    checked = F.when(placed, high).otherwise(F.raise_error(F.lit("group and order must not be NULL")).cast("bigint"))
+    rows = df.withColumns({f"__v_{n}": c for n, c in values.items()} | {"__d1": checked})
 
     nodes = folded(rows, node).select(
         *node,
@@ -57,8 +58,10 @@ def _running(
         *[fold(F.col(f"__v_{n}")).over(Window.partitionBy(*group)).alias(f"{n}_total") for n in names],
         (F.col("__n") > leaf_rows).alias("__crowded"),
     )
-    # A group has at most BUCKETS nodes, whatever its number of rows: safe to broadcast.
-    rows = rows.join(F.broadcast(nodes), node).withColumn(
+    # A group has at most BUCKETS nodes, whatever its number of rows: with few groups the table has
+    # a fixed bound. With many groups the join is left to the optimizer, which knows the size.
+    # An outer join, as an inner one would filter NULLs before they are noticed.
+    rows = rows.join(F.broadcast(nodes) if few_groups else nodes, node, "left").withColumn(
         "__d2", F.when(F.col("__crowded"), low).otherwise(F.lit(0).cast("bigint"))
     )
     leaves = folded(rows.where("__crowded"), leaf).select(*leaf, *starts(leaf, "leaf"))
@@ -77,18 +80,20 @@ def running(
     sums: Mapping[str, Column],
     descending: bool = False,
     leaf_rows: int = LEAF_ROWS,
+    few_groups: bool = True,
 ) -> DataFrame:
     """Add ``{name}_upto`` (inclusive running sum) and ``{name}_total`` (group sum) columns.
 
     ``spread`` must not decrease along ``order`` (not increase, if ``descending``); how evenly it
-    spreads the rows decides the balance, never the result.
+    spreads the rows decides the balance, never the result. ``few_groups`` says that the number of
+    groups (classes, systems, clusters) does not grow with the data.
     """
 
     def add(*parts: Column) -> Column:
         return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
 
     rows, pieces = _running(
-        df, group, spread, order, sums, F.sum, add, Window.currentRow, descending, leaf_rows
+        df, group, spread, order, sums, F.sum, add, Window.currentRow, descending, leaf_rows, few_groups
     )
     upto = {f"{n}_upto": c for n, c in pieces.items()}
     return rows.withColumns(upto).select(*df.columns, *upto, *[f"{n}_total" for n in sums])
@@ -102,10 +107,11 @@ def running_max_before(
     value: Column,
     out: str,
     leaf_rows: int = LEAF_ROWS,
+    few_groups: bool = True,
 ) -> DataFrame:
     """Add the largest value of the rows before each row; NULL on the first."""
     rows, pieces = _running(
-        df, group, spread, order, {out: value}, F.max, F.greatest, -1, False, leaf_rows
+        df, group, spread, order, {out: value}, F.max, F.greatest, -1, False, leaf_rows, few_groups
     )
     return rows.withColumn(out, pieces[out]).select(*df.columns, out)
 

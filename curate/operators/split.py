@@ -28,7 +28,7 @@ def stratified_split(
         raise ValueError("train and validation percent must leave room for a test split")
     key = draw_key(seed, F.lit(":"), F.col(row_id))
     ranked = rank_by_key(
-        df.select("label", row_id, key.alias("__key")), ["label"], "__key", [row_id], "__rank", leaf_rows
+        df.where("label IS NOT NULL").select("label", row_id, key.alias("__key")), ["label"], "__key", [row_id], "__rank", leaf_rows
     )
     place, size = F.col("__rank") * 100, F.col("__rank_size")
     position = F.struct("__key", row_id)
@@ -42,8 +42,9 @@ def stratified_split(
     )
     mine = F.struct(key.alias("__key"), F.col(row_id))
     split = (
-        F.when(mine <= F.col("__train"), F.lit("train"))
+        F.when(F.col("label").isNull(), F.raise_error(F.lit("label must not be NULL")))
+        .when(mine <= F.col("__train"), F.lit("train"))
         .when(mine <= F.col("__val"), F.lit("val"))
         .otherwise(F.lit("test"))
     )
-    return df.join(F.broadcast(cuts), "label").withColumn("split", split).select(*df.columns, "split")
+    return df.join(F.broadcast(cuts), "label", "left").withColumn("split", split).select(*df.columns, "split")

@@ -29,7 +29,7 @@ def early_stop(history: DataFrame, patience: int = PATIENCE, min_delta: float =
     these records alone, as a sorted stream that keeps one run's state.
     """
     spread = 1.0 - 1.0 / (F.col("epoch").cast("double") + 1.0)
-    marked = running_max_before(history, ["run"], spread, [F.asc("epoch")], F.col("score"), "before")
+    marked = running_max_before(history, ["run"], spread, [F.asc("epoch")], F.col("score"), "before", few_groups=False)
     records = marked.where(F.col("before").isNull() | (F.col("score") > F.col("before"))).select(
         "run", F.col("epoch").cast("bigint").alias("epoch"), F.col("score").cast("double").alias("score"), F.lit(False).alias("is_end")
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,9 @@ MAX_SMALL_ROWS = 10_000
 
 
 def centroids(df: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataFrame:
-    """Component-wise mean per group as ``centroid``; partial sums are taken before the shuffle."""
-    parts = df.select(*by, F.posexplode(as_double(F.col(vec))).alias("dim", "x"))
-    means = parts.groupBy(*by, "dim").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(*by).agg(F.transform(ordered, lambda s: s["x"]).alias("centroid"))
+    """Component-wise mean per group as ``centroid``; each task sends one partial mean per group."""
+    mean = Summarizer.mean(array_to_vector(as_double(F.col(vec))))
+    return df.groupBy(*by).agg(vector_to_array(mean).alias("centroid"))
 
 
 def _reference_lists(refs: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:

@@ -122,12 +122,13 @@ def gated_candidates(
     """Clean, validate, de-duplicate, exclude seen texts, then gate on similarity.
 
     ``candidates`` is ``(label, cluster_name, round, line, raw[, embedding])``. Arrival order is
-    (class, cluster, round, line). As in a generation loop, a text the gate drops still counts
+    (class, cluster, round, line). ``quotas`` should be a stored table, whose size decides how it is
+    joined. As in a generation loop, a text the gate drops still counts
     as seen. On a table with more candidates than the quotas need, surplus texts count as seen
     too.
     """
     places = quotas.select("label", "cluster_name", "class_pos", "cluster_pos", "target", "quota")
-    arrived = candidates.join(F.broadcast(places), ["label", "cluster_name"])
+    arrived = candidates.join(places, ["label", "cluster_name"])
     order = ["class_pos", "cluster_pos", "round", "line"]
     unique = filter_candidates(arrived, order, seen=real)
     if threshold is not None:

@@ -399,7 +399,7 @@ def _gated(spark, sf_dir):
     real = real_rows(spark, sf_dir)
     targets = balance.rebalance_targets(real)
     mine = real.join(F.broadcast(targets.select("label")), "label", "left_semi")
-    quotas = sampling.cluster_quotas(mine, targets)
+    quotas = stored(sampling.cluster_quotas(mine, targets), "quotas")
     seeds = sampling.stratified_seeds(mine, ["label", "cluster_name"])
     offered = rebalance_candidates(spark, sf_dir)
     return rebalance.gated_candidates(offered, real, quotas, seeds, LOOSE)

@@ -35,6 +35,14 @@ def test_running_totals_with_a_hot_bucket(spark):
             assert {r["n_total"] for r in mine} == {len(mine)}
 
 
+def test_null_groups_and_labels_fail_instead_of_vanishing(spark):
+    df = spark.createDataFrame([(1, 0), (2, None), (3, 1)], "row_id long, label int")
+    with pytest.raises(PySparkException):
+        rank_by_number(df, ["label"], "row_id").collect()
+    with pytest.raises(PySparkException):
+        stratified_split(df).collect()
+
+
 def test_rank_by_number_is_order_insensitive(spark):
     df = spark.range(0, 3000).select(F.lit("a").alias("k"), (F.col("id") * 7919 % 3001).alias("v"), (F.col("id") % 3).alias("t"))
     one = {(r["v"], r["t"]): r["rank"] for r in rank_by_number(df, ["k"], "v", ["t"], leaf_rows=50).collect()}
