@@ -11,9 +11,10 @@ from curate.constants import MIN_SEEDS, SEED, SEEDS_PER_CLUSTER
 from curate.functions.hashing import draw_int, draw_key
 from curate.functions.once import with_once
 from curate.functions.text import words
-from curate.operators.running import rank_by_number
+from curate.operators.running import rank_by_key, rank_by_number
 
 BLOCK = 1 << 16
+GROUP_LIMIT = 1000
 
 
 def stratified_seeds(
@@ -25,9 +26,13 @@ def stratified_seeds(
 ) -> DataFrame:
     """A seeded sample without replacement of up to ``per_group`` (at least 5) rows per group.
 
-    The rank filter is a group limit before the shuffle: a task sends at most that many rows of a
-    group on.
+    A small rank filter is a group limit before the shuffle: a task sends at most that many rows of
+    a group on. Larger samples are ranked in buckets.
     """
+    if per_group > GROUP_LIMIT:
+        keyed = df.withColumn("__key", draw_key(seed, F.lit(":"), F.col(row_id)))
+        ranked = rank_by_key(keyed, by, "__key", [row_id], "__place")
+        return ranked.where(F.col("__place") <= per_group).select(*df.columns)
     order = Window.partitionBy(*by).orderBy("__key", row_id)
     ranked = df.withColumn("__key", draw_key(seed, F.lit(":"), F.col(row_id))).withColumn(
         "__place", F.row_number().over(order)

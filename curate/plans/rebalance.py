@@ -49,43 +49,31 @@ def fill_template(template: str, values: Mapping[str, Column]) -> Column:
     return text
 
 
-def prompt_plan(
-    quotas: DataFrame,
+def _prompts(
+    rows: DataFrame,
     seeds: DataFrame,
+    number: str,
+    draw: Column,
     template: str,
     intents: Mapping[str, str],
     default_intent: str,
-    row_id: str = "row_id",
-    seed: int = C.SEED,
-    few_shot: int = C.FEW_SHOT,
-    variants: int = C.VARIANTS_PER_ROUND,
-    first_style: int = 0,
-    seed_shift: int = 0,
+    row_id: str,
+    few_shot: int,
+    variants: int,
 ) -> DataFrame:
-    """One row per prompt to send: ``(label, cluster_name, round, style…, prompt)``.
+    """Style, seeded examples and filled template of each row ``(label, cluster_name, number)``.
 
-    A cluster needs ``ceil(quota / variants)`` rounds. Round r takes style r of the grid and its own
-    seeded draw of ``few_shot`` examples from the cluster's seed list, which is capped by the
-    sample, so the draw is a sort inside the row. For top-up prompts pass the shortfall as quota,
-    ``first_style=500`` and ``seed_shift=9999``.
+    A cluster's seed list is capped by its sample, so the draw is a sort inside the row.
     """
     lists = seeds.groupBy("label", "cluster_name").agg(
         F.collect_list(F.struct(F.col(row_id).alias("id"), F.col("text").alias("text"))).alias("seeds")
     )
-    rounds = quotas.select(
-        "label", "cluster_name", F.expr(f"(quota + {variants} - 1) div {variants}").alias("n")
-    )
-    rows = numbered_rows(rounds, ["label", "cluster_name"], out="round").join(
-        lists, ["label", "cluster_name"]
-    )
-    number = F.col("round") + first_style
     drawn = F.slice(
         F.array_sort(
             F.transform(
                 "seeds",
                 lambda s: F.struct(
-                    draw_key((number + (seed + seed_shift + 1)).cast("string"), F.lit(":"), s["id"]).alias("key"),
-                    s["text"].alias("text"),
+                    draw_key(draw.cast("string"), F.lit(":"), s["id"]).alias("key"), s["text"].alias("text")
                 ),
             )
         ),
@@ -93,7 +81,9 @@ def prompt_plan(
         few_shot,
     )
     known = F.create_map(*[F.lit(x) for pair in intents.items() for x in pair])
-    styled = rows.withColumns({"style": style_column(number, style_grid()), "drawn": drawn})
+    styled = rows.join(lists, ["label", "cluster_name"]).withColumns(
+        {"style": style_column(F.col(number), style_grid()), "drawn": drawn}
+    )
     prompt = fill_template(
         template,
         {
@@ -108,7 +98,61 @@ def prompt_plan(
             "examples": F.array_join(F.transform("drawn", lambda d: F.concat(F.lit("- "), d["text"])), "\n"),
         },
     )
-    return styled.select("label", "cluster_name", "round", "style.*", prompt.alias("prompt"))
+    return styled.select("label", "cluster_name", number, "style.*", prompt.alias("prompt"))
+
+
+def prompt_plan(
+    quotas: DataFrame,
+    seeds: DataFrame,
+    template: str,
+    intents: Mapping[str, str],
+    default_intent: str,
+    row_id: str = "row_id",
+    seed: int = C.SEED,
+    few_shot: int = C.FEW_SHOT,
+    variants: int = C.VARIANTS_PER_ROUND,
+) -> DataFrame:
+    """One row per prompt to send: ``(label, cluster_name, round, style…, prompt)``.
+
+    A cluster needs ``ceil(quota / variants)`` rounds. Round r takes style r of the grid and its own
+    seeded draw of ``few_shot`` examples.
+    """
+    rounds = quotas.select(
+        "label", "cluster_name", F.expr(f"(quota + {variants} - 1) div {variants}").alias("n")
+    )
+    rows = numbered_rows(rounds, ["label", "cluster_name"], out="round")
+    draw = F.col("round") + (seed + 1)
+    return _prompts(rows, seeds, "round", draw, template, intents, default_intent, row_id, few_shot, variants)
+
+
+def top_up_plan(
+    needs: DataFrame,
+    quotas: DataFrame,
+    seeds: DataFrame,
+    template: str,
+    intents: Mapping[str, str],
+    default_intent: str,
+    row_id: str = "row_id",
+    seed: int = C.SEED,
+    few_shot: int = C.FEW_SHOT,
+    variants: int = C.VARIANTS_PER_ROUND,
+) -> DataFrame:
+    """Prompts for the rows ``(label, n)`` still missing: ``(label, cluster_name, turn, style…, prompt)``.
+
+    Attempts go round robin over the clusters of a class; styles start at 500 and the draws have
+    their own seed range.
+    """
+    attempts = needs.select("label", F.expr(f"(n + {variants} - 1) div {variants}").alias("n"))
+    sizes = quotas.groupBy("label").agg(F.count("*").alias("n_clusters"))
+    turns = numbered_rows(attempts, ["label"], out="attempt").join(sizes, "label")
+    placed = turns.select(
+        "label",
+        (F.col("attempt") % F.col("n_clusters")).cast("int").alias("cluster_pos"),
+        (F.col("attempt") + TOP_UP_FIRST_STYLE).alias("turn"),
+    )
+    rows = placed.join(quotas.select("label", "cluster_pos", "cluster_name"), ["label", "cluster_pos"])
+    draw = F.col("turn") + (seed + 1 + C.TOP_UP_SEED_SHIFT)
+    return _prompts(rows, seeds, "turn", draw, template, intents, default_intent, row_id, few_shot, variants)
 
 
 # -------------------------------------------------------------------------- candidate intake

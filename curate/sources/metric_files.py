@@ -95,5 +95,5 @@ def read_histories(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(f"run BIGINT, history STRUCT<{arrays.replace(' ARRAY', ': ARRAY')}>").json(path)
     zipped = F.arrays_zip("history.train_loss", "history.val_loss", "history.val_f1_macro")
     return raw.select("run", F.posexplode(zipped).alias("pos", "e")).select(
-        "run", (F.col("pos") + 1).alias("epoch"), "e.train_loss", "e.val_loss", "e.val_f1_macro"
+        "run", (F.col("pos") + 1).cast("bigint").alias("epoch"), "e.train_loss", "e.val_loss", "e.val_f1_macro"
     )

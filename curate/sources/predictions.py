@@ -24,13 +24,16 @@ def wide(preds: DataFrame, class_names: Sequence[str] = CLASS_NAMES) -> DataFram
 def write_predictions(
     preds: DataFrame, root: str, systems: Sequence[str], format: str = "parquet", class_names: Sequence[str] = CLASS_NAMES
 ) -> None:
-    """One set ``{root}/{system}_predictions.{format}`` per system; a system may be ``folder/name``."""
+    """One set ``{root}/{system}_predictions.{format}`` per system; a system may be ``folder/name``.
+
+    Each set is a filter of ``preds``, which should be a stored table.
+    """
     for system in systems:
         mine = wide(preds.where(F.col("system") == system), class_names).drop("system")
         mine.write.mode("overwrite").option("header", True).format(format).save(f"{root}/{system}{SUFFIX}.{format}")
 
 
-def _positioned(df: DataFrame, path: str) -> DataFrame:
+def _positioned(df: DataFrame) -> DataFrame:
     """Number the rows of a one-file set from 0 in file order."""
     where = df.select("*", F.col("_metadata.file_block_start").alias("__block"), F.col("_metadata.file_path").alias("__file"))
     numbered = rank_by_number(
@@ -56,7 +59,7 @@ def read_predictions(
         if "pred_label" not in df.columns:
             continue
         if "row_id" not in df.columns:
-            df = _positioned(df, path)
+            df = _positioned(df)
 
         def column(name: str, kind: str, df=df):
             return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)

@@ -332,6 +332,36 @@ def prompt_plan(spark, sf_dir):
     return rebalance.prompt_plan(quotas, seeds, TEMPLATE, INTENTS, "anything else")
 
 
+@query(
+    "top_up_plan",
+    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)},
+    styles AS (SELECT * FROM (VALUES {_STYLES}) s(style, tone, length, formality, typos, syntax)),
+    attempts AS (SELECT label, unnest(range((target + 9) // 10)) AS attempt FROM targets),
+    turns AS (SELECT a.label, q.cluster_name, a.attempt + 500 AS turn FROM attempts a JOIN quotas q ON q.label = a.label
+               AND q.cluster_pos = a.attempt % (SELECT count(*) FROM quotas c WHERE c.label = a.label)),
+    drawn AS (SELECT r.label, r.cluster_name, r.turn, s.text,
+                     row_number() OVER (PARTITION BY r.label, r.turn ORDER BY md5(concat(r.turn + 43 + 9999, ':', s.row_id)), s.text) AS place
+              FROM turns r JOIN rseeds s ON s.label = r.label AND s.cluster_name = r.cluster_name
+              QUALIFY place <= 5),
+    examples AS (SELECT label, cluster_name, turn, string_agg('- ' || text, chr(10) ORDER BY place) AS examples FROM drawn GROUP BY ALL)
+    SELECT e.label, e.cluster_name, e.turn::BIGINT AS turn, tone, length, formality, typos, syntax,
+           'Ten more (10), ' || formality || ':' || chr(10) || examples AS prompt
+    FROM examples e JOIN styles s ON s.style = e.turn % 20
+    """,
+    "corpus",
+)
+def top_up_plan(spark, sf_dir):
+    """As many prompts as the whole target of each class needs."""
+    rows = corpus(spark, sf_dir).withColumnRenamed("source", "cluster_name")
+    targets = balance.rebalance_targets(rows)
+    mine = rows.join(F.broadcast(targets.select("label")), "label", "left_semi")
+    quotas = sampling.cluster_quotas(mine, targets)
+    seeds = sampling.stratified_seeds(mine, ["label", "cluster_name"])
+    needs = targets.select("label", F.col("target").alias("n"))
+    template = "Ten more ({n_variants}), {formality}:\n{examples}"
+    return rebalance.top_up_plan(needs, quotas, seeds, template, INTENTS, "anything else")
+
+
 def _sql_perturbed(name: str, needs: str, seed: int) -> str:
     """``name(label, i, text)``: the perturbed rows for ``needs(label, n)``."""
     words = rf"string_split_regex({sql_strip('text')}, '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+')"

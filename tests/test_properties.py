@@ -275,3 +275,11 @@ def test_csv_predictions_without_key_align_by_line(spark, tmp_path):
         ("two", i): p for i, p in enumerate([2, 1, 0, 0])
     }
     assert {r["text"] for r in got if r["row_id"] == 3} == {"t3"}
+
+
+def test_large_samples_equal_the_head_of_a_larger_sample(spark):
+    df = spark.range(0, 3000).select(F.col("id").alias("row_id"), F.lit("c").alias("k"))
+    big = {r["row_id"] for r in sampling.stratified_seeds(df, ["k"], per_group=1500).collect()}
+    small = {r["row_id"] for r in sampling.stratified_seeds(df, ["k"], per_group=900).collect()}
+    assert (len(big), len(small)) == (1500, 900)
+    assert small < big
