@@ -11,8 +11,9 @@ from curate.session import build_session
 from curate.workload.catalog import QUERIES
 
 HEADLINE = (
-    "core_metrics confusion_matrix evaluate_systems ensemble_with_priors ensemble_evaluation "
-    "roc_points macro_pr_curve pairwise_signed_rank"
+    "core_metrics confusion_matrix evaluate_systems ensemble_with_priors ensemble_evaluation roc_points "
+    "macro_pr_curve pairwise_signed_rank read_corpus stratified_split filter_candidates best_similarity "
+    "prompt_plan perturbed_oversample augment validation_loss early_stop"
 ).split()
 
 
