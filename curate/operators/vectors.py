@@ -14,6 +14,7 @@ from curate.functions.vectors import as_double, best_match, dot, norm, unit
 
 MAX_BROADCAST_REFS = 100_000
 MAX_SMALL_ROWS = 10_000
+LIST_ROWS = 1_000
 
 
 def centroids(df: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataFrame:
@@ -58,16 +59,20 @@ def best_similarity_in_blocks(
     by: Sequence[str],
     row_id: str,
     ref_id: str,
-    blocks: int,
+    blocks: int | None = None,
     vec: str = "embedding",
     out: str = "similarity",
 ) -> DataFrame:
     """:func:`best_similarity` for any number of references, by a shuffle join.
 
     The references of a group are spread over ``blocks`` lists; a candidate meets each list once
-    and keeps its maximum, so neither a list nor a join key grows with the group.
+    and keeps its maximum, so neither a list nor a join key grows with the group. By default there
+    are as many lists as keep the largest group near LIST_ROWS references each.
     """
     by = list(by)
+    if blocks is None:
+        largest = refs.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        blocks = max(1, -(-largest // LIST_ROWS))
     block = F.pmod(F.xxhash64(ref_id), F.lit(blocks)).cast("int").alias("__block")
     lists = _reference_lists(refs.select(*by, vec, block), [*by, "__block"], vec)
     slim = candidates.select(

@@ -164,9 +164,11 @@ def test_similarity_block_join_equals_broadcast(spark):
     refs = df.where("id < 90")
     one = {r["id"]: r["similarity"] for r in vec.best_similarity(df, refs, ["k"]).collect()}
     two = {r["id"]: r["similarity"] for r in vec.best_similarity_in_blocks(df, refs, ["k"], "id", "id", 5).collect()}
-    assert one.keys() == two.keys()
+    three = {r["id"]: r["similarity"] for r in vec.best_similarity_in_blocks(df, refs, ["k"], "id", "id").collect()}
+    assert one.keys() == two.keys() == three.keys()
     for i, value in one.items():
         assert value == pytest.approx(two[i], abs=1e-12)
+        assert value == pytest.approx(three[i], abs=1e-12)
     with pytest.raises(PySparkException):
         vec.best_similarity(df, refs, ["k"], max_broadcast_refs=10).collect()
 
