@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curate.llm import chat, fingerprints, metric_join, mixing, ngram_join, packing, quality, sharding, url_filters
+from curate.llm import chat, fingerprints, katz, metric_join, mixing, ngram_join, packing, quality, sharding, url_filters
 from curate.llm.common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_embedding_near_dedup")
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.cosine_links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_katz_scores")
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.katz_scores(table(spark, sf_dir, "documents"), id_remainder(7) != 2)
+    return scored.withColumn("held_out", id_remainder(7) == 2).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
