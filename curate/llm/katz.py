@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from curate.llm.common import coded, words
 from curate.session import stored
 
-BATCH_BYTES = 28 << 20
-PART_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
+PART_BYTES = 12 << 20
 TOP = 1 << 16
 MOST = 5
 """Counts up to this one are discounted."""
