@@ -69,16 +69,20 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
 
 
-def with_next(docs: DataFrame, order: str, columns: dict[str, str], ties: tuple[str, ...] = (), pieces: int | None = None) -> DataFrame:
+def with_next(
+    docs: DataFrame, order: str, columns: dict[str, str], ties: tuple[str, ...] = (), pieces: int | None = None, keys: DataFrame | None = None
+) -> DataFrame:
     """Add the columns of the next row in the order of an integer column; after the last comes the first.
 
     The order is cut into ranges, each one's first row is also sent to the range before, and the next
-    row is looked up inside the range, so there is one shuffle and no task that holds all rows.
+    row is looked up inside the range, so there is one shuffle and no task that holds all rows. ``keys``
+    has the same values of ``order`` where those of ``docs`` are dear to reach.
     """
-    at = cuts(docs, order, pieces or pieces_for(docs))
+    keys = docs if keys is None else keys
+    at = cuts(keys, order, pieces or pieces_for(docs))
     rows = docs.withColumn("__piece", range_of(order, at))
     # One row for each range, of which there are at most ``pieces``.
-    firsts = docs.select(range_of(order, at).alias("p"), F.col(order).alias("k")).groupBy("p").agg(F.min("k").alias("k"), F.count_if(F.col("k").isNull()).alias("nulls")).orderBy("p").collect()
+    firsts = keys.select(range_of(order, at).alias("p"), F.col(order).alias("k")).groupBy("p").agg(F.min("k").alias("k"), F.count_if(F.col("k").isNull()).alias("nulls")).orderBy("p").collect()
     if not firsts:
         return docs.withColumns({new: F.col(old) for new, old in columns.items()})
     before = {r["p"]: firsts[i - 1]["p"] for i, r in enumerate(firsts)}
@@ -104,7 +108,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"))
     rows = with_once(rows, "found", sketch("text")).withColumn("tie", F.xxhash64("text"))
-    near = with_next(rows, "doc_id", {"next_text": "text", "next_found": "found"}, ("tie",))
+    near = with_next(rows, "doc_id", {"next_text": "text", "next_found": "found"}, ("tie",), keys=docs)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
     near = with_once(near, "edited", edited)
