@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Words that a round takes only in part are cut out of the text; whole texts stay as they are, and a
     text without words, which no mix can take, goes.
     """
-    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    sized = stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "sizes")
     pieces, _ = mixing.mix(sized)
     rounds = pieces.groupBy("doc_id", "epoch").agg(F.min("start").alias("__first"), F.sum("length").alias("__taken"))
     text = text_of("text")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curate.llm import chat, fingerprints, katz, metric_join, mixing, ngram_join, packing, quality, sharding, url_filters
 from curate.llm.common import table, text_of
+from curate.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +46,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing_sources")
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    docs = stored(docs, "sizes")  # read five times below
     pieces, sources = mixing.mix(docs)
     taken = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"))
     known = spark.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "__s string, source_size long, target double")
