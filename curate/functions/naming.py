@@ -14,8 +14,9 @@ def metric_cell(value: Column, missing: str = "—") -> Column:
 
 
 def heading(name: Column) -> Column:
-    """``a_b`` as ``A B``."""
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    """``a_b-c2d`` as ``A B-C2D``: a capital after everything that is no letter."""
+    runs = F.regexp_extract_all(F.replace(name, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def safe_name(name: Column) -> Column:

@@ -27,7 +27,7 @@ def response_lines(responses: DataFrame, keys: Sequence[str], response: str = "r
 def reject_reason(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
     """Why a cleaned line is not usable, or NULL if it is."""
     return (
-        F.when(text == "", F.lit("empty"))
+        F.when(text.isNull() | (text == ""), F.lit("empty"))
         .when(~F.char_length(text).between(min_chars, max_chars), F.lit("length"))
         .when(any_phrase(text, DISCLAIMER_PHRASES), F.lit("disclaimer"))
         .when(any_phrase(text, APOLOGY_PHRASES), F.lit("apology"))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.constants import SEED, SILHOUETTE_K
@@ -49,36 +48,33 @@ def model_centroids(spark, model) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, centroid array<double>")
 
 
-def _match(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching of clusters to categories by falling similarity.
-
-    A category is used once, unless there are more clusters than categories.
-    """
-    clusters, categories = sorted(set(pairs["cluster"])), sorted(set(pairs["category"]))
-    once = len(clusters) <= len(categories)
-    ranked = pairs.sort_values(["similarity", "cluster", "category_pos"], ascending=False)
-    names: dict = {}
-    for row in ranked.itertuples():
-        if row.cluster not in names and not (once and row.category in names.values()):
-            names[row.cluster] = row.category
-    return pd.DataFrame(
-        {"class": pairs["class"].iloc[0], "cluster": list(names), "cluster_name": list(names.values())}
-    )
-
-
 def name_clusters(centers: DataFrame, anchors: DataFrame) -> DataFrame:
     """``(class, cluster, cluster_name)`` from ``(class, cluster, centroid)`` and category anchors.
 
-    A class has clusters × categories similarities, a few dozen rows, whatever its size.
-    ``anchors`` may carry ``category_pos`` for the order that breaks ties.
+    Pairs of cluster and category are taken by falling similarity, of equal ones the higher cluster,
+    then the higher ``category_pos``; a pair counts if its cluster has no name yet and its category is
+    free. With more clusters than categories every category stays free. ``anchors`` without
+    ``category_pos`` are numbered by name. A class has clusters × categories pairs, a few dozen,
+    whatever its size; they are one array, folded once.
     """
     if "category_pos" not in anchors.columns:
-        anchors = anchors.withColumn("category_pos", F.lit(0))
+        anchors = anchors.withColumn("category_pos", F.row_number().over(Window.orderBy("category")))
     order = anchors.select("category", "category_pos")
     pairs = category_similarity(centers, anchors, ["class", "cluster"]).join(F.broadcast(order), "category")
-    typed = pairs.select("class", F.col("cluster").cast("int").alias("cluster"), "category", "category_pos", "similarity")
-    key = dict(pairs.dtypes)["class"]
-    return typed.groupBy("class").applyInPandas(_match, f"class {key}, cluster int, cluster_name string")
+    pair = F.struct("similarity", F.col("cluster").cast("int").alias("cluster"), "category_pos", "category")
+    ranked = pairs.groupBy("class").agg(
+        F.sort_array(F.collect_list(pair), asc=False).alias("pairs"),
+        (F.count_distinct("cluster") <= F.count_distinct("category")).alias("once"),
+    )
+    kind = dict(pairs.dtypes)["category"]
+    none = F.array().cast(f"array<struct<cluster:int,category:{kind}>>")
+
+    def take(named: Column, p: Column) -> Column:
+        taken = F.exists(named, lambda n: (n["cluster"] == p["cluster"]) | (F.col("once") & (n["category"] == p["category"])))
+        return F.when(taken, named).otherwise(F.concat(named, F.array(F.struct(p["cluster"].alias("cluster"), p["category"].alias("category")))))
+
+    named = ranked.select("class", F.inline(F.aggregate("pairs", none, take)))
+    return named.select("class", "cluster", F.col("category").alias("cluster_name"))
 
 
 def cluster_texts(

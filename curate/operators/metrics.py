@@ -23,11 +23,15 @@ SYSTEM = ("system",)
 def confusion(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3) -> DataFrame:
     """Counts of every true × predicted cell, zero cells included, and the share of the true row.
 
-    Cells are aggregated first; the at most n² counts of a group are then read back by key.
+    Cells are aggregated first; the at most n² counts of a group are then read back by key. A label
+    outside the classes, or none, fails the job rather than count in another cell.
     """
     by = list(by)
     cells = preds.groupBy(*by, "true_label", "pred_label").agg(F.count("*").alias("n"))
-    key = F.col("true_label") * n_classes + F.col("pred_label")
+    known = F.col("true_label").between(0, n_classes - 1) & F.col("pred_label").between(0, n_classes - 1)
+    key = F.when(known, F.col("true_label") * n_classes + F.col("pred_label")).otherwise(
+        F.raise_error(F.lit("a label is outside the classes")).cast("int")
+    )
     table = cells.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct(key.cast("int").alias("k"), F.col("n")))).alias("m")
     )

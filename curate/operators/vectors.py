@@ -132,10 +132,16 @@ def category_similarity(
     return wide.select(*cluster, F.col("__a.category").alias("category"), similarity.alias("similarity"))
 
 
-def nearest_centroid(df: DataFrame, centers: DataFrame, vec: str = "embedding", name: str = "cluster") -> DataFrame:
-    """Add the name of the closest centroid (smallest Euclidean distance, lowest name on ties)."""
+def nearest_centroid(
+    df: DataFrame, centers: DataFrame, vec: str = "embedding", name: str = "cluster", normalise: bool = False
+) -> DataFrame:
+    """Add the name of the closest centroid (smallest Euclidean distance, lowest name on ties).
+
+    ``normalise`` brings the vectors to length 1 first, for centroids of such vectors.
+    """
     listed = _small_list(centers, F.col(name), as_double(F.col("centroid")).alias("v"))
-    with_vec = df.withColumn("__v", as_double(F.col(vec))).withColumn("__all", listed)
+    own = unit(F.col(vec)) if normalise else as_double(F.col(vec))
+    with_vec = df.withColumn("__v", own).withColumn("__all", listed)
 
     def entry(c: Column, v: Column) -> Column:
         gap = F.aggregate(

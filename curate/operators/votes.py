@@ -43,14 +43,15 @@ def ensemble(
     hard_name: str = "hard_voting",
     soft_name: str = "soft_voting",
     min_systems: int = 2,
+    n_systems: int | None = None,
 ) -> DataFrame:
     """Hard and soft voting as two more systems, from one aggregation per row.
 
     Hard voting takes the most frequent label (lowest on ties) and gives it probability 1. Soft
     voting averages the probabilities. With ``target`` priors each model is corrected before it
     votes in the hard vote, and the average is corrected after averaging in the soft vote.
-    A row that fewer than ``min_systems`` systems predicted, or whose systems disagree about the
-    truth, fails the job.
+    A row that some system predicted twice, that fewer than ``min_systems`` predicted, or whose systems
+    disagree about the truth fails the job, and with ``n_systems`` one that any of so many lacks.
     """
     label = F.col("pred_label")
     if target is not None:
@@ -60,10 +61,12 @@ def ensemble(
         F.min("true_label").alias("true_label"),
         F.max("true_label").alias("other_truth"),
         F.count("*").alias("n_systems"),
+        F.size(F.collect_set("system")).alias("n_distinct"),
         F.array(*[F.count_if(F.col("vote") == c) for c in range(n_classes)]).alias("votes"),
         F.array(*[F.round(F.avg(F.col("probs")[c]), TIE_DIGITS) for c in range(n_classes)]).alias("mean"),
     )
-    aligned = (F.col("n_systems") >= min_systems) & (F.col("true_label") == F.col("other_truth"))
+    enough = F.col("n_systems") >= min_systems if n_systems is None else F.col("n_systems") == n_systems
+    aligned = enough & (F.col("n_systems") == F.col("n_distinct")) & (F.col("true_label") == F.col("other_truth"))
     checked = per_row.withColumn(
         "true_label",
         F.when(aligned, F.col("true_label")).otherwise(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +27,23 @@ TOP_UP_FIRST_STYLE = 500
 
 
 # ------------------------------------------------------------------------------ prompt plan
-def style_grid(n: int = 20) -> list[dict[str, str]]:
-    """Every so-many-th combination of the style dimensions, at most ``n``."""
-    names = ("tone", "length", "formality", "typos", "syntax")
-    grid = list(product(C.TONES, C.LENGTHS, C.FORMALITIES, C.TYPOS, C.SYNTAXES))
-    return [dict(zip(names, combo)) for combo in grid[:: max(1, len(grid) // n)][:n]]
+STYLE_PARTS = {"tone": C.TONES, "length": C.LENGTHS, "formality": C.FORMALITIES, "typos": C.TYPOS, "syntax": C.SYNTAXES}
 
 
-def style_column(index: Column, styles: Sequence[Mapping[str, str]]) -> Column:
-    """The style at ``index`` modulo the number of styles, as a struct."""
-    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in styles])
-    return F.get(listed, (index % len(styles)).cast("int"))
+def style_column(index: Column, n: int = 20, parts: Mapping[str, Sequence[str]] = STYLE_PARTS) -> Column:
+    """The style of a running number, as a struct with a value of every part.
+
+    Numbers stand for combinations like the digits of a number stand for its value, the last part
+    being the lowest digit. ``n`` of them, equally far apart, are used in turn.
+    """
+    lowest, places = 1, {}
+    for name in reversed(parts):
+        places[name] = lowest
+        lowest *= len(parts[name])
+    stride, used = max(1, lowest // n), min(n, lowest)
+    code = (index % used) * stride
+    digit = {name: F.floor(code / places[name]) % len(values) for name, values in parts.items()}
+    return F.struct(*[F.get(F.array(*map(F.lit, values)), digit[name].cast("int")).alias(name) for name, values in parts.items()])
 
 
 def fill_template(template: str, values: Mapping[str, Column]) -> Column:
@@ -82,7 +87,7 @@ def _prompts(
     )
     known = F.create_map(*[F.lit(x) for pair in intents.items() for x in pair])
     styled = rows.join(lists, ["label", "cluster_name"]).withColumns(
-        {"style": style_column(F.col(number), style_grid()), "drawn": drawn}
+        {"style": style_column(F.col(number)), "drawn": drawn}
     )
     prompt = fill_template(
         template,

@@ -12,6 +12,7 @@ from curate.constants import LABEL_NAMES, SEED
 from curate.functions.text import normalise
 from curate.operators.balance import is_synthetic, label_name
 from curate.operators.split import stratified_split
+from curate.sources.files import QUOTED
 
 TEXT_COLUMNS = ("tweet", "text")
 LABEL_COLUMNS = ("class", "label")
@@ -26,13 +27,14 @@ def clean_corpus(
 ) -> DataFrame:
     """``(row_id, text, label, label_name)`` from a raw table.
 
-    Text and label come from the first of their columns that exists, else they are '' and 0.
+    Text and label come, row by row, from the first of their columns that has a value, as splits read
+    together may name them differently; else they are '' and 0.
     Without a key column rows are numbered by file position; write the result once
     (:func:`cached`) before anything depends on those numbers.
     """
 
     def first_of(columns, default):
-        return next((F.col(c) for c in columns if c in raw.columns), F.lit(default))
+        return F.coalesce(*[F.col(c).cast("string") for c in columns if c in raw.columns], F.lit(default).cast("string"))
 
     key = F.col(row_id) if row_id else F.monotonically_increasing_id()
     label = first_of(label_columns, 0).cast("int")
@@ -46,7 +48,7 @@ def clean_corpus(
 
 def read_corpus(spark: SparkSession, paths: str | Sequence[str], format: str = "parquet", **options) -> DataFrame:
     """Read all source splits as one table and clean it; further options go to :func:`clean_corpus`."""
-    reader = spark.read.option("header", True).option("mergeSchema", True)
+    reader = spark.read.options(header=True, mergeSchema=True, **(QUOTED if format == "csv" else {}))
     return clean_corpus(reader.format(format).load(paths), **options)
 
 

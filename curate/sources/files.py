@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import SparkSession
 
+QUOTED = {"quote": '"', "escape": '"', "multiLine": True}
+"""Options of standard CSV: a quote inside a field is doubled, and fields may hold line breaks."""
+
 
 def dataset_paths(spark: SparkSession, root: str, ending: str) -> list[str]:
     """Sorted paths below ``root`` whose name matches the regular expression ``ending``.

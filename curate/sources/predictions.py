@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curate.constants import CLASS_NAMES
 from curate.operators.running import rank_by_number
-from curate.sources.files import dataset_paths, folder_and_stem
+from curate.sources.files import QUOTED, dataset_paths, folder_and_stem
 
 SUFFIX = "_predictions"
 
@@ -30,7 +30,7 @@ def write_predictions(
     """
     for system in systems:
         mine = wide(preds.where(F.col("system") == system), class_names).drop("system")
-        mine.write.mode("overwrite").option("header", True).format(format).save(f"{root}/{system}{SUFFIX}.{format}")
+        mine.write.mode("overwrite").options(header=True, **(QUOTED if format == "csv" else {})).format(format).save(f"{root}/{system}{SUFFIX}.{format}")
 
 
 def _positioned(df: DataFrame) -> DataFrame:
@@ -48,17 +48,21 @@ def read_predictions(
     """``(system, row_id, text, true_label, pred_label, probs)`` of all sets below ``root``.
 
     A system is named ``folder/stem``, or ``stem`` directly in the root. Sets without predicted
-    labels are skipped, absent columns read NULL. A CSV without ``row_id`` is aligned by line.
+    labels are skipped, absent columns read NULL. A set without ``row_id`` must be one
+    file; its rows are aligned by position.
     """
     base = root.rstrip("/").split("/")[-1]
     parts = []
     for path in dataset_paths(spark, root, rf"{SUFFIX}\.(csv|parquet)"):
         folder, stem = folder_and_stem(path)
         stem = stem.replace(SUFFIX, "")
-        df = spark.read.option("header", True).format(path.rsplit(".", 1)[1]).load(path)
+        kind = path.rsplit(".", 1)[1]
+        df = spark.read.options(header=True, **(QUOTED if kind == "csv" else {})).format(kind).load(path)
         if "pred_label" not in df.columns:
             continue
         if "row_id" not in df.columns:
+            if len(df.inputFiles()) > 1:  # lines of several files have no order to align systems by
+                raise ValueError(f"{path} has several files but no row_id")
             df = _positioned(df)
 
         def column(name: str, kind: str, df=df):

@@ -29,7 +29,7 @@ def chosen_cluster_count(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     k = clustering.choose_k(rows, k_range=(2, 10))
     model = clustering.fit_clusters(rows, k)
-    sized = vec.nearest_centroid(rows, clustering.model_centroids(spark, model)).groupBy("cluster").count()
+    sized = vec.nearest_centroid(rows, clustering.model_centroids(spark, model), normalise=True).groupBy("cluster").count()
     return sized.withColumn("k", F.lit(k))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curate import constants as C
 from curate.functions.hashing import draw_int
 from curate.functions.text import clean_line
 from curate.functions.vectors import cosine
@@ -299,15 +300,32 @@ def cluster_quotas(spark, sf_dir):
 
 TEMPLATE = "Write {n_variants} lines about {category} ({intent}), tone {tone}, {length}, {formality}:\n{examples}"
 INTENTS = {"src1": "news of the first source", "src2": "news of the second source"}
-_STYLES = ", ".join(
-    "({}, '{}')".format(i, "', '".join(s.values())) for i, s in enumerate(rebalance.style_grid())
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_DIGITS = """
+    styles AS (SELECT i AS style, {tones}[c // 72 % 5 + 1] AS tone, {lengths}[c // 24 % 3 + 1] AS length,
+                      {formalities}[c // 8 % 3 + 1] AS formality, {typos}[c // 4 % 2 + 1] AS typos, {syntaxes}[c % 4 + 1] AS syntax
+               FROM (SELECT i, i * 18 AS c FROM range(20) r(i)))
+""".format(**{n: _sql_list(getattr(C, n.upper())) for n in ("tones", "lengths", "formalities", "typos", "syntaxes")})
+
+
+@query(
+    "style_grid",
+    f"WITH {_DIGITS} SELECT e.event_id, tone, length, formality, typos, syntax FROM events e JOIN styles s ON s.style = e.event_id % 20",
 )
+def style_grid(spark, sf_dir):
+    """The style that the running number of an event selects."""
+    return table(spark, sf_dir, "events").select("event_id", rebalance.style_column(F.col("event_id")).alias("s")).select("event_id", "s.*")
 
 
 @query(
     "prompt_plan",
     f"""WITH {_REAL}, {_sql_quotas(MAJORITY)},
-    styles AS (SELECT * FROM (VALUES {_STYLES}) s(style, tone, length, formality, typos, syntax)),
+    {_DIGITS},
     rounds AS (SELECT label, cluster_name, unnest(range((quota + 9) // 10)) AS round FROM quotas),
     drawn AS (SELECT r.label, r.cluster_name, r.round, s.text,
                      md5(concat(r.round + 43, ':', s.row_id)) AS k,
@@ -335,7 +353,7 @@ def prompt_plan(spark, sf_dir):
 @query(
     "top_up_plan",
     f"""WITH {_REAL}, {_sql_quotas(MAJORITY)},
-    styles AS (SELECT * FROM (VALUES {_STYLES}) s(style, tone, length, formality, typos, syntax)),
+    {_DIGITS},
     attempts AS (SELECT label, unnest(range((target + 9) // 10)) AS attempt FROM targets),
     turns AS (SELECT a.label, q.cluster_name, a.attempt + 500 AS turn FROM attempts a JOIN quotas q ON q.label = a.label
                AND q.cluster_pos = a.attempt % (SELECT count(*) FROM quotas c WHERE c.label = a.label)),

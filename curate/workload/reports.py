@@ -67,7 +67,7 @@ def _values(rows):
 
 
 _KEY = "regexp_replace(trim(replace(stem, '_metrics', ''), '_'), '_(predictions|metrics|report)$', '')"
-_TITLE = "array_to_string(list_transform(string_split(replace(key, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_TITLE = r"array_to_string(list_transform(regexp_extract_all(replace(key, '_', ' '), '\p{L}+|[^\p{L}]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
 _SCENARIO = f"""{_MEASURED},
     keyed AS (SELECT *, {_KEY} AS key, lower(folder) AS lf FROM measured),
     fr AS (SELECT * FROM (VALUES {_values(_RULES)}) f(pos, folder, name, scenario, method, grp)),

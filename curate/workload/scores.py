@@ -261,7 +261,7 @@ _HARD = """
     "pred",
 )
 def hard_voting(spark, sf_dir):
-    both = votes.ensemble(predictions(spark, sf_dir))
+    both = votes.ensemble(predictions(spark, sf_dir), n_systems=3)
     return both.where(F.col("system") == "hard_voting").select("row_id", "true_label", "pred_label")
 
 
@@ -280,7 +280,7 @@ _SOFT = """
     "pred_long",
 )
 def soft_voting(spark, sf_dir):
-    both = votes.ensemble(predictions(spark, sf_dir)).where(F.col("system") == "soft_voting")
+    both = votes.ensemble(predictions(spark, sf_dir), n_systems=3).where(F.col("system") == "soft_voting")
     return rounded(both.select("row_id", "pred_label", F.posexplode("probs").alias("cls", "prob")), 6)
 
 
@@ -305,7 +305,7 @@ def soft_voting(spark, sf_dir):
     "pred_long",
 )
 def ensemble_with_priors(spark, sf_dir):
-    both = votes.ensemble(predictions(spark, sf_dir), target=TARGET, train=TRAIN)
+    both = votes.ensemble(predictions(spark, sf_dir), target=TARGET, train=TRAIN, n_systems=3)
     return rounded(
         both.select("system", "row_id", "true_label", "pred_label", F.posexplode("probs").alias("cls", "prob")), 6
     )
@@ -403,7 +403,7 @@ def macro_pr_curve(spark, sf_dir):
 
 def _with_ensembles(spark, sf_dir):
     preds = predictions(spark, sf_dir)
-    return preds.unionByName(votes.ensemble(preds))
+    return preds.unionByName(votes.ensemble(preds, n_systems=3))
 
 
 _ALL_LONG = f"""{_HARD.format(source='pred')}, {_SOFT},
@@ -444,7 +444,7 @@ def degenerate_scores(spark, sf_dir):
     "pred",
 )
 def operating_point(spark, sf_dir):
-    hard = votes.ensemble(predictions(spark, sf_dir)).where(F.col("system") == "hard_voting")
+    hard = votes.ensemble(predictions(spark, sf_dir), n_systems=3).where(F.col("system") == "hard_voting")
     return rounded(curves.operating_point(hard))
 
 

@@ -17,20 +17,9 @@ SYSTEM_BOOST = {"A": 20, "B": 35, "C": 50}
 N_CLASSES = 3
 
 
-SPREAD_BY = {"documents": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.
-
-    A file with one row group is one scan task. Where costly per-row work follows, such a small
-    table is spread over the cores; a table with at least a task per core is left as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_BY and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, SPREAD_BY[name])
-    return df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ------------------------------------------------------------------------------------- scores

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curate.operators import balance, metrics, significance, training
 from curate.operators.votes import ensemble
-from curate.plans.rebalance import style_grid
+from curate.plans.rebalance import style_column
 
 TRAIN_COUNTS = {0: 1001, 1: 13433, 2: 2914}
 SUPPORT = (214, 2879, 625)
@@ -42,9 +42,9 @@ def test_class_weights(train):
     assert got == pytest.approx({0: 17348 / 3003, 1: 17348 / 40299, 2: 17348 / 8742}, rel=1e-15)
 
 
-def test_style_grid():
-    styles = style_grid(20)
-    assert len(styles) == 20
+def test_style_grid(spark):
+    styles = [r["s"] for r in spark.range(40).select(style_column(F.col("id")).alias("s")).orderBy("id").collect()]
+    assert len(set(styles)) == 20 and styles[:20] == styles[20:]
     assert len({s["syntax"] for s in styles}) == 2
 
 
