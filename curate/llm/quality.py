@@ -94,6 +94,13 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
+def _excerpts(text: Column, chars: int, pieces: int = 4) -> Column:
+    """The whole text if it has at most ``chars`` characters, else runs spread evenly from its start to its end."""
+    size, n = max(chars // pieces, 1), F.length(text)
+    runs = [F.substr(text, F.floor((n - size) * i / (pieces - 1)).cast("int") + 1, F.lit(size)) for i in range(pieces)]
+    return F.when(n <= chars, F.array(text)).otherwise(F.array(*runs))
+
+
 def scored_features(docs: DataFrame, dictionaries: tuple[bytes, bytes], keep: list[str]) -> DataFrame:
     """(``keep``…, x ARRAY<DOUBLE>) of every whole text."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
@@ -122,8 +129,8 @@ def fit(
     """Learn from labelled rows for which ``usable`` (a condition on ``doc_id``) holds.
 
     The sample is bounded: in each half, dealt by a hash of the id, the first ``dictionary_rows`` of
-    each class give ``dictionary_chars`` characters at most to its dictionaries, and the first
-    ``calibration_rows`` are measured for the curve. Which rows it holds depends only on the ids.
+    each class give ``dictionary_chars`` characters at most, taken from all over the text, to its
+    dictionaries, and the first ``calibration_rows`` are measured for the curve, on whole texts. Which rows it holds depends only on the ids.
     Rows with a NULL label or text are passed over. If a half lacks a class, there is no curve.
     """
     place = F.xxhash64(F.lit(11), "doc_id")
@@ -137,12 +144,12 @@ def fit(
     parts = [known.where((F.col("half") == half) & (F.col("y") == y)) for half in (0, 1) for y in (0, 1)]
     # At most 4 * dictionary_rows rows of three numbers.
     chosen = reduce(DataFrame.unionByName, [first(rows, dictionary_rows) for rows in parts])
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "half", "y", F.left("text", F.lit(dictionary_chars)).alias("t")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["t"]))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "half", "y", _excerpts(F.col("text"), dictionary_chars).alias("runs")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["runs"]))
     samples: dict[tuple[int, int], list[bytes]] = {(half, y): [] for half in (0, 1) for y in (0, 1)}
     for r in rows:
-        data = r["t"].encode()
-        samples[r["half"], r["y"]] += [data[i : i + 2 * BLOCK] for i in range(0, len(data), 2 * BLOCK)]
+        for data in map(str.encode, r["runs"]):
+            samples[r["half"], r["y"]] += [data[i : i + 2 * BLOCK] for i in range(0, len(data), 2 * BLOCK)]
     base = known.agg(F.avg("y")).first()[0]
     base = 0.5 if base is None else float(base)
     if not all(samples.values()):
