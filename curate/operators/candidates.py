@@ -56,9 +56,14 @@ def deduplicate(df: DataFrame, order: Sequence[str], text: str = "text") -> Data
 
 
 def without_seen(df: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
-    """Drop texts that equal, up to case, any text of ``seen``."""
-    known = seen.select(text_key(F.col(text)).alias("__key"))
-    keyed = df.withColumn("__key", text_key(F.col(text)))
+    """Drop texts that equal, up to case, any text of ``seen``.
+
+    Digests of 256 bits stand for the texts, so no text of ``seen`` is shuffled, and equal ones are
+    reduced to one before the shuffle, so a line that fills the table is no hot key.
+    """
+    key = F.unhex(F.sha2(text_key(F.col(text)), 256))
+    known = seen.select(key.alias("__key")).distinct()
+    keyed = df.withColumn("__key", key)
     return keyed.join(known, "__key", "left_anti").drop("__key")
 
 
@@ -72,8 +77,8 @@ def filter_candidates(
 ) -> DataFrame:
     """Clean, validate, keep the first of equal texts, drop those already seen; adds ``text``.
 
-    Equal texts are reduced to one before the anti-join, which gives the same rows and leaves no
-    hot key to join on.
+    Equal texts are reduced to one before the anti-join, on both sides, which gives the same rows and
+    leaves no hot key to join on.
     """
     cleaned = with_once(candidates, "text", clean_line(F.col(raw)))
     valid = cleaned.where(is_valid(F.col("text"), min_chars, max_chars))

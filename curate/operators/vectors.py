@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from curate.functions.once import with_once
 from curate.functions.vectors import as_double, best_match, dot, norm, unit
+from curate.session import stored
 
-MAX_BROADCAST_REFS = 100_000
-MAX_SMALL_ROWS = 10_000
+BROADCAST_BYTES = 64 << 20
+"""References of at most so many bytes, as doubles, go to every executor; more are joined in lists."""
 LIST_ROWS = 1_000
+SALT_ROWS = 50_000
+"""Rows that meet the lists of their group in one place."""
 
 
 def centroids(df: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataFrame:
@@ -27,29 +30,45 @@ def _reference_lists(refs: DataFrame, keys: Sequence[str], vec: str) -> DataFram
     return refs.groupBy(*keys).agg(F.collect_list(unit(F.col(vec))).alias("__refs"))
 
 
+def _met(rows: DataFrame, lists: DataFrame, keys: Sequence[str], row_id: str, most: int) -> DataFrame:
+    """Every row with each list of its key, where no key has more than ``most`` rows.
+
+    The rows of a key are dealt over salts of some SALT_ROWS rows and its lists are copied to each, so
+    a row is shuffled once however many lists there are, and a key of any size is many tasks.
+    """
+    salts = max(1, -(-most // SALT_ROWS))
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    right = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "__salt"])
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a number ``__row``, stored, so that a retry cannot number them anew."""
+    return stored(df.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def best_similarity(
     candidates: DataFrame,
     refs: DataFrame,
     by: Sequence[str],
     vec: str = "embedding",
     out: str = "similarity",
-    max_broadcast_refs: int = MAX_BROADCAST_REFS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add the largest cosine similarity of each row to the references of its group.
 
-    References are meant to be a capped sample (:func:`curate.operators.sampling.stratified_seeds`).
-    They become one list per group and are broadcast, so candidates are neither shuffled nor
-    paired. More than ``max_broadcast_refs`` references fail the job; use
-    :func:`best_similarity_in_blocks` for those. A row without references gets NULL.
+    The references may be a capped sample (:func:`curate.operators.sampling.stratified_seeds`) or all
+    rows. Their size is looked up first: up to ``broadcast_bytes`` they become one list per group and
+    are broadcast, so candidates are neither shuffled nor paired; beyond that the rows go through
+    :func:`best_similarity_in_blocks`, with the same result. A row without references gets NULL.
     """
-    count = refs.agg(F.count("*")).scalar()
-    lists = _reference_lists(refs, by, vec).withColumn(
-        "__refs",
-        F.when(count <= max_broadcast_refs, F.col("__refs")).otherwise(
-            F.raise_error(F.lit("too many references to broadcast: use best_similarity_in_blocks"))
-        ),
-    )
-    joined = candidates.join(F.broadcast(lists), list(by), "left")
+    size = refs.agg(F.sum(F.size(vec) * F.lit(8) + 64)).first()[0] or 0
+    if size > broadcast_bytes:
+        numbered = _numbered(candidates, "candidates")
+        distinct = refs.select(*by, vec).distinct()
+        scored = best_similarity_in_blocks(numbered, distinct, by, "__row", vec, vec=vec, out=out)
+        return scored.select(*candidates.columns, out)
+    joined = candidates.join(F.broadcast(_reference_lists(refs, by, vec)), list(by), "left")
     return with_once(joined, out, best_match(F.col(vec), F.col("__refs"))).drop("__refs")
 
 
@@ -65,20 +84,20 @@ def best_similarity_in_blocks(
 ) -> DataFrame:
     """:func:`best_similarity` for any number of references, by a shuffle join.
 
-    The references of a group are spread over ``blocks`` lists; a candidate meets each list once
-    and keeps its maximum, so neither a list nor a join key grows with the group. By default there
-    are as many lists as keep the largest group near LIST_ROWS references each.
+    The references of a group are spread over ``blocks`` lists, by default so many that the largest
+    group has near LIST_ROWS in each. A candidate is sent once, meets the lists of its group one by
+    one and keeps its maximum. ``row_id`` tells candidates apart.
     """
     by = list(by)
-    if blocks is None:
-        largest = refs.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        blocks = max(1, -(-largest // LIST_ROWS))
-    block = F.pmod(F.xxhash64(ref_id), F.lit(blocks)).cast("int").alias("__block")
-    lists = _reference_lists(refs.select(*by, vec, block), [*by, "__block"], vec)
-    slim = candidates.select(
-        *by, row_id, F.col(vec).alias("__vec"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
-    )
-    met = slim.join(lists, [*by, "__block"])
+
+    def largest(df: DataFrame) -> int:
+        return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+    blocks = blocks or max(1, -(-largest(refs) // LIST_ROWS))
+    block = F.pmod(F.xxhash64(ref_id), F.lit(blocks)).alias("__block")
+    lists = _reference_lists(refs.select(*by, vec, block), [*by, "__block"], vec).drop("__block")
+    slim = candidates.select(*by, row_id, F.col(vec).alias("__vec"))
+    met = _met(slim, lists, by, row_id, largest(candidates))
     best = met.groupBy(row_id).agg(F.max(best_match(F.col("__vec"), F.col("__refs"))).alias(out))
     return candidates.join(best, row_id, "left")
 
@@ -110,13 +129,15 @@ def acceptance_rate(scored: DataFrame, by: Sequence[str], threshold: float, scor
     )
 
 
-def _small_list(df: DataFrame, *columns: Column) -> Column:
-    """A small table as one array, computed once; fails beyond MAX_SMALL_ROWS rows."""
-    listed = F.array_sort(F.collect_list(F.struct(*columns)))
-    checked = F.when(F.count("*") <= MAX_SMALL_ROWS, listed).otherwise(
-        F.raise_error(F.lit(f"expected at most {MAX_SMALL_ROWS} rows"))
-    )
-    return df.agg(checked).scalar()
+def _list_of(df: DataFrame, *columns: Column) -> Column:
+    """The rows of a table of at most LIST_ROWS as one array, computed once."""
+    return df.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
+
+
+def _lists_of(df: DataFrame, n: int, *columns: Column, spread: str, out: str) -> DataFrame:
+    """``n`` rows as lists of near LIST_ROWS each, one per row."""
+    block = F.pmod(F.xxhash64(spread), F.lit(-(-n // LIST_ROWS))).alias("__block")
+    return df.select("*", block).groupBy("__block").agg(F.collect_list(F.struct(*columns)).alias(out)).drop("__block")
 
 
 def category_similarity(
@@ -124,10 +145,17 @@ def category_similarity(
 ) -> DataFrame:
     """Cosine similarity of every centroid with every category anchor, ``(…, category, similarity)``.
 
-    ``anchors`` is the caller's short list ``(category, embedding)``; it becomes one array.
+    ``anchors`` is ``(category, embedding)``; a short list becomes one array, a long one several, which
+    the centroids meet by a join.
     """
-    listed = _small_list(anchors, F.col("category"), unit(F.col("embedding")).alias("v"))
-    wide = centers.select(*cluster, "centroid", F.explode(listed).alias("__a"))
+    entry = (F.col("category"), unit(F.col("embedding")).alias("v"))
+    n = anchors.count()
+    if n <= LIST_ROWS:
+        met = centers.select(*cluster, "centroid").withColumn("__all", _list_of(anchors, *entry))
+    else:
+        numbered = _numbered(centers.select(*cluster, "centroid"), "centers")
+        met = _met(numbered, _lists_of(anchors, n, *entry, spread="category", out="__all"), [], "__row", numbered.count())
+    wide = met.select(*cluster, "centroid", F.explode("__all").alias("__a"))
     similarity = dot(F.col("centroid"), F.col("__a.v")) / norm(F.col("centroid"))
     return wide.select(*cluster, F.col("__a.category").alias("category"), similarity.alias("similarity"))
 
@@ -137,11 +165,9 @@ def nearest_centroid(
 ) -> DataFrame:
     """Add the name of the closest centroid (smallest Euclidean distance, lowest name on ties).
 
-    ``normalise`` brings the vectors to length 1 first, for centroids of such vectors.
+    ``normalise`` brings the vectors to length 1 first, for centroids of such vectors. Up to LIST_ROWS
+    centroids are one array and no row is shuffled; more are lists that the rows meet by a join.
     """
-    listed = _small_list(centers, F.col(name), as_double(F.col("centroid")).alias("v"))
-    own = unit(F.col(vec)) if normalise else as_double(F.col(vec))
-    with_vec = df.withColumn("__v", own).withColumn("__all", listed)
 
     def entry(c: Column, v: Column) -> Column:
         gap = F.aggregate(
@@ -150,4 +176,14 @@ def nearest_centroid(
         return F.struct(gap.alias("gap"), c[name].alias("name"))
 
     best = F.array_min(F.zip_with("__all", F.array_repeat("__v", F.size("__all")), entry))
-    return with_vec.withColumn(name, best["name"]).drop("__v", "__all")
+    own = (unit(F.col(vec)) if normalise else as_double(F.col(vec))).alias("__v")
+    center = (F.col(name), as_double(F.col("centroid")).alias("v"))
+    n = centers.count()
+    if n <= LIST_ROWS:
+        met = df.select("*", own).withColumn("__all", _list_of(centers, *center))
+        return met.withColumn(name, best["name"]).drop("__v", "__all")
+    numbered = _numbered(df, "rows")
+    lists = _lists_of(centers, n, *center, spread=name, out="__all")
+    met = _met(numbered.select("__row", own), lists, [], "__row", numbered.count())
+    found = met.groupBy("__row").agg(F.min(best).alias("__best"))
+    return numbered.join(found, "__row", "left").withColumn(name, F.col("__best.name")).drop("__row", "__best")

@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curate.functions.once import with_once
 from curate.functions.prob import adjust_priors, arg_max, one_hot
 
-TIE_DIGITS = 12
-"""Digits kept of mean probabilities. A shuffle adds doubles in any order, so without this equal
-means could differ in the last bit, which would break ties in labels and curves at random."""
-
 
 def with_adjusted_priors(
     preds: DataFrame,
@@ -49,7 +46,9 @@ def ensemble(
 
     Hard voting takes the most frequent label (lowest on ties) and gives it probability 1. Soft
     voting averages the probabilities. With ``target`` priors each model is corrected before it
-    votes in the hard vote, and the average is corrected after averaging in the soft vote.
+    votes in the hard vote, and the average is corrected after averaging in the soft vote. Sums run
+    in the order of the systems' names, so equal rows get equal means whatever order a shuffle brings
+    them in, and no digit is cut.
     A row that some system predicted twice, that fewer than ``min_systems`` predicted, or whose systems
     disagree about the truth fails the job, and with ``n_systems`` one that any of so many lacks.
     """
@@ -63,8 +62,14 @@ def ensemble(
         F.count("*").alias("n_systems"),
         F.size(F.collect_set("system")).alias("n_distinct"),
         F.array(*[F.count_if(F.col("vote") == c) for c in range(n_classes)]).alias("votes"),
-        F.array(*[F.round(F.avg(F.col("probs")[c]), TIE_DIGITS) for c in range(n_classes)]).alias("mean"),
+        # One entry for each system, of which a registry has a few.
+        F.array_sort(F.collect_list(F.struct("system", "probs"))).alias("each"),
     )
+
+    def mean(c: int) -> Column:
+        return F.aggregate("each", F.lit(0.0), lambda acc, x: acc + x["probs"][c]) / F.col("n_systems")
+
+    per_row = with_once(per_row, "mean", F.array(*[mean(c) for c in range(n_classes)]))
     enough = F.col("n_systems") >= min_systems if n_systems is None else F.col("n_systems") == n_systems
     aligned = enough & (F.col("n_systems") == F.col("n_distinct")) & (F.col("true_label") == F.col("other_truth"))
     checked = per_row.withColumn(
@@ -81,7 +86,7 @@ def ensemble(
         return F.struct(F.lit(name).alias("system"), pred.alias("pred_label"), probs.alias("probs"))
 
     winner = arg_max(F.col("votes"))
-    leader = arg_max(F.array(*[F.round(soft[c], TIE_DIGITS) for c in range(n_classes)]))
+    leader = arg_max(soft)
     rows = F.array(system(hard_name, winner, one_hot(winner, n_classes)), system(soft_name, leader, soft))
     return checked.select("row_id", "true_label", F.inline(rows)).select(
         "system", "row_id", "true_label", "pred_label", "probs"

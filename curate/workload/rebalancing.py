@@ -115,7 +115,7 @@ def _sql_cosine(a: str, b: str) -> str:
 def cosine_to_centroid(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     centers = vec.centroids(rows, ["cluster_name"])
-    scored = rows.join(centers, "cluster_name")
+    scored = rows.join(F.broadcast(centers), "cluster_name")  # a row for each of the fixed cluster names
     return rounded(scored.select("vec_id", "cluster_name", cosine(F.col("embedding"), F.col("centroid")).alias("similarity")))
 
 

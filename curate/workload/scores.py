@@ -266,14 +266,14 @@ def hard_voting(spark, sf_dir):
 
 
 _SOFT = """
-    mean AS (SELECT row_id, true_label, cls, round(avg(prob), 12) AS prob FROM pred_long GROUP BY ALL)
+    mean AS (SELECT row_id, true_label, cls, sum(prob ORDER BY system) / count(*) AS prob FROM pred_long GROUP BY ALL)
 """
 
 
 @query(
     "soft_voting",
     f"""WITH {_SOFT}
-    SELECT row_id, cls::INTEGER AS cls, round(prob, 6) AS prob,
+    SELECT row_id, cls::INTEGER AS cls, round(prob, 9) AS prob,
            (first_value(cls) OVER (PARTITION BY row_id ORDER BY prob DESC, cls))::INTEGER AS pred_label
     FROM mean
     """,
@@ -281,7 +281,7 @@ _SOFT = """
 )
 def soft_voting(spark, sf_dir):
     both = votes.ensemble(predictions(spark, sf_dir), n_systems=3).where(F.col("system") == "soft_voting")
-    return rounded(both.select("row_id", "pred_label", F.posexplode("probs").alias("cls", "prob")), 6)
+    return rounded(both.select("row_id", "pred_label", F.posexplode("probs").alias("cls", "prob")))
 
 
 @query(
@@ -294,20 +294,20 @@ def soft_voting(spark, sf_dir):
     soft_scaled AS (SELECT m.row_id, m.true_label, m.cls, m.prob * (p.target / greatest(p.train, 1e-8)) AS s
                     FROM mean m JOIN priors p ON m.cls = p.cls),
     soft_prob AS (SELECT *, s / sum(s) OVER (PARTITION BY row_id) AS prob FROM soft_scaled),
-    soft AS (SELECT *, first_value(cls) OVER (PARTITION BY row_id ORDER BY round(prob, 12) DESC, cls) AS pred_label
+    soft AS (SELECT *, first_value(cls) OVER (PARTITION BY row_id ORDER BY prob DESC, cls) AS pred_label
              FROM soft_prob)
     SELECT 'hard_voting' AS system, h.row_id, h.true_label, h.pred_label::INTEGER AS pred_label, c.cls::INTEGER AS cls,
            CASE WHEN h.pred_label = c.cls THEN 1.0::DOUBLE ELSE 0.0 END AS prob
     FROM hard h, (VALUES (0), (1), (2)) c(cls)
     UNION ALL
-    SELECT 'soft_voting', row_id, true_label, pred_label::INTEGER, cls::INTEGER, round(prob, 6) FROM soft
+    SELECT 'soft_voting', row_id, true_label, pred_label::INTEGER, cls::INTEGER, round(prob, 9) FROM soft
     """,
     "pred_long",
 )
 def ensemble_with_priors(spark, sf_dir):
     both = votes.ensemble(predictions(spark, sf_dir), target=TARGET, train=TRAIN, n_systems=3)
     return rounded(
-        both.select("system", "row_id", "true_label", "pred_label", F.posexplode("probs").alias("cls", "prob")), 6
+        both.select("system", "row_id", "true_label", "pred_label", F.posexplode("probs").alias("cls", "prob"))
     )
 
 

@@ -169,8 +169,31 @@ def test_similarity_block_join_equals_broadcast(spark):
     for i, value in one.items():
         assert value == pytest.approx(two[i], abs=1e-12)
         assert value == pytest.approx(three[i], abs=1e-12)
-    with pytest.raises(PySparkException):
-        vec.best_similarity(df, refs, ["k"], max_broadcast_refs=10).collect()
+    wide = vec.best_similarity(df, refs.union(refs), ["k"], broadcast_bytes=10)
+    assert wide.columns == [*df.columns, "similarity"]
+    assert {r["id"]: r["similarity"] for r in wide.collect()} == pytest.approx(one, abs=1e-12)
+
+
+def test_long_lists_and_salts_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, "c", [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)], "id long, k string, embedding array<double>")
+    centers = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(25)], "cluster long, centroid array<double>")
+    anchors = centers.select(F.col("cluster").alias("category"), F.col("centroid").alias("embedding"))
+
+    def rows(found):
+        return sorted(tuple(map(str, r)) for r in found.collect())
+
+    def all_three():
+        return [
+            rows(vec.nearest_centroid(df, centers, normalise=True).select("id", "cluster")),
+            rows(vec.category_similarity(centers, anchors).withColumn("similarity", F.round("similarity", 9))),
+            rows(vec.best_similarity(df, df.where("id < 40"), ["k"], broadcast_bytes=0).withColumn("similarity", F.round("similarity", 9))),
+        ]
+
+    short = all_three()
+    monkeypatch.setattr(vec, "LIST_ROWS", 4)
+    monkeypatch.setattr(vec, "SALT_ROWS", 20)
+    assert all_three() == short
 
 
 def test_gate_without_candidates(spark):

@@ -76,3 +76,10 @@ def test_nearest_centroid_of_unit_vectors(spark):
     centers = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "cluster int, centroid array<double>")
     rows = spark.createDataFrame([(1, [0.1, 0.12])], "vec_id long, embedding array<double>")
     assert nearest_centroid(rows, centers, normalise=True).first()["cluster"] == 1
+
+
+def test_soft_vote_keeps_small_scores(spark):
+    rows = [("m", 1, 1, 1, [2e-13, 1 - 2e-13, 0.0]), ("n", 1, 1, 1, [4e-13, 1 - 4e-13, 0.0])]
+    preds = spark.createDataFrame(rows, "system string, row_id long, true_label int, pred_label int, probs array<double>")
+    soft = ensemble(preds).where("system = 'soft_voting'").first()
+    assert soft["probs"][0] == pytest.approx(3e-13, rel=1e-9) and soft["pred_label"] == 1
