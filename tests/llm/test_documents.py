@@ -203,3 +203,10 @@ def test_shards_of_nothing_and_of_the_whole_table(spark):
         assert r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
     assert got["size"].tolist() == [len(texts[i].encode()) + 1 for i in got.doc_id]
     assert len(got) == len(texts) and set(got.law) == {"bytes"}
+
+
+def test_dictionary_text_comes_from_all_over_a_document(spark):
+    texts = [("short",), ("a" * 40 + "b" * 40 + "c" * 40 + "d" * 40,), ("",)]
+    df = spark.createDataFrame(texts, "text string")
+    got = [r[0] for r in df.select(quality._excerpts(F.col("text"), 16)).collect()]
+    assert got == [["short"], ["aaaa", "bbbb", "cccc", "dddd"], [""]]
