@@ -13,7 +13,8 @@ from curate.workload.catalog import QUERIES
 HEADLINE = (
     "core_metrics confusion_matrix evaluate_systems ensemble_with_priors ensemble_evaluation roc_points "
     "macro_pr_curve pairwise_signed_rank read_corpus stratified_split filter_candidates best_similarity "
-    "prompt_plan perturbed_oversample augment validation_loss early_stop"
+    "prompt_plan perturbed_oversample augment validation_loss early_stop curve_order scenario_jobs "
+    "train_classifiers chosen_cluster_count cluster_texts augment_one_class"
 ).split()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from curate.constants import RECALL_GRID
 from curate.operators.running import running
+from curate.session import stored
 
 SYSTEM = ("system",)
 
@@ -29,6 +30,25 @@ def class_scores(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int =
     return preds.select(*by, F.inline(F.array(*rows)))
 
 
+def score_counts(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3) -> DataFrame:
+    """Per class and distinct score: rows ``n``, of the class ``p``, of others ``q``.
+
+    With predicted labels also ``predicted`` (rows labelled with the class) and ``hits`` (rightly so).
+    Margins, areas, curves and flags all follow from this table, so one that is stored serves them all
+    and the predictions, which may be votes still to be counted, are made once.
+    """
+    labelled = "pred_label" in preds.columns
+    rows = []
+    for c in range(n_classes):
+        fields = [F.lit(c).alias("cls"), F.col("probs")[c].alias("score"), (F.col("true_label") == c).alias("positive")]
+        rows.append(F.struct(*fields, *([(F.col("pred_label") == c).alias("named")] if labelled else [])))
+    sums = {"n": F.count("*"), "p": F.count_if(F.col("positive")), "q": F.count_if(~F.col("positive"))}
+    if labelled:
+        sums |= {"predicted": F.count_if(F.col("named")), "hits": F.count_if(F.col("named") & F.col("positive"))}
+    long = preds.select(*by, F.inline(F.array(*rows)))
+    return long.groupBy(*by, "cls", "score").agg(*[v.alias(k) for k, v in sums.items()])
+
+
 def _score_spread(score: Column) -> Column:
     """Grows with the score and gives room to both ends, where confident models crowd.
 
@@ -47,8 +67,13 @@ def running_counts(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     grouped = scores.groupBy(*keys, "score").agg(
         F.count_if(F.col("positive")).alias("p"), F.count_if(~F.col("positive")).alias("q")
     )
+    return _cumulated(grouped, keys)
+
+
+def _cumulated(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Running counts over the scores of a table like that of :func:`score_counts`."""
     counts = running(
-        grouped,
+        grouped.select(*keys, "score", "p", "q"),
         keys,
         _score_spread(F.col("score")),
         [F.desc("score")],
@@ -70,8 +95,15 @@ def class_areas(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3
     The ROC area is NULL where a class has no positives or no negatives; average precision is 0
     where it has no positives.
     """
-    counts = _counts(preds, by, n_classes)
+    return _areas(_counts(preds, by, n_classes), by)
 
+
+def areas_of_counts(counts: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
+    """:func:`class_areas` from the table of :func:`score_counts`."""
+    return _areas(_cumulated(counts, [*by, "cls"]), by)
+
+
+def _areas(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     def double(name: str) -> Column:
         return F.col(name).cast("double")
 
@@ -170,11 +202,17 @@ def macro_pr_curve(
 
 def degenerate_scores(preds: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
     """Whether all scores of a class are exactly 0 or 1, and whether all classes of a system are."""
-    per_class = class_scores(preds, by).groupBy(*by, "cls").agg(
+    return degenerate_counts(class_scores(preds, by), by)
+
+
+def degenerate_counts(scores: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
+    """:func:`degenerate_scores` from any table with the scores of each class, repeated or not."""
+    per_class = scores.groupBy(*by, "cls").agg(
         F.bool_and(F.col("score").isin(0.0, 1.0)).alias("class_degenerate")
     )
-    whole = per_class.groupBy(*by).agg(F.bool_and("class_degenerate").alias("system_degenerate"))
-    return per_class.join(whole, list(by))
+    # A row per system and class by now.
+    whole = F.bool_and("class_degenerate").over(Window.partitionBy(*by))
+    return per_class.withColumn("system_degenerate", whole)
 
 
 def operating_point(preds: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
@@ -199,9 +237,10 @@ def curve_order(preds: DataFrame, by: Sequence[str] = SYSTEM, focus: int = 0) ->
     Systems with 0/1 scores only have no curve and are left out.
     """
     by = list(by)
-    flags = degenerate_scores(preds, by)
+    counts = stored(score_counts(preds, by), "score_counts")
+    flags = degenerate_counts(counts, by)
     drawn = flags.where((F.col("cls") == focus) & ~F.col("system_degenerate")).select(*by)
-    areas = class_areas(preds, by).join(drawn, by, "left_semi")
+    areas = areas_of_counts(counts, by).join(drawn, by, "left_semi")
     per_system = areas.groupBy(*by).agg(
         F.max(F.when(F.col("cls") == focus, F.col("average_precision"))).alias("focus_ap"),
         F.avg("average_precision").alias("mean_ap"),

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curate.constants import CLASS_NAMES
-from curate.operators.curves import class_areas
+from curate.operators.curves import areas_of_counts, class_areas, score_counts
+from curate.session import stored
 
 SYSTEM = ("system",)
 
@@ -70,6 +71,20 @@ def margins(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3) ->
     )
 
 
+def margins_of_counts(counts: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3) -> DataFrame:
+    """:func:`margins` from the table of :func:`curate.operators.curves.score_counts`."""
+
+    def per_class(name):
+        return F.array(*[F.sum(F.when(F.col("cls") == c, F.col(name))) for c in range(n_classes)])
+
+    return counts.groupBy(*by).agg(
+        F.sum(F.when(F.col("cls") == 0, F.col("n"))).alias("n"),
+        per_class("hits").alias("tp"),
+        per_class("predicted").alias("predicted"),
+        per_class("p").alias("support"),
+    )
+
+
 def _ratio(a: Column, b: Column) -> Column:
     """a / b with 0 / 0 = 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -140,15 +155,22 @@ def all_metrics(
     class_names: Sequence[str] = CLASS_NAMES,
     labels: str = "present",
 ) -> DataFrame:
-    """:func:`core_metrics` plus the ROC and precision-recall areas."""
-    by = list(by)
-    areas = area_metrics(preds, by, len(class_names))
-    return core_metrics(preds, by, class_names, labels).join(areas, by, "left")
+    """:func:`core_metrics` plus the ROC and precision-recall areas.
+
+    ``preds`` is evaluated once, into stored counts by score, from which all metrics follow.
+    """
+    by, n = list(by), len(class_names)
+    counts = stored(score_counts(preds, by, n), "score_counts")
+    areas = _area_means(areas_of_counts(counts, by), by, n)
+    return metrics_from_margins(margins_of_counts(counts, by, n), by, class_names, labels).join(areas, by, "left")
 
 
 def area_metrics(preds: DataFrame, by: Sequence[str] = SYSTEM, n_classes: int = 3) -> DataFrame:
     """``roc_auc_macro``, ``roc_auc_weighted`` (NULL if any class has one label only), ``pr_auc_macro``."""
-    per_class = class_areas(preds, by, n_classes)
+    return _area_means(class_areas(preds, by, n_classes), by, n_classes)
+
+
+def _area_means(per_class: DataFrame, by: Sequence[str], n_classes: int) -> DataFrame:
     complete = F.count("roc_auc") == n_classes
     return per_class.groupBy(*by).agg(
         F.when(complete, F.avg("roc_auc")).alias("roc_auc_macro"),

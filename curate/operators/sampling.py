@@ -27,11 +27,12 @@ def stratified_seeds(
     """A seeded sample without replacement of up to ``per_group`` (at least 5) rows per group.
 
     A small rank filter is a group limit before the shuffle: a task sends at most that many rows of
-    a group on. Larger samples are ranked in buckets.
+    a group on. Larger samples are ranked in buckets. Both give the same rows; NULL is a group.
     """
     if per_group > GROUP_LIMIT:
-        keyed = df.withColumn("__key", draw_key(seed, F.lit(":"), F.col(row_id)))
-        ranked = rank_by_key(keyed, by, "__key", [row_id], "__place")
+        whole = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+        keyed = df.withColumns({"__group": whole, "__key": draw_key(seed, F.lit(":"), F.col(row_id))})
+        ranked = rank_by_key(keyed, ["__group"], "__key", [row_id], "__place")
         return ranked.where(F.col("__place") <= per_group).select(*df.columns)
     order = Window.partitionBy(*by).orderBy("__key", row_id)
     ranked = df.withColumn("__key", draw_key(seed, F.lit(":"), F.col(row_id))).withColumn(

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curate.constants import MIN_DELTA, PATIENCE
+from curate.functions.once import with_once
 from curate.operators.running import running_max_before
 
 
@@ -25,35 +23,37 @@ def early_stop(history: DataFrame, patience: int = PATIENCE, min_delta: float =
     Epochs of a run are numbered from 1 without gaps. ``stop_epoch`` is NULL if the run ends
     before ``patience`` epochs pass without a gain of more than ``min_delta``.
 
-    Only an epoch that beats all before it can count as a gain, so the sequential replay reads
-    these records alone, as a sorted stream that keeps one run's state.
+    Only an epoch that beats all before it can count as a gain, so the replay is a fold over these
+    records alone, a short array per run.
     """
     spread = 1.0 - 1.0 / (F.col("epoch").cast("double") + 1.0)
     marked = running_max_before(history, ["run"], spread, [F.asc("epoch")], F.col("score"), "before", few_groups=False)
-    records = marked.where(F.col("before").isNull() | (F.col("score") > F.col("before"))).select(
-        "run", F.col("epoch").cast("bigint").alias("epoch"), F.col("score").cast("double").alias("score"), F.lit(False).alias("is_end")
+    ahead = F.col("before").isNull() | (F.col("score") > F.col("before"))
+    record = F.struct(F.col("epoch").cast("bigint").alias("epoch"), F.col("score").cast("double").alias("score"))
+    runs = marked.groupBy("run").agg(
+        F.max("epoch").cast("bigint").alias("epochs"),
+        F.array_sort(F.collect_list(F.when(ahead & F.col("score").isNotNull(), record))).alias("records"),
+    )
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("last"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("stop")
     )
-    ends = history.groupBy("run").agg(F.max("epoch").cast("bigint").alias("epoch")).select(
-        "run", "epoch", F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_end")
+
+    def step(state: Column, r: Column) -> Column:
+        late = state["best"].isNotNull() & (r["epoch"] - state["last"] > patience)
+        stop = F.coalesce(state["stop"], F.when(late, state["last"] + patience))
+        gain = stop.isNull() & (state["best"].isNull() | (r["score"] > state["best"] + min_delta))
+        return F.struct(
+            F.when(gain, r["epoch"]).otherwise(state["last"]).alias("last"),
+            F.when(gain, r["score"]).otherwise(state["best"]).alias("best"),
+            stop.alias("stop"),
+        )
+
+    replayed = with_once(runs, "end", F.aggregate("records", start, step))
+    ended = F.col("end.best").isNotNull() & (F.col("epochs") - F.col("end.last") >= patience)
+    return replayed.select(
+        "run",
+        "epochs",
+        F.coalesce("end.stop", F.when(ended, F.col("end.last") + patience)).alias("stop_epoch"),
+        F.col("end.last").alias("last_best_epoch"),
+        F.col("end.best").alias("last_best_score"),
     )
-    key = dict(history.dtypes)["run"]
-    stream = records.unionByName(ends).repartition("run").sortWithinPartitions("run", "is_end", "epoch")
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, last, best, stop = None, 0, None, None
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.run != run:
-                    run, last, best, stop = r.run, 0, None, None
-                if best is not None and stop is None and (r.epoch - last > patience or (r.is_end and r.epoch - last >= patience)):
-                    stop = last + patience
-                if r.is_end:
-                    out.append((run, r.epoch, stop, last, best))
-                elif stop is None and (best is None or r.score > best + min_delta):
-                    last, best = r.epoch, r.score
-            table = pd.DataFrame(out, columns=["run", "epochs", "stop_epoch", "last_best_epoch", "last_best_score"])
-            yield table.astype({"stop_epoch": "Int64"})
-
-    schema = f"run {key}, epochs bigint, stop_epoch bigint, last_best_epoch bigint, last_best_score double"
-    return stream.mapInPandas(replay, schema)

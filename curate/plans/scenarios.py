@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curate.constants import SEED
 from curate.operators.balance import effective_priors
-from curate.operators.models import score, train_classifiers
+from curate.operators.models import N_FEATURES, score, train_classifiers
 from curate.operators.split import stratified_split
 from curate.operators.votes import ensemble, with_adjusted_priors
 from curate.plans.rebalance import augment
@@ -28,6 +28,7 @@ def run_scenarios(
     balance: str | int = "majority",
     seed: int = SEED,
     n_classes: int = 3,
+    n_features: int = N_FEATURES,
 ) -> DataFrame:
     """Test predictions of all systems: ``scenario_A_…``, ``scenario_B_…`` and ``scenario_C_…``.
 
@@ -37,10 +38,10 @@ def run_scenarios(
     """
     split = stored(stratified_split(real, seed=seed), "split")
     train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'")
-    plain = stored(score(train_classifiers(train, registry, n_classes), test), "plain")
+    plain = stored(score(train_classifiers(train, registry, n_classes, n_features=n_features), test), "plain")
 
     augmented = stored(augment(train, candidates, threshold, balance, seed=seed, n_classes=n_classes), "augmented")
-    models = train_classifiers(augmented, registry, n_classes, synthetic_weight)
+    models = train_classifiers(augmented, registry, n_classes, synthetic_weight, n_features)
     raw = stored(score(models, test), "rebalanced")
     target = effective_priors(train, n_classes=n_classes).scalar() if adjust else None
     trained = effective_priors(augmented, synthetic_weight, n_classes).scalar() if adjust else None

@@ -54,6 +54,22 @@ def read_metrics(spark: SparkSession, root: str, metrics: Sequence[str] = DEFAUL
     )
 
 
+def write_aggregate(metrics: DataFrame, path: str, name: str = "system") -> None:
+    """One JSON record that maps every system to its metrics, NaN as NULL; a row per system comes in."""
+    clean = no_nan(metrics)
+    values = F.struct(*[c for c in clean.columns if c != name])
+    entry = F.struct(F.col(name).cast("string").alias("name"), values.alias("metrics"))
+    record = clean.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("record"))
+    record.select(F.to_json("record", {"ignoreNullFields": "false"})).write.mode("overwrite").text(path)
+
+
+def read_aggregate(spark: SparkSession, path: str, metrics: Sequence[str] = DEFAULT_METRICS, name: str = "system") -> DataFrame:
+    """``(system, metrics…)`` of a record of :func:`write_aggregate`; a metric that is missing reads NULL."""
+    shape = "MAP<STRING, STRUCT<" + ", ".join(f"{m}: DOUBLE" for m in metrics) + ">>"
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", shape)).alias(name, "m"))
+    return rows.select(name, "m.*")
+
+
 def write_report(table: DataFrame, path: str, format: str = "csv") -> None:
     """A report or result table with a header."""
     table.write.mode("overwrite").option("header", True).format(format).save(path)

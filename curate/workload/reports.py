@@ -11,7 +11,7 @@ from curate.operators import losses, metrics, reporting, significance, training
 from curate.session import scratch_path, stored
 from curate.sources import metric_files, predictions as sets
 from curate.workload.registry import query, rounded
-from curate.workload.scores import _AREAS, _MARGINS, _PAIRS
+from curate.workload.scores import _AREAS, _CORE_COLUMNS, _MARGINS, _REPORT, _SIGNED_RANK
 from curate.workload.views import logits, predictions, sql_int, table
 
 FOLDERS = {"click": "scenario_A", "view": "scenario_B", "purchase": "Scenario_C", "error": "results", "signup": "extra"}
@@ -25,9 +25,10 @@ FOLDER_GROUPS = {"scenario_a": "A — Baseline", "scenario_b": "B — Ensemble",
 REGISTRY = {"by_folder": BY_FOLDER, "flat": FLAT, "folder_groups": FOLDER_GROUPS}
 
 METRICS = [m for m, _ in MAIN_METRICS] + [m for m, _ in focus_metrics()]
+ALL_METRICS = [*_CORE_COLUMNS, "roc_auc_macro", "roc_auc_weighted", "pr_auc_macro"]
 
 
-def measured(spark, sf_dir):
+def measured(spark, sf_dir, names=METRICS):
     """Metrics of every system on every event type: ``(folder, stem, system, metrics…)``."""
     preds = predictions(spark, sf_dir, ("event_type",))
     table_ = metrics.all_metrics(preds, ["event_type", "system"])
@@ -39,7 +40,7 @@ def measured(spark, sf_dir):
         mapped("event_type", FOLDERS).alias("folder"),
         mapped("system", STEMS).alias("stem"),
         F.concat_ws("-", "event_type", "system").alias("system"),
-        *METRICS,
+        *names,
     )
 
 
@@ -47,12 +48,12 @@ _MEASURED = f"""
     tp AS (SELECT event_type || '-' || system AS system, row_id, true_label, pred_label FROM pred),
     tl AS (SELECT event_type || '-' || system AS system, row_id, true_label, cls, prob FROM pred_long),
     {_MARGINS.replace('FROM pred)', 'FROM tp)').replace('JOIN pred p', 'JOIN tp p')}, {_AREAS.replace('FROM pred_long', 'FROM tl')},
-    auc AS (SELECT system, avg(roc_auc) AS roc_auc_macro, avg(ap) AS pr_auc_macro FROM area GROUP BY system),
+    auc AS (SELECT system, avg(roc_auc) AS roc_auc_macro, sum(roc_auc * pos) / sum(pos) AS roc_auc_weighted, avg(ap) AS pr_auc_macro FROM area GROUP BY system),
     measured AS (SELECT CASE string_split(core.system, '-')[1] WHEN 'click' THEN 'scenario_A' WHEN 'view' THEN 'scenario_B'
                              WHEN 'purchase' THEN 'Scenario_C' WHEN 'error' THEN 'results' ELSE 'extra' END AS folder,
                         CASE string_split(core.system, '-')[2] WHEN 'A' THEN 'model-a_metrics' WHEN 'B' THEN '_model-b-large_metrics'
                              ELSE 'mixed_vote_predictions' END AS stem,
-                        core.*, roc_auc_macro, pr_auc_macro
+                        core.*, roc_auc_macro, roc_auc_weighted, pr_auc_macro
                  FROM core JOIN auc ON core.system = auc.system)
 """
 _RULES = [
@@ -218,7 +219,8 @@ def _read_back(spark, sf_dir, format):
     """Systems A and B in a folder, C in the root, plus a set without predicted labels."""
     root = scratch_path(spark, "sets")
     preds = predictions(spark, sf_dir)
-    named = preds.withColumn("system", F.when(F.col("system") == "C", "C").otherwise(F.concat(F.lit("run/"), "system")))
+    text = F.format_string('say "%s", then\nleave', F.col("row_id"))
+    named = preds.withColumn("text", text).withColumn("system", F.when(F.col("system") == "C", "C").otherwise(F.concat(F.lit("run/"), "system")))
     sets.write_predictions(stored(named, "named"), root, ["run/A", "run/B", "C"], format)
     other = preds.where("system = 'A'").select("row_id", "true_label")
     other.write.option("header", True).format(format).save(f"{root}/truth_predictions.{format}")
@@ -228,9 +230,15 @@ def _read_back(spark, sf_dir, format):
 _NAMED = "CASE system WHEN 'C' THEN 'C' ELSE 'run/' || system END"
 
 
-@query("prediction_sets_csv", f"SELECT {_NAMED} AS system, row_id, true_label, pred_label::INTEGER AS pred_label FROM pred", "pred")
+@query(
+    "prediction_sets_csv",
+    f"""SELECT {_NAMED} AS system, row_id, 'say "' || row_id || '", then' || chr(10) || 'leave' AS text, true_label,
+               pred_label, prob_{CLASS_NAMES[0]}, prob_{CLASS_NAMES[1]}, prob_{CLASS_NAMES[2]}
+        FROM ({_WIDE.format(", ".join(f"round(p{i}, 9) AS prob_{n}" for i, n in enumerate(CLASS_NAMES)))})""",
+    "pred pred_long",
+)
 def prediction_sets_csv(spark, sf_dir):
-    return _read_back(spark, sf_dir, "csv").select("system", "row_id", "true_label", "pred_label")
+    return rounded(sets.wide(_read_back(spark, sf_dir, "csv")))
 
 
 @query(
@@ -285,45 +293,49 @@ def missing_systems(spark, sf_dir):
 
 @query(
     "metric_files",
-    f"""WITH {_MEASURED} SELECT folder, trim(replace(stem, '_metrics', ''), '_') || '_metrics' AS stem, {', '.join(f'round({m}, 9) AS {m}' for m in METRICS)} FROM measured""",
+    f"""WITH {_MEASURED} SELECT folder, trim(replace(stem, '_metrics', ''), '_') || '_metrics' AS stem, {', '.join(f'round({m}, 9) AS {m}' for m in ALL_METRICS)} FROM measured""",
     "pred pred_long",
 )
 def metric_files_back(spark, sf_dir):
     root = scratch_path(spark, "records")
-    rows = measured(spark, sf_dir).withColumn("stem", F.btrim(F.replace("stem", F.lit("_metrics"), F.lit("")), F.lit("_")))
+    rows = measured(spark, sf_dir, ALL_METRICS).withColumn("stem", F.btrim(F.replace("stem", F.lit("_metrics"), F.lit("")), F.lit("_")))
     metric_files.write_metrics(rows.drop("system"), root)
-    return rounded(metric_files.read_metrics(spark, root, METRICS))
+    return rounded(metric_files.read_metrics(spark, root, ALL_METRICS))
 
 
 @query(
-    "stored_report",
-    f"WITH {_MARGINS} SELECT system, cls::INTEGER AS line, round(prec, 9) AS precision, round(rec, 9) AS recall, round(f1, 9) AS f1, support::BIGINT AS support FROM pc",
-    "pred",
+    "aggregate_record",
+    f"""WITH {_MEASURED} SELECT system, {', '.join(f'round({m}, 9) AS {m}' for m in ALL_METRICS)} FROM measured""",
+    "pred pred_long",
 )
+def aggregate_record(spark, sf_dir):
+    path = scratch_path(spark, "aggregate")
+    metric_files.write_aggregate(measured(spark, sf_dir, ALL_METRICS).drop("folder", "stem"), path)
+    return rounded(metric_files.read_aggregate(spark, path, ALL_METRICS))
+
+
+@query("stored_report", _REPORT, "pred")
 def stored_report(spark, sf_dir):
     path = scratch_path(spark, "report")
     report = metrics.classification_report(predictions(spark, sf_dir))
     metric_files.write_report(report, path)
     schema = "system STRING, line INT, label STRING, precision DOUBLE, recall DOUBLE, f1 DOUBLE, support BIGINT"
-    back = spark.read.schema(schema).option("header", True).csv(path)
-    return rounded(back.where("line < 3").drop("label"))
+    return rounded(spark.read.schema(schema).option("header", True).csv(path))
 
 
 @query(
     "test_summary",
-    f"""WITH {_PAIRS} SELECT 3 AS n_systems, count(*) AS n_pairs, sum(n_samples)::BIGINT AS n_samples, sum(n_ties)::BIGINT AS n_ties FROM pairs""",
+    f"""SELECT 0.05::DOUBLE AS alpha, 3 AS n_systems, 'A,B,C' AS systems, 3::BIGINT AS n_pairs, t.* FROM ({_SIGNED_RANK}) t""",
     "pred",
 )
 def test_summary(spark, sf_dir):
     tests = significance.pairwise_signed_rank(predictions(spark, sf_dir))
     text = metric_files.test_summary(tests, ["A", "B", "C"])
-    shape = "n_systems INT, n_pairs BIGINT, results ARRAY<STRUCT<n_samples: BIGINT, n_ties: BIGINT>>"
+    pair = ", ".join(f"{c}: {t}" for c, t in tests.dtypes if c != "p_value")
+    shape = f"alpha DOUBLE, n_systems INT, systems ARRAY<STRING>, n_pairs BIGINT, results ARRAY<STRUCT<{pair}>>"
     read = text.select(F.from_json("value", shape).alias("s"))
-
-    def total(field):
-        return F.aggregate("s.results", F.lit(0).cast("bigint"), lambda acc, r: acc + r[field])
-
-    return read.select("s.n_systems", "s.n_pairs", total("n_samples").alias("n_samples"), total("n_ties").alias("n_ties"))
+    whole = ("s.alpha", "s.n_systems", F.array_join("s.systems", ",").alias("systems"), "s.n_pairs")
+    return read.select(*whole, F.inline("s.results"))
 
 
 # ------------------------------------------------------------------------ losses, histories

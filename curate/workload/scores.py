@@ -173,9 +173,7 @@ def core_metrics(spark, sf_dir):
     return rounded(metrics.core_metrics(predictions(spark, sf_dir)))
 
 
-@query(
-    "classification_report",
-    f"""WITH {_MARGINS},
+_REPORT = f"""WITH {_MARGINS},
     rows AS (
       SELECT system, cls AS line, CASE cls WHEN 0 THEN 'hate_speech' WHEN 1 THEN 'offensive_language' ELSE 'neither' END AS label,
              prec AS precision, rec AS recall, f1, support FROM pc
@@ -184,9 +182,10 @@ def core_metrics(spark, sf_dir):
       UNION ALL SELECT c.system, 5, 'weighted avg', precision_weighted, recall_weighted, f1_weighted, n FROM core c JOIN (SELECT system, sum(support) AS n FROM pc GROUP BY 1) USING (system))
     SELECT system, line::INTEGER AS line, label, round(precision, 9) AS precision, round(recall, 9) AS recall,
            round(f1, 9) AS f1, support::BIGINT AS support FROM rows
-    """,
-    "pred",
-)
+    """
+
+
+@query("classification_report", _REPORT, "pred")
 def classification_report(spark, sf_dir):
     return rounded(metrics.classification_report(predictions(spark, sf_dir)))
 
@@ -516,9 +515,7 @@ def system_pairs(spark, sf_dir):
     return significance.pair_counts(predictions(spark, sf_dir))
 
 
-@query(
-    "pairwise_signed_rank",
-    f"""WITH {_PAIRS},
+_SIGNED_RANK = f"""WITH {_PAIRS},
     t AS (SELECT *, n_a_better AS a, n_b_better AS b, n_a_better + n_b_better AS n FROM pairs),
     u AS (SELECT *, n > 0 AND abs(a - b) / sqrt(n) > 1.959963984540054 AS significant FROM t)
     SELECT system_a || ' vs ' || system_b AS comparison, n_samples, n_a_better, n_b_better, n_ties,
@@ -526,9 +523,10 @@ def system_pairs(spark, sf_dir):
            CASE WHEN n = 0 THEN 'tie (identical predictions)' WHEN NOT significant THEN 'no significant difference'
                 WHEN a > b THEN system_a ELSE system_b END AS winner
     FROM u
-    """,
-    "pred",
-)
+    """
+
+
+@query("pairwise_signed_rank", _SIGNED_RANK, "pred")
 def pairwise_signed_rank(spark, sf_dir):
     """The p-value is left out: the SQL side has no error function. The tests check it."""
     return significance.pairwise_signed_rank(predictions(spark, sf_dir)).drop("p_value")
