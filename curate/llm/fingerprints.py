@@ -3,7 +3,8 @@
 A text is a row of words. Of every run of K words (a k-mer), the inner runs of S words are hashed;
 the k-mer is a closed syncmer if the least of them is its first or its last. Whether it is one
 depends on its own words alone, so an edit elsewhere moves no anchor, and half a text keeps the
-anchors of that half. The fingerprint holds the least hashes of all distinct anchors.
+anchors of that half. The fingerprint is all anchors with their places; likeness is read from the whole
+sets. A sketch of the least hashes goes along as a short form for look-ups, and nothing is derived from it.
 """
 
 from __future__ import annotations
@@ -47,26 +48,17 @@ def anchors(text: str | Column, k: int = K, s: int = S) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= k, long(h)).otherwise(short(h)))
 
 
-def sketch(text: str | Column, size: int = SKETCH, k: int = K, s: int = S) -> Column:
-    """ARRAY<BIGINT>: the least 32-bit hashes of all distinct anchors of the text, ascending."""
-    hashes = F.transform(anchors(text, k, s), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+def sketch(found: Column, size: int = SKETCH) -> Column:
+    """The least 32-bit hashes of all distinct anchors as text, ascending, eight hex digits for each."""
+    hashes = F.transform(found, lambda a: F.shiftrightunsigned(a["hash"], 32))
+    least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+    return F.array_join(F.transform(least, lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
 
 
-def printed(found: Column) -> Column:
-    """The fingerprint as text, eight hex digits for each hash."""
-    return F.array_join(F.transform(found, lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
-
-
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Estimated share of common anchors, from two fingerprints; two without anchors are alike.
-
-    Exact if neither text has more than ``size`` anchors in all; else it looks at the ``size`` least
-    hashes of both together, which are a fair sample of all.
-    """
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), both))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common anchors of two texts' distinct anchor hashes, all of them; two without anchors are alike."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
 def with_next(
@@ -102,23 +94,31 @@ def with_next(
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of (doc_id, text) and of each text with its second half replaced.
 
+    ``anchors`` and ``edited_anchors`` hold every anchor with the place of its first word, in the order of
+    the text; ``near_edited`` and ``near_next`` are exact on their whole sets of hashes. ``fingerprint`` and
+    ``edited_fingerprint`` are sketches of ``SKETCH`` hashes.
+
     The edited text has the last half of the code points (rounded down) replaced by as many first ones,
     or all, of the next document by ``doc_id``. NULL is the empty text, equal ids follow their texts'
     hashes, a table of one row is its own next, and an empty table gives no rows.
     """
     rows = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text"))
-    rows = with_once(rows, "found", sketch("text")).withColumn("tie", F.xxhash64("text"))
-    near = with_next(rows, "doc_id", {"next_text": "text", "next_found": "found"}, ("tie",), keys=docs)
+    # Texts alone are shuffled: the anchors of a text take more room than the text.
+    near = with_next(rows.withColumn("tie", F.xxhash64("text")), "doc_id", {"next_text": "text"}, ("tie",), keys=docs)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
-    near = with_once(near, "edited", edited)
-    near = with_once(near.withColumn("n_chars", F.length("text").cast("bigint")), "edited_found", sketch("edited"))
+    near = with_once(near.withColumn("n_chars", F.length("text").cast("bigint")), "edited", edited)
+    for name, text in (("anchors", "text"), ("edited_anchors", "edited"), ("next_anchors", "next_text")):
+        near = with_once(near, name, anchors(text))
+    own, changed, after = (F.col(c)["hash"] for c in ("anchors", "edited_anchors", "next_anchors"))
     return near.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("found")).alias("fingerprint"),
-        printed(F.col("edited_found")).alias("edited_fingerprint"),
-        likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
-        likeness(F.col("found"), F.col("next_found")).alias("near_next"),
+        "anchors",
+        "edited_anchors",
+        sketch(F.col("anchors")).alias("fingerprint"),
+        sketch(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(own, changed).alias("near_edited"),
+        likeness(own, after).alias("near_next"),
     )

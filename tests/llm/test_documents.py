@@ -52,6 +52,29 @@ def test_fingerprints_of_one_row_and_none(spark):
     assert row["edited_sha256"] == hashlib.sha256(b"a b c a b c").hexdigest()
 
 
+def test_long_texts_keep_every_anchor_and_its_place(spark):
+    def run(tag: str, n: int) -> str:
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    shared = run("s", 60)
+    texts = [run("a", 3000) + " " + shared + " " + run("b", 3000), run("c", 2000) + " " + shared + " " + run("d", 4000)]
+    docs = documents(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    whole = [r["a"] for r in docs.orderBy("doc_id").select(fingerprints.anchors("text").alias("a")).collect()]
+    one, two = ({a["hash"] for a in w} for w in whole)
+    assert len(one) > 3000 and one & two
+    for i in (0, 1):
+        assert rows[i]["anchors"] == whole[i] and rows[i]["near_next"] == len(one & two) / len(one | two)
+        m = len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - m] + texts[1 - i][:m]
+        want = spark.createDataFrame([(edited,)], "t string").select(fingerprints.anchors("t").alias("a")).first()["a"]
+        assert rows[i]["edited_anchors"] == want
+        own, new = {a["hash"] for a in whole[i]}, {a["hash"] for a in want}
+        assert rows[i]["near_edited"] == len(own & new) / len(own | new)
+    places = [{a["hash"]: a["pos"] for a in rows[i]["anchors"]} for i in (0, 1)]
+    assert {places[0][h] - places[1][h] for h in one & two} == {1000}
+
+
 # ---------------------------------------------------------------------------------- quality
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
