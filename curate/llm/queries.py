@@ -87,9 +87,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN_CONVERSATION).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    back = chat.read_back(chat.format_conversations(turns))
+    formatted = chat.format_conversations(turns)
+    # A conversation without an assistant turn has no example, and an empty loss.
+    trained = chat.losses(chat.replies_of(formatted)).withColumnRenamed("conv_id", "__conv")
+    back = chat.read_back(formatted).join(trained, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join("replies", "")
+    loss = text_of("loss")
     return back.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),

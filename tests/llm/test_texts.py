@@ -47,6 +47,27 @@ def test_formatted_conversations_read_back(spark):
     assert chat.format_conversations(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_each_assistant_turn_is_an_example(spark, monkeypatch, tmp_path):
+    rows = [
+        (1, 0, "user", CONTROL), (1, 1, "assistant", CONTROL), (1, 2, "user", "q"), (1, 3, "assistant", "b"), (1, 3, "assistant", "b"), (1, 4, "assistant", None),
+        (2, 0, "user", "only"), (None, 0, "user", "x"), (None, 1, "assistant", "y\\"),
+    ]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, TURNS))
+    got = {(r["conv_id"], r["turn"]): r for r in chat.replies_of(formatted).collect()}
+    assert {k: r["reply"] for k, r in got.items()} == {(1, 1): CONTROL, (1, 3): "b", (1, 4): "b", (1, 5): "", (None, 1): "y\\"}
+    whole = {r["conv_id"]: r["formatted"] for r in formatted.collect()}
+    written = {(r["conv_id"], r["turn"]): r for r in chat.examples(formatted).collect()}
+    for k, r in got.items():
+        assert whole[k[0]][: r["context_end"]] == written[k]["text"] and r["context_end"] == r["loss_start"] + r["loss_length"] + len(chat.CLOSE)
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    used, whole_run = [], chat.replies_of
+    monkeypatch.setattr(chat, "replies_of", lambda f: used.append(1) or whole_run(f))
+    out = {r["conv_id"]: r for r in QUERIES["op4_chat_formatting"](spark, str(tmp_path)).collect()}
+    assert used and set(out) == {1, 2, None, -1}
+    for c, loss in ((1, CONTROL + "bb"), (2, ""), (None, "y\\")):
+        assert (out[c]["loss_chars"], out[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # ---------------------------------------------------------------------------------------- urls
 def brute_url(url, rules):
     rest = (url or "").partition("://")[2]
