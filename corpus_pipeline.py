@@ -23,6 +23,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs, model, docs.columns).where(F.col("score") >= THRESHOLD).drop("score")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, ``__row``: ids may repeat or be NULL. Stored, so that it stays."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates."""
     found = ngram_join.near_duplicates(docs)
@@ -36,13 +41,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Words that a round takes only in part are cut out of the text; whole texts stay as they are, and a
     text without words, which no mix can take, goes.
     """
-    sized = stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "sizes")
-    pieces, _ = mixing.mix(sized)
-    rounds = pieces.groupBy("doc_id", "epoch").agg(F.min("start").alias("__first"), F.sum("length").alias("__taken"))
+    keyed = numbered(docs.withColumn("__size", mixing.word_count("text")), "sizes")
+    pieces, _ = mixing.mix(keyed.select("doc_id", "__row", "source", F.col("__size").alias("size")), key="__row")
+    rounds = pieces.groupBy("__row", "epoch").agg(F.min("start").alias("__first"), F.sum("length").alias("__taken")).drop("epoch")
     text = text_of("text")
-    rows = docs.join(rounds, "doc_id")
+    rows = keyed.join(rounds, "__row")
     some = F.slice(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0)), F.col("__first").cast("int") + 1, F.col("__taken").cast("int"))
-    whole = (F.col("__first") == 0) & (F.col("__taken") == mixing.word_count("text"))
+    whole = (F.col("__first") == 0) & (F.col("__taken") == F.col("__size"))
     cut = F.when(whole, F.col("text")).otherwise(F.array_join(some, ""))
     length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
     mixed = rows.withColumn("text", cut).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(length))

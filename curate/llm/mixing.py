@@ -86,7 +86,7 @@ def sources_of(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int =
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, block: int = 1024, least_slots: int = 512, seed: int = 7
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, block: int = 1024, least_slots: int = 512, seed: int = 7, key: str | None = None
 ) -> tuple[DataFrame, list[dict]]:
     """Pieces (slot, source_no, doc_id, epoch, start, length) of the mix, and the list of sources.
 
@@ -94,13 +94,15 @@ def mix(
     document in one slot; ``epoch`` counts the rounds through the source, of which there are at most
     ``cap``, so no document is taken more than ``cap`` times. The words taken from a source are its
     target, rounded. Rows without words are never taken; a NULL source is a source of its own,
-    the last; rows with equal ids are told apart only by their size; an empty table gives no piece.
+    the last; rows with equal ids are told apart only by their size, or by ``key``, a BIGINT column of ``docs``
+    that no two rows share, which each piece then has too; an empty table gives no piece.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
+    names = ["doc_id"] if key is None else ["doc_id", key]
+    docs = docs.select(*names, "source", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
     sources = sources_of(docs, weights, cap)
     total = sum(s["source_size"] for s in sources)
-    out = "slot long, source_no int, doc_id long, epoch int, start long, length long"
+    out = f"slot long, source_no int, {', '.join(f'{c} long' for c in names)}, epoch int, start long, length long"
     if not total:
         return spark.createDataFrame([], out), sources
     n_slots = max(ceil(total / block), least_slots)
@@ -122,7 +124,7 @@ def mix(
     earlier = Window.partitionBy("source_no").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("source_no", "piece").agg(F.sum("size").alias("n"))
     before = totals.select("source_no", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_no", "piece").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_no", "piece").orderBy("h", *names, "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("size").over(inside)).join(before, ["source_no", "piece"]).withColumn(
         "first", F.col("before") + F.col("end") - F.col("size")
     )
@@ -138,8 +140,8 @@ def mix(
     begin = F.expr("rank * each + least(rank, more)")
     end = F.expr("(rank + 1) * each + least(rank + 1, more)")
     cut = split.select(
-        "source_no", "rank", "doc_id", "epoch",
+        "source_no", "rank", *names, "epoch",
         (F.greatest(begin, "lo") - F.col("lo")).alias("start"),
         (F.least(end, "hi") - F.greatest(begin, "lo")).alias("length"),
     )
-    return cut.join(slots, ["source_no", "rank"]).select("slot", "source_no", "doc_id", "epoch", "start", "length"), sources
+    return cut.join(slots, ["source_no", "rank"]).select("slot", "source_no", *names, "epoch", "start", "length"), sources

@@ -46,13 +46,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_mixing_sources")
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
-    docs = stored(docs, "sizes")  # read five times below
-    pieces, sources = mixing.mix(docs)
-    taken = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"))
+    # Stored as it is read five times below, and so that each row keeps its number.
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    pieces, sources = mixing.mix(docs, key="row")
+    taken = pieces.groupBy("row").agg(F.sum("length").alias("n"))
     known = spark.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "__s string, source_size long, target double")
     return (
         docs.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("__s")))
-        .join(taken, "doc_id", "left")
+        .join(taken, "row", "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).alias("taken"))
     )
 

@@ -188,3 +188,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert taken == want
     last = corpus_pipeline.run(spark, SF)
     assert last.where("length <= 0 OR length > 2048").count() == 0 and last.count() > 0
+
+
+REPEATED = "doc_id long, text string, source string, n_chars int"
+
+
+def test_rows_of_equal_or_no_id_are_mixed_one_by_one(spark, tmp_path):
+    texts = [(None, prose(1, 40)), (None, prose(2, 40)), (None, prose(3, 25)), (7, prose(4, 30)), (7, prose(5, 50)), (7, prose(5, 50)), (8, prose(6, 20)), (9, None)]
+    docs = spark.createDataFrame([(i, t, "a", len(t or "")) for i, t in texts], REPEATED).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    # One source: the mix takes every word once.
+    want = Counter((i, t) for i, t in texts if t)
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == want
+    got = QUERIES["op3_mixing_sources"](spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == Counter((i, len((t or "").split()), len((t or "").split())) for i, t in texts)
