@@ -29,10 +29,24 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    found = ngram_join.near_duplicates(docs)
-    copies = found.where("doc_id != component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that with the smallest id, of each group of near-duplicates.
+
+    Rows are told apart by numbers, so copies with equal ids or none go too; among equal ids the smaller
+    hash of the text stays, and a NULL id comes last. Texts without words are alike only if id and text are.
+    """
+    keyed = numbered(docs, "rows")
+    found = ngram_join.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    text, no_words = F.col("text"), ~text_of("text").rlike(f"[^{SPACE}]")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(text).alias("hash"), "__row").alias("place")
+    empty = F.when(no_words, F.struct("doc_id", text.alias("text"))).alias("empty")
+    slim = keyed.select("__row", place, empty).join(found, "__row")
+    # Each row without words is a component of its own; its group is its id and text instead.
+    slim = slim.withColumn("component_id", F.when(F.col("empty").isNull(), F.col("component_id")))
+    first = slim.groupBy("component_id", "empty").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select(F.col("component_id").alias("c"), F.col("empty").alias("e"), F.col("first.__row").alias("kept"))
+    same = F.col("component_id").eqNullSafe(F.col("c")) & F.col("empty").eqNullSafe(F.col("e"))
+    copies = slim.join(first, same).where("__row != kept").select("__row")
+    return keyed.join(copies, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,3 +203,13 @@ def test_rows_of_equal_or_no_id_are_mixed_one_by_one(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == want
     got = QUERIES["op3_mixing_sources"](spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == Counter((i, len((t or "").split()), len((t or "").split())) for i, t in texts)
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    near = prose(2) + " tail"
+    rows = [(5, prose(1)), (5, prose(1)), (None, prose(1)), (None, prose(2)), (None, near), (4, prose(3)), (4, prose(4)), (3, prose(4)), (6, ""), (6, ""), (7, ""), (None, " "), (None, " "), (8, None)]
+    docs = spark.createDataFrame([(i, t, "a", len(t or "")) for i, t in rows], REPEATED).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect())
+    pair = [t for t in (prose(2), near) if got[None, t]]
+    assert len(pair) == 1
+    assert got == Counter([(5, prose(1)), (None, pair[0]), (4, prose(3)), (3, prose(4)), (6, ""), (7, ""), (None, " "), (8, None)])
