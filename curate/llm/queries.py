@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curate.llm import chat, fingerprints, katz, metric_join, mixing, ngram_join, packing, quality, sharding, url_filters
+from curate.llm import (
+    chat, filter_audit, fingerprints, hard_negatives, katz, metric_join, mixing, ngram_join, packing, private_data, quality, sharding, url_filters,
+)
 from curate.llm.common import table, text_of
 from curate.session import stored
 
@@ -166,3 +168,87 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", id_remainder(7) == 2).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    m AS (
+        SELECT doc_id, part,
+               CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    c AS (
+        SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+        FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+    x(v) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    o AS (
+        SELECT a.v || b.v || c.v || d.v || e.v AS filter_order FROM x a, x b, x c, x d, x e
+        WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+    s AS (
+        SELECT filter_order, k::INT AS step, 1 << (ascii(substr(filter_order, k::INT, 1)) - 65) AS bit,
+               list_sum([1 << (ascii(substr(filter_order, i::INT, 1)) - 65) for i in range(1, k)]) AS earlier
+        FROM o, range(1, 6) r(k)),
+    f AS (
+        SELECT part, filter_order, step, bit,
+               sum(CASE WHEN mask & earlier = 0 AND mask & bit = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+               sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+               sum(CASE WHEN mask & earlier <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+               sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+               sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+               sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM c, (SELECT filter_order, step, bit, coalesce(earlier, 0)::BIGINT AS earlier FROM s) GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM f
+    """,
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH e AS (
+        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * x::DOUBLE) for x in embedding] AS q
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len([x for x in embedding if x IS NOT NULL AND isfinite(x::DOUBLE)]) = len(embedding)),
+    s AS (
+        SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+    p AS (
+        SELECT * FROM s WHERE own = label
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+           s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> s.own
+                 AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+    QUALIFY rank <= 5
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_private_data")
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private_data(table(spark, sf_dir, "documents"))
+
+    def written(column: str):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, private_data.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
