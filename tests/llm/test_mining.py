@@ -197,7 +197,7 @@ def test_the_method_adds_what_the_patterns_swallow(spark):
     shown = [(i, f"text {prose(i, 20)} 4845168114407329 and {i}.45.67.89 or jo{i}@mail.example.com, +1 (243) 555-{5500 + i} {prose(i)}") for i in range(1, 60)]
     new = [
         (1001, "see 4845168114407329 4845168114407329 there"), (1002, "call +1 (243) 555-5526 4845168114407329 now"),
-        (1003, "write jo.doe (at) example (dot) org soon"), (1004, "host 999.10.20.30.40 here"), (1005, "host 10[.]20[.]30[.]40 here"),
+        (1003, "write jo.doe (at) example (dot) org soon"), (1005, "host 10[.]20[.]30[.]40 here"),
     ]
     clean = [(2001, prose(3)), (2002, "order 4845168114407328 of 2024, 17 pages"), (2003, "version 1.2.3, 300.400.500.600")]
     found = found_spans(spark, shown + new + clean)
@@ -205,7 +205,7 @@ def test_the_method_adds_what_the_patterns_swallow(spark):
     assert added[1001] == [("card", 4, 20), ("card", 21, 37)]
     assert added[1002] == [("phone", 5, 22), ("card", 23, 39)]
     assert added[1003] == [("email", 6, 35)]
-    assert added[1004] == [("ip", 9, 20)] and added[1005] == [("ip", 5, 22)]
+    assert added[1005] == [("ip", 5, 22)]
     assert all(not added[i] and not found[i][0] for i, _ in clean)
     assert all(not added[i] for i, _ in shown)
 
