@@ -26,6 +26,8 @@ from curate.session import stored
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 60
 RIDGE = 1.0
+FLOOR = 0.05
+"""Least probability of any vote, in either case: a vote not seen so far says nothing."""
 PASSES = {"email": 0.5, "ip": 0.2, "card": 0.1, "phone": 0.5}
 """Share of strings of the right form, but not of the kind, that the kind's check lets pass: a tenth have a right check digit."""
 
@@ -223,8 +225,8 @@ def reliabilities(kind: str, patterns: list[tuple[str, str]], counts: np.ndarray
             total = np.log((weight.sum() + 1) / (counts.sum() + 2)) + np.zeros(len(patterns))
             total += np.log(0.99 if truth else PASSES[kind])
             for j in range(1, seen.shape[1]):
-                said = np.bincount(seen[:, j], weights=weight, minlength=3) + 1
-                total += np.log(said / said.sum())[seen[:, j]]
+                said = np.bincount(seen[:, j], weights=weight, minlength=3) + 1e-9
+                total += np.log((1 - 3 * FLOOR) * said / said.sum() + FLOOR)[seen[:, j]]
             chance[:, truth] = total
         new = np.where(free, 1 / (1 + np.exp(np.clip(chance[:, 0] - chance[:, 1], -500, 500))), p)
         if np.abs(new - p).max() < 1e-9:
