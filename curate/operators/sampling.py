@@ -11,7 +11,7 @@ from curate.constants import MIN_SEEDS, SEED, SEEDS_PER_CLUSTER
 from curate.functions.hashing import draw_int, draw_key
 from curate.functions.once import with_once
 from curate.functions.text import words
-from curate.operators.running import rank_by_key, rank_by_number
+from curate.operators.order_index import LEAF_ROWS, rank_by_order
 
 BLOCK = 1 << 16
 GROUP_LIMIT = 1000
@@ -27,12 +27,11 @@ def stratified_seeds(
     """A seeded sample without replacement of up to ``per_group`` (at least 5) rows per group.
 
     A small rank filter is a group limit before the shuffle: a task sends at most that many rows of
-    a group on. Larger samples are ranked in buckets. Both give the same rows; NULL is a group.
+    a group on. Larger samples are ranked by an order index. Both give the same rows; NULL is a group.
     """
     if per_group > GROUP_LIMIT:
-        whole = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
-        keyed = df.withColumns({"__group": whole, "__key": draw_key(seed, F.lit(":"), F.col(row_id))})
-        ranked = rank_by_key(keyed, ["__group"], "__key", [row_id], "__place")
+        keyed = df.withColumn("__key", draw_key(seed, F.lit(":"), F.col(row_id)))
+        ranked = rank_by_order(keyed, by, ["__key", row_id], "__place")
         return ranked.where(F.col("__place") <= per_group).select(*df.columns)
     order = Window.partitionBy(*by).orderBy("__key", row_id)
     ranked = df.withColumn("__key", draw_key(seed, F.lit(":"), F.col(row_id))).withColumn(
@@ -104,16 +103,17 @@ def perturb(w: Column, *draw: Column | str | int) -> Column:
     return F.array_join(F.when(n >= 4, changed).otherwise(w), " ")
 
 
-def numbered_pool(pool: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """``(label, pick, text)``: the rows of each class numbered from 1 in key order."""
-    ranked = rank_by_number(pool.select("label", row_id, "text"), ["label"], row_id, out="pick")
-    return ranked.select("label", "pick", "text")
+def numbered_pool(pool: DataFrame, row_id: str = "row_id", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``(label, pick, row_id)``: the rows of each class numbered from 1 in key order. No text is read."""
+    ranked = rank_by_order(pool.select("label", F.col(row_id).alias("row_id")), ["label"], ["row_id"], "pick", leaf_rows)
+    return ranked.select("label", "pick", "row_id")
 
 
-def perturbed_oversample(pool: DataFrame, needs: DataFrame, seed: int) -> DataFrame:
+def perturbed_oversample(pool: DataFrame, texts: DataFrame, needs: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:
     """``(label, i, text)``: exactly ``n`` perturbed texts per row ``(label, n)`` of ``needs``.
 
-    ``pool`` comes from :func:`numbered_pool`; row ``i`` looks up a seeded number.
+    ``pool`` comes from :func:`numbered_pool` and is numbers alone; row ``i`` draws one of them, and the texts
+    of ``texts``, whose ``row_id`` no two rows share, are shuffled once, to the draws.
     """
     sizes = pool.groupBy("label").agg(F.max("pick").alias("__size"))
     wanted = needs.select("label", "n").join(sizes, "label")
@@ -121,7 +121,8 @@ def perturbed_oversample(pool: DataFrame, needs: DataFrame, seed: int) -> DataFr
     picked = rows.withColumn(
         "pick", draw_int(seed, F.lit(":pick:"), F.col("label"), F.lit(":"), F.col("i"), hex_digits=15) % F.col("__size") + 1
     )
-    texts = picked.join(pool, ["label", "pick"])
-    split = with_once(texts, "__words", words(F.col("text")))
+    drawn = picked.join(pool, ["label", "pick"]).select("label", "i", "row_id")
+    found = drawn.join(texts.select(F.col(row_id).alias("row_id"), "text"), "row_id")
+    split = with_once(found, "__words", words(F.col("text")))
     draw = (seed, F.lit(":"), F.col("label"), F.lit(":"), F.col("i"))
     return split.select("label", "i", perturb(F.col("__words"), *draw).alias("text"))

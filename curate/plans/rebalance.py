@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curate import constants as C
-from curate.functions.hashing import draw_key
+from curate.functions.permutation import permuted
 from curate.functions.text import text_key
 from curate.operators.balance import label_name, rebalance_targets
 from curate.operators.candidates import filter_candidates, first_of_key
-from curate.operators.running import rank_by_number
+from curate.operators.order_index import LEAF_ROWS, rank_by_order
 from curate.operators.sampling import (
     cluster_quotas,
     numbered_pool,
@@ -24,6 +24,8 @@ from curate.operators.vectors import similarity_gate
 from curate.session import stored
 
 TOP_UP_FIRST_STYLE = 500
+SALT_ROUNDS = 50_000
+"""Rounds of a cluster that meet one copy of its examples."""
 
 
 # ------------------------------------------------------------------------------ prompt plan
@@ -54,8 +56,15 @@ def fill_template(template: str, values: Mapping[str, Column]) -> Column:
     return text
 
 
+def _clusters(rounds: DataFrame, seeds: DataFrame, salt_rounds: int) -> DataFrame:
+    """One row per cluster: its rounds, with how many examples it has and over how many copies rounds are spread."""
+    sizes = seeds.groupBy("label", "cluster_name").agg(F.count("*").alias("__seeds"))
+    return rounds.join(sizes, ["label", "cluster_name"]).withColumn("__salts", F.greatest(F.ceil(F.col("n") / salt_rounds), F.lit(1)).cast("int"))
+
+
 def _prompts(
     rows: DataFrame,
+    clusters: DataFrame,
     seeds: DataFrame,
     number: str,
     draw: Column,
@@ -66,29 +75,25 @@ def _prompts(
     few_shot: int,
     variants: int,
 ) -> DataFrame:
-    """Style, seeded examples and filled template of each row ``(label, cluster_name, number)``.
+    """Style, seeded examples and filled template of each row ``(label, cluster_name, __seeds, __salts, number)``.
 
-    A cluster's seed list is capped by its sample, so the draw is a sort inside the row.
+    A round draws *numbers* of examples, the images of 0, 1, … under a permutation of its own, so nothing is sorted
+    or listed. Texts come last, to a key of cluster, copy and number, which holds a bounded part of the rounds.
     """
-    lists = seeds.groupBy("label", "cluster_name").agg(
-        F.collect_list(F.struct(F.col(row_id).alias("id"), F.col("text").alias("text"))).alias("seeds")
+    by = ["label", "cluster_name"]
+    numbered = rank_by_order(seeds.select(*by, row_id, "text"), by, [row_id], "__pick")
+    copies = numbered.join(clusters.select(*by, "__salts"), by).select(
+        *by, (F.col("__pick") - 1).alias("__pick"), "text", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt")
     )
-    drawn = F.slice(
-        F.array_sort(
-            F.transform(
-                "seeds",
-                lambda s: F.struct(
-                    draw_key(draw.cast("string"), F.lit(":"), s["id"]).alias("key"), s["text"].alias("text")
-                ),
-            )
-        ),
-        1,
-        few_shot,
+    turn = F.explode(F.sequence(F.lit(0), F.least(F.lit(few_shot), F.col("__seeds")).cast("int") - 1)).alias("__turn")
+    drawn = rows.select("*", F.pmod(F.col(number), F.col("__salts")).cast("int").alias("__salt"), turn)
+    key = (draw, F.lit(":"), F.col("label"), F.lit(":"), F.col("cluster_name"))
+    picked = drawn.withColumn("__pick", permuted(F.col("__turn"), F.col("__seeds"), *key))
+    found = picked.join(copies, [*by, "__salt", "__pick"]).groupBy(*by, number).agg(
+        F.sort_array(F.collect_list(F.struct("__turn", "text"))).alias("drawn")
     )
     known = F.create_map(*[F.lit(x) for pair in intents.items() for x in pair])
-    styled = rows.join(lists, ["label", "cluster_name"]).withColumns(
-        {"style": style_column(F.col(number)), "drawn": drawn}
-    )
+    styled = found.withColumn("style", style_column(F.col(number)))
     prompt = fill_template(
         template,
         {
@@ -116,18 +121,20 @@ def prompt_plan(
     seed: int = C.SEED,
     few_shot: int = C.FEW_SHOT,
     variants: int = C.VARIANTS_PER_ROUND,
+    salt_rounds: int = SALT_ROUNDS,
 ) -> DataFrame:
     """One row per prompt to send: ``(label, cluster_name, round, style…, prompt)``.
 
     A cluster needs ``ceil(quota / variants)`` rounds. Round r takes style r of the grid and its own
-    seeded draw of ``few_shot`` examples.
+    seeded draw of ``few_shot`` examples without replacement, or all if there are fewer.
     """
     rounds = quotas.select(
         "label", "cluster_name", F.expr(f"(quota + {variants} - 1) div {variants}").alias("n")
     )
-    rows = numbered_rows(rounds, ["label", "cluster_name"], out="round")
+    clusters = _clusters(rounds, seeds, salt_rounds)
+    rows = numbered_rows(clusters, ["label", "cluster_name", "__seeds", "__salts"], out="round")
     draw = F.col("round") + (seed + 1)
-    return _prompts(rows, seeds, "round", draw, template, intents, default_intent, row_id, few_shot, variants)
+    return _prompts(rows, clusters, seeds, "round", draw, template, intents, default_intent, row_id, few_shot, variants)
 
 
 def top_up_plan(
@@ -141,23 +148,23 @@ def top_up_plan(
     seed: int = C.SEED,
     few_shot: int = C.FEW_SHOT,
     variants: int = C.VARIANTS_PER_ROUND,
+    salt_rounds: int = SALT_ROUNDS,
 ) -> DataFrame:
     """Prompts for the rows ``(label, n)`` still missing: ``(label, cluster_name, turn, style…, prompt)``.
 
-    Attempts go round robin over the clusters of a class; styles start at 500 and the draws have
-    their own seed range.
+    Attempts go round robin over the clusters of a class: the cluster in place p of c has the attempts p, p + c, ….
+    Styles start at 500 and the draws have their own seed range.
     """
-    attempts = needs.select("label", F.expr(f"(n + {variants} - 1) div {variants}").alias("n"))
-    sizes = quotas.groupBy("label").agg(F.count("*").alias("n_clusters"))
-    turns = numbered_rows(attempts, ["label"], out="attempt").join(sizes, "label")
-    placed = turns.select(
-        "label",
-        (F.col("attempt") % F.col("n_clusters")).cast("int").alias("cluster_pos"),
-        (F.col("attempt") + TOP_UP_FIRST_STYLE).alias("turn"),
-    )
-    rows = placed.join(quotas.select("label", "cluster_pos", "cluster_name"), ["label", "cluster_pos"])
+    attempts = needs.select("label", F.expr(f"(n + {variants} - 1) div {variants}").alias("__attempts"))
+    sizes = quotas.groupBy("label").agg(F.count("*").cast("bigint").alias("__clusters"))
+    placed = quotas.select("label", "cluster_name", "cluster_pos").join(sizes, "label").join(attempts, "label")
+    own = F.expr("(__attempts - cluster_pos + __clusters - 1) div __clusters")
+    clusters = _clusters(placed.withColumn("n", F.greatest(own, F.lit(0))), seeds, salt_rounds)
+    keys = ["label", "cluster_name", "cluster_pos", "__clusters", "__seeds", "__salts"]
+    turn = F.col("cluster_pos") + F.col("i") * F.col("__clusters") + TOP_UP_FIRST_STYLE
+    rows = numbered_rows(clusters, keys).withColumn("turn", turn)
     draw = F.col("turn") + (seed + 1 + C.TOP_UP_SEED_SHIFT)
-    return _prompts(rows, seeds, "turn", draw, template, intents, default_intent, row_id, few_shot, variants)
+    return _prompts(rows, clusters, seeds, "turn", draw, template, intents, default_intent, row_id, few_shot, variants)
 
 
 # -------------------------------------------------------------------------- candidate intake
@@ -185,9 +192,9 @@ def gated_candidates(
     return unique.select("label", "cluster_name", *order, "target", "quota", "text")
 
 
-def capped(gated: DataFrame) -> DataFrame:
+def capped(gated: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Add ``place``, the arrival rank inside the cluster; a row counts if it is within the quota."""
-    return rank_by_number(gated, ["label", "cluster_name"], "round", ["line"], "place").drop("place_size")
+    return rank_by_order(gated, ["label", "cluster_name"], ["round", "line"], "place", leaf_rows).drop("place_size")
 
 
 def accepted_candidates(gated: DataFrame, targets: DataFrame) -> DataFrame:
@@ -195,7 +202,7 @@ def accepted_candidates(gated: DataFrame, targets: DataFrame) -> DataFrame:
 
     Leftovers are taken round by round over the clusters, as a top-up loop does.
     """
-    placed = stored(capped(gated), "placed")
+    placed = capped(gated)
     main = placed.where("place <= quota")
     first = main.select("label", F.lit("candidate").alias("origin"), "text")
     short = _shortfall(targets, main)
@@ -203,7 +210,7 @@ def accepted_candidates(gated: DataFrame, targets: DataFrame) -> DataFrame:
         return first
     short = short.withColumnRenamed("n", "short")
     left = placed.where("place > quota").join(F.broadcast(short), "label")
-    topped = rank_by_number(left, ["label"], "round", ["cluster_pos", "line"], "turn").where("turn <= short")
+    topped = rank_by_order(left, ["label"], ["round", "cluster_pos", "line"], "turn").where("turn <= short")
     return first.unionByName(topped.select("label", F.lit("top_up").alias("origin"), "text"))
 
 
@@ -252,8 +259,9 @@ def synthetic_rows(
     short = _shortfall(targets, accepted)
     if short is None:
         return accepted
-    pool = stored(numbered_pool(mine.join(F.broadcast(short.select("label")), "label", "left_semi")), "pool")
-    fill = perturbed_oversample(pool, short, seed + C.FILL_SEED_SHIFT)
+    texts = mine.join(F.broadcast(short.select("label")), "label", "left_semi")
+    pool = numbered_pool(texts)
+    fill = perturbed_oversample(pool, texts, short, seed + C.FILL_SEED_SHIFT)
     key = F.concat_ws(":", F.col("label").cast("string"), text_key(F.col("text"), trim=True))
     taken = accepted.select(key.alias("__taken"))
     fresh = first_of_key(fill, key, ["i"]).withColumn("__taken", key).join(taken, "__taken", "left_anti")
@@ -263,7 +271,7 @@ def synthetic_rows(
     short = _shortfall(targets, filled)
     if short is None:
         return filled
-    patch = perturbed_oversample(pool, short, seed + C.PATCH_SEED_SHIFT)
+    patch = perturbed_oversample(pool, texts, short, seed + C.PATCH_SEED_SHIFT)
     return filled.unionByName(patch.select("label", F.lit("patch").alias("origin"), "text"))
 
 

@@ -322,17 +322,38 @@ def style_grid(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rebalance.style_column(F.col("event_id")).alias("s")).select("event_id", "s.*")
 
 
+def _sql_drawn(rounds: str, number: str, few: int = 5) -> str:
+    """``examples(label, cluster_name, number, examples)`` of the rows ``(label, cluster_name, number, draw)`` of ``rounds``.
+
+    The numbers drawn are the images of 0, 1, … under a keyed permutation: passes of a network over a grid of a × b
+    cells, repeated while the image is no number of an example.
+    """
+    h = lambda i, half: sql_int("draw", "':'", "label", "':'", "cluster_name", f"':{i}:'", half)
+    return f"""
+    numbered AS (SELECT label, cluster_name, text, row_number() OVER (PARTITION BY label, cluster_name ORDER BY row_id) - 1 AS pick,
+                        count(*) OVER (PARTITION BY label, cluster_name) AS n FROM rseeds),
+    grids AS (SELECT DISTINCT label, cluster_name, n, ceil(sqrt(n))::BIGINT AS a, (n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT AS b FROM numbered),
+    walk AS (
+        SELECT r.label, r.cluster_name, {number}, draw, j, n, a, b, j AS x, 0 AS step
+        FROM {rounds} r JOIN grids g ON g.label = r.label AND g.cluster_name = r.cluster_name, unnest(range(least({few}, n))) t(j)
+        UNION ALL
+        SELECT label, cluster_name, {number}, draw, j, n, a, b, h2 * b + (l1 + {h(3, 'h2')}) % b, step + 1
+        FROM (SELECT *, (h1 + {h(2, 'l1')}) % a AS h2
+              FROM (SELECT *, (l0 + {h(1, 'h1')}) % b AS l1
+                    FROM (SELECT *, (x // b + {h(0, 'x % b')}) % a AS h1, x % b AS l0 FROM walk WHERE step = 0 OR x >= n)))),
+    examples AS (SELECT w.label, w.cluster_name, {number}, string_agg('- ' || s.text, chr(10) ORDER BY j) AS examples
+                 FROM walk w JOIN numbered s ON s.label = w.label AND s.cluster_name = w.cluster_name AND s.pick = w.x
+                 WHERE step > 0 AND x < w.n GROUP BY ALL)
+    """
+
+
 @query(
     "prompt_plan",
-    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)},
+    f"""WITH RECURSIVE {_REAL}, {_sql_quotas(MAJORITY)},
     {_DIGITS},
-    rounds AS (SELECT label, cluster_name, unnest(range((quota + 9) // 10)) AS round FROM quotas),
-    drawn AS (SELECT r.label, r.cluster_name, r.round, s.text,
-                     md5(concat(r.round + 43, ':', s.row_id)) AS k,
-                     row_number() OVER (PARTITION BY r.label, r.cluster_name, r.round ORDER BY md5(concat(r.round + 43, ':', s.row_id)), s.text) AS place
-              FROM rounds r JOIN rseeds s ON s.label = r.label AND s.cluster_name = r.cluster_name
-              QUALIFY place <= 5),
-    examples AS (SELECT label, cluster_name, round, string_agg('- ' || text, chr(10) ORDER BY place) AS examples FROM drawn GROUP BY ALL)
+    rounds AS (SELECT label, cluster_name, round, round + 43 AS draw
+               FROM (SELECT label, cluster_name, unnest(range((quota + 9) // 10)) AS round FROM quotas)),
+    {_sql_drawn('rounds', 'round')}
     SELECT e.label, e.cluster_name, e.round::BIGINT AS round, tone, length, formality, typos, syntax,
            'Write 10 lines about ' || replace(e.cluster_name, '_', ' ') || ' (' ||
            CASE e.cluster_name WHEN 'src1' THEN 'news of the first source' WHEN 'src2' THEN 'news of the second source' ELSE 'anything else' END
@@ -352,16 +373,12 @@ def prompt_plan(spark, sf_dir):
 
 @query(
     "top_up_plan",
-    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)},
+    f"""WITH RECURSIVE {_REAL}, {_sql_quotas(MAJORITY)},
     {_DIGITS},
     attempts AS (SELECT label, unnest(range((target + 9) // 10)) AS attempt FROM targets),
-    turns AS (SELECT a.label, q.cluster_name, a.attempt + 500 AS turn FROM attempts a JOIN quotas q ON q.label = a.label
+    turns AS (SELECT a.label, q.cluster_name, a.attempt + 500 AS turn, a.attempt + 500 + 43 + 9999 AS draw FROM attempts a JOIN quotas q ON q.label = a.label
                AND q.cluster_pos = a.attempt % (SELECT count(*) FROM quotas c WHERE c.label = a.label)),
-    drawn AS (SELECT r.label, r.cluster_name, r.turn, s.text,
-                     row_number() OVER (PARTITION BY r.label, r.turn ORDER BY md5(concat(r.turn + 43 + 9999, ':', s.row_id)), s.text) AS place
-              FROM turns r JOIN rseeds s ON s.label = r.label AND s.cluster_name = r.cluster_name
-              QUALIFY place <= 5),
-    examples AS (SELECT label, cluster_name, turn, string_agg('- ' || text, chr(10) ORDER BY place) AS examples FROM drawn GROUP BY ALL)
+    {_sql_drawn('turns', 'turn')}
     SELECT e.label, e.cluster_name, e.turn::BIGINT AS turn, tone, length, formality, typos, syntax,
            'Ten more (10), ' || formality || ':' || chr(10) || examples AS prompt
     FROM examples e JOIN styles s ON s.style = e.turn % 20
@@ -411,7 +428,7 @@ def _sql_perturbed(name: str, needs: str, seed: int) -> str:
 def perturbed_oversample(spark, sf_dir):
     rows = corpus(spark, sf_dir)
     needs = rows.groupBy("label").agg(F.count("*").alias("n"))
-    return sampling.perturbed_oversample(sampling.numbered_pool(rows), needs, 7)
+    return sampling.perturbed_oversample(sampling.numbered_pool(rows), rows, needs, 7)
 
 
 _GATED = f"""

@@ -213,6 +213,8 @@ def with_views(sql: str, names: list[str]) -> str:
         return sql.strip()
     views = ",\n".join(f"{n} AS ({SQL_VIEWS[n][1].strip()})" for n in ordered)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"

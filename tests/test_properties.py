@@ -259,13 +259,13 @@ def test_augmentation_hits_targets(spark, balance, threshold):
 
 
 def test_perturbation_changes_at_most_one_place(spark):
-    pool = spark.createDataFrame([(0, 1, "a b c d e f")], "label int, pick long, text string")
+    real = spark.createDataFrame([(0, 7, "a b c d e f")], "label int, row_id long, text string")
     needs = spark.createDataFrame([(0, 200)], "label int, n long")
     words = "a b c d e f".split()
     allowed = {" ".join(words[:i] + words[i + 1 :]) for i in range(1, 5)}
     allowed |= {" ".join(words[: i + 1] + words[i:]) for i in range(6)}
     allowed |= {" ".join([*words[:i], words[i + 1], words[i], *words[i + 2 :]]) for i in range(5)}
-    got = {r["text"] for r in sampling.perturbed_oversample(pool, needs, 1).collect()}
+    got = {r["text"] for r in sampling.perturbed_oversample(sampling.numbered_pool(real), real, needs, 1).collect()}
     assert got == allowed
 
 
