@@ -94,8 +94,8 @@ def parts_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, digest, size, bands) of every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, key, digest, size, bands) of every whole text; ``key`` is a hash of the text as it is."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +106,14 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 for i, row in zip(present.tolist(), found.view(np.int64) if len(found) else []):
                     lists[i] = row
                 sizes = pc.fill_null(pc.binary_length(part["text"]), 0)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(digests, pa.binary()), sizes.cast(pa.int64()), pa.array(lists, schema.field("bands").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["key"], pa.array(digests, pa.binary()), sizes.cast(pa.int64()), pa.array(lists, schema.field("bands").type)], schema=schema)
 
-    slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return slim.mapInArrow(sign, "doc_id long, digest binary, size long, bands array<long>")
+    return keyed_texts(docs).mapInArrow(sign, "doc_id long, key long, digest binary, size long, bands array<long>")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    text = text_of(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _overlap(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -138,8 +142,8 @@ def _overlap(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 def _verify(n: int, threshold: float):
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("doc_id")
-        ids, block, copies = (table[c].to_numpy() for c in ("doc_id", "block", "copies"))
+        table = table.combine_chunks().sort_by("class")
+        ids, block, copies = (table[c].to_numpy() for c in ("class", "block", "copies"))
         value, of, _ = shingles(table["text"].combine_chunks(), n)
         edges = np.searchsorted(of, np.arange(len(ids) + 1))
         sets = [np.unique(value[a:b]) for a, b in zip(edges[:-1], edges[1:])]
@@ -170,7 +174,7 @@ def _verify(n: int, threshold: float):
             np.add.at(links, right, copies[left])
             root = smallest(root, left, right)
         kept = np.flatnonzero(links)
-        return pa.table({"doc_id": ids[kept], "links": links[kept], "root": ids[root[kept]]})
+        return pa.table({"class": ids[kept], "links": links[kept], "root": ids[root[kept]]})
 
     return verify
 
@@ -202,45 +206,45 @@ def near_duplicates(
     Two texts are linked if the Jaccard similarity of their sets of ``n``-word runs is ``threshold`` or
     more; a pair at the threshold is found with probability ``recall``, a closer one more surely.
     ``class_id`` is the smallest id with the same words, ``n_copies`` how many rows have them, ``n_links``
-    counts the other rows linked directly, copies included, and ``component_id`` is the smallest id that
-    links lead to. Letters A-Z count as small ones and any white space as one blank. A text without
-    words, NULL too, links with nothing. Rows with equal ids are one document that has the links of
-    each of its texts, and a NULL id gets no links. An empty table gives no rows.
+    counts the other rows linked directly, copies included, and ``component_id`` is the smallest id of
+    the rows that links lead to. Letters A-Z count as small ones and any white space as one blank. A text
+    without words, NULL too, links with nothing. Every row is a document of its own, repeated ones and
+    those with equal ids too; a NULL id gets no links and is none. An empty table gives no rows.
     """
     bands = banding(threshold, recall, band_rows)
     signed = stored(signatures(docs, n, bands, band_rows), "signatures")
     filled = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "size")).alias("m"), F.count("*").alias("copies"))
-    classes = stored(classes.select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.bands").alias("bands"), F.col("m.size").alias("size"), "copies"), "classes")
-    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "hash"))
-    full = banded.groupBy("band", "hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = banded.join(full, ["band", "hash"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "bands", "size")).alias("m"), F.count("*").alias("copies"))
+    # Classes have numbers: ids may repeat, and then two texts may have the same smallest one.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "digest", "m.*", "copies"), "classes")
+    banded = classes.select("class", F.posexplode("bands").alias("band", "hash"))
+    full = banded.groupBy("band", "hash").agg(F.min("class").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = banded.join(full, ["band", "hash"]).select(F.col("class").alias("a"), F.col("first").alias("b"))
     groups = components(near)
 
-    members = groups.join(classes, groups["id"] == classes["doc_id"]).select("component", "doc_id", "bands", "copies", "size")
+    members = groups.join(classes, groups["id"] == classes["class"]).select("component", "class", "doc_id", "key", "bands", "copies", "size")
     sizes = members.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("size") / block_bytes)).alias("blocks")
     )
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(F.col("text").cast("string")).alias("text"))
+    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    # Repeated rows are reduced to one before the shuffle.
+    texts = keyed_texts(docs).dropDuplicates(["doc_id", "key"])
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    sent = members.drop("size").join(texts, "doc_id").withColumn("other", other)
-    sent = sent.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "block", "copies", "bands", "text")
-    checked = sent.groupBy("component", "low", "high").applyInArrow(_verify(n, threshold), "doc_id long, links long, root long")
+    sent = members.drop("size").join(texts, ["doc_id", "key"]).withColumn("other", other)
+    sent = sent.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "block", "copies", "bands", "text")
+    checked = sent.groupBy("component", "low", "high").applyInArrow(_verify(n, threshold), "class long, links long, root long")
     checked = stored(checked, "links")
-    linked = checked.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    joined = components(checked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    known = (
-        classes.select("digest", F.col("doc_id").alias("class_id"), "copies")
-        .join(linked.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
-        .join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
-    )
-    rows = signed.select("doc_id", "digest").join(known, "digest", "left")
+    linked = checked.groupBy("class").agg(F.sum("links").alias("links"))
+    joined = components(checked.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "class")
+    known = classes.select("class", "digest", F.col("doc_id").alias("class_id"), "copies").join(linked, "class", "left").join(joined, "class", "left")
+    known = stored(known.withColumn("component", F.coalesce("component", "class")), "components")
+    least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    rows = signed.select("doc_id", "digest").join(known.join(least, "component"), "digest", "left")
     alone = F.col("class_id").isNull() | F.col("doc_id").isNull()
     return rows.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, 1).otherwise(F.col("copies")).cast("bigint").alias("n_copies"),
         F.when(alone, 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"),
-        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "class_id")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
