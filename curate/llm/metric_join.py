@@ -27,7 +27,8 @@ THRESHOLD = 0.9
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 2048
 """Pivots are a sample of the vectors: one for each block, at most so many (every vector is indexed)."""
-SLACK = 1e-9
+SLACK = 1e-7
+"""More than the error of an angle near 0, which is the root of that of its cosine."""
 
 
 def _units(data: list[bytes]) -> np.ndarray:
@@ -38,22 +39,23 @@ def _units(data: list[bytes]) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
-    """(id, data): the components as packed doubles of vectors that have a direction."""
+    """(id, data): every row, with the components as packed doubles, or NULL without an id or a direction."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch["v"].cast(pa.list_(pa.float64()))
+            none = (pc.is_null(batch["id"]).to_numpy(zero_copy_only=False)) | (pc.is_null(lists).to_numpy(zero_copy_only=False))
             flat, edges = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
             whole = flat.is_valid().to_numpy(zero_copy_only=False)
             values = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
             bad = np.concatenate([[0], np.cumsum(~(whole & np.isfinite(values)))])
             some = np.concatenate([[0], np.cumsum(values != 0)])
-            kept = np.flatnonzero((bad[edges[1:]] == bad[edges[:-1]]) & (some[edges[1:]] > some[edges[:-1]]))
-            data = [(values[edges[i] : edges[i + 1]] + 0.0).astype("<f8").tobytes() for i in kept]
-            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(kept)), pa.array(data, pa.binary())], ["id", "data"])
+            kept = ~none & (bad[edges[1:]] == bad[edges[:-1]]) & (some[edges[1:]] > some[edges[:-1]])
+            data = [(values[a:b] + 0.0).astype("<f8").tobytes() if k else None for a, b, k in zip(edges[:-1], edges[1:], kept)]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(data, pa.binary())], ["id", "data"])
 
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    return rows.where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(pack, "id long, data binary")
+    return rows.mapInArrow(pack, "id long, data binary")
 
 
 class Cells:
@@ -114,12 +116,15 @@ def cosine_links(
     Two rows are linked if the cosine of their vectors, in double precision, is ``threshold`` or more.
     Equal vectors are compared once and count as often as they occur. A vector that is NULL, zero or
     holds a NULL or non-finite component links with nothing, nor do vectors of different length with
-    each other. Rows with equal ids are one vector of the graph that has the links of each; a NULL id
-    has no links and is not kept. An empty table gives no rows.
+    each other. Every row is a vector of its own, repeated ones and those with equal ids too: ``n_links``
+    counts the other rows linked with it, and ``component_id`` is the smallest id of the rows that links
+    lead to. A NULL id has no links, is no link, and is not kept. An empty table gives no rows.
     """
     angle = float(np.arccos(threshold))
     valid = stored(usable(vectors, key, vec), "vectors")
-    groups = stored(valid.groupBy("data").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "distinct")
+    # A number for each distinct vector: ids may repeat.
+    distinct = valid.where("data IS NOT NULL").groupBy("data").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    groups = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
     n = groups.count()
     pivots: dict[int, list[bytes]] = {}
     for row in groups.orderBy(F.xxhash64("id"), "id").limit(min(max_pivots, ceil(n / block_rows))).collect():
@@ -184,15 +189,16 @@ def cosine_links(
 
     linked = checked.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    reps = groups.withColumnRenamed("id", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    members = valid.join(reps, "data").groupBy("id").agg(
-        F.sum(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.min(F.coalesce("component", "rep")).alias("component")
-    )
-    rows = vectors.select(F.col(key).cast("bigint").alias("vec_id")).join(members, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component", "vec_id")
+    # One row for each distinct vector: its links to others, and the smallest id of its component.
+    known = groups.select("data", "id", "least", "copies").join(linked, "id", "left").join(joined, "id", "left")
+    known = stored(known.withColumn("component", F.coalesce("component", "id")), "components")
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    ends = known.join(least, "component").select("data", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
+    rows = valid.join(ends, "data", "left")
+    component = F.coalesce("component_id", "id")
     return rows.select(
-        "vec_id",
+        F.col("id").alias("vec_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"),
+        F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
     )

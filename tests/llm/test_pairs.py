@@ -69,6 +69,61 @@ def test_groups_of_near_copies_in_blocks(spark, block_docs):
     same_documents(ngram_join.near_duplicates(docs, recall=0.999999, block_docs=block_docs).collect(), rows)
 
 
+def brute_rows(rows, alike):
+    """Sorted (id, links, component): every row is a node of its own, a NULL id is none."""
+    known = [k for k, r in enumerate(rows) if r[0] is not None]
+    links = [(x, y) for x in known for y in known if x < y and alike(rows[x][1], rows[y][1])]
+    root = joined(len(rows), links)
+    least = {}
+    for k in known:
+        least[root[k]] = min(rows[k][0], least.get(root[k], rows[k][0]))
+    out = [(rows[k][0], sum(k in pair for pair in links), least[root[k]]) for k in known]
+    return sorted(out) + [(None, 0, None)] * (len(rows) - len(known))
+
+
+def by_row(found, key):
+    rows = [(r[key], r["n_links"], r["component_id"]) for r in found.collect()]
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0))
+
+
+def alike_texts(a, b):
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((a or "").lower().split(), (b or "").lower().split()))
+    return bool(one and two) and len(one & two) >= 0.8 * len(one | two)
+
+
+def test_repeated_rows_are_documents_of_their_own(spark):
+    t, u = prose(1, 80), prose(2, 80)
+    cases = [
+        [(5, t), (5, t), (6, t + " tail")],
+        [(5, t), (5, u), (6, t + " tail"), (7, u + " tail"), (7, u + " tail"), (1, u + " other")],
+        [(2, t), (2, t + " tail"), (2, u), (3, t), (None, t), (None, t), (2, None), (2, ""), (2, None), (3, u), (0, u + " tail")],
+    ]
+    for rows in cases:
+        docs = documents(spark, [(i, x, "s") for i, x in rows], "key class digest component")
+        for block_docs in (512, 2):
+            assert by_row(ngram_join.near_duplicates(docs, recall=0.999999, block_docs=block_docs), "doc_id") == brute_rows(rows, alike_texts)
+
+
+def test_repeated_vectors_are_vectors_of_their_own(spark):
+    v, w = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
+    near = lambda x, e: [c + e for c in x]
+    cases = [
+        [(1, v), (1, w), (2, near(v, 0.05)), (3, near(w, 0.05))],
+        [(1, v), (1, near(v, 0.05)), (2, near(v, 0.02))],
+        [(4, v), (4, v), (4, w), (5, near(v, 0.01)), (5, near(w, 0.01)), (None, v), (None, None), (4, None), (4, [0.0] * 4), (0, near(w, 0.02)), (5, near(v, 0.01))],
+    ]
+
+    def alike(a, b):
+        if not a or not b or not any(a) or not any(b):
+            return False
+        return np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
+
+    for rows in cases:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        for block_rows in (4096, 1):
+            assert by_row(metric_join.cosine_links(df, block_rows=block_rows), "vec_id") == brute_rows(rows, alike)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(documents(spark, EMPTY)).count() == 0
     got = ngram_join.near_duplicates(documents(spark, [(None, prose(1), "a"), (2, prose(1), "a"), (2, prose(1), "a"), (3, None, None)])).collect()
@@ -126,6 +181,10 @@ def test_vectors_of_the_given_table_and_none(spark):
     near = (u @ u.T >= 0.9).sum(axis=1) - 1
     got = QUERIES["op5_embedding_near_dedup"](spark, big).toPandas().set_index("vec_id").loc[rows.vec_id]
     assert (got.n_links.to_numpy() == near).all()
+    ids = rows.vec_id.to_numpy()
+    order = np.argsort(ids)
+    root = joined(len(ids), np.argwhere(np.triu(u[order] @ u[order].T >= 0.9, 1)).tolist())
+    assert (got.loc[ids[order]].component_id.to_numpy() == ids[order][root]).all()
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert metric_join.cosine_links(empty).count() == 0
     alone = metric_join.cosine_links(spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>"))
