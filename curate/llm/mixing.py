@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.llm.common import SPACE, pieces_for, text_of
+from curate.session import stored
 
 GOLDEN = (5**0.5 - 1) / 2
 CHUNK = 1 << 16
@@ -106,7 +107,8 @@ def mix(
     if not total:
         return spark.createDataFrame([], out), sources
     n_slots = max(ceil(total / block), least_slots)
-    slots = schedule(spark, n_slots, [s["target"] for s in sources])
+    # Stored, so that the optimizer knows how large the slots are before it joins them.
+    slots = stored(schedule(spark, n_slots, [s["target"] for s in sources]), "slots")
     found = {r["source_no"]: r["n"] for r in slots.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
     missed = [s["source_no"] for s in sources if s["target"] > 0 and s["source_no"] not in found]
     if missed:  # a share below one slot: its one slot is put at the end
@@ -144,4 +146,5 @@ def mix(
         (F.greatest(begin, "lo") - F.col("lo")).alias("start"),
         (F.least(end, "hi") - F.greatest(begin, "lo")).alias("length"),
     )
-    return cut.join(slots, ["source_no", "rank"]).select("slot", "source_no", *names, "epoch", "start", "length"), sources
+    # The slots grow with the words: they are merged, whatever their size is estimated at.
+    return cut.join(slots.hint("merge"), ["source_no", "rank"]).select("slot", "source_no", *names, "epoch", "start", "length"), sources
