@@ -186,7 +186,8 @@ def distinct_texts(docs: DataFrame, range_bytes: int = RANGE_BYTES, max_ranges:
         return pa.table({"digest": pa.array(digests, pa.binary()), "doc_id": pa.array(numbers, pa.int64())})
 
     merged = rows.mapInArrow(merge, "place int, text binary, doc_id long")
-    return merged.groupBy("place").applyInArrow(insert, "digest binary, doc_id long")
+    # A partition for each range, so that a task's share does not grow with the table.
+    return merged.repartition(sum(slots), "place").groupBy("place").applyInArrow(insert, "digest binary, doc_id long")
 
 
 # ------------------------------------------------------------------------------------- the audit
