@@ -1,11 +1,12 @@
 """Quality scores from compressed sizes under a dictionary of good and one of bad text.
 
-Two zstandard dictionaries are trained, one on text labelled good and one on text labelled bad. A
+Two zstandard dictionaries are trained, one on texts labelled good and one on texts labelled bad. A
 text is compressed with each, block by block, so that what it has said before does not hide what
-the dictionaries know. The difference of the sizes by its length, together with the sizes
-themselves and the length, goes through a logistic curve, which turns it into the probability of
-label 1. Labelled rows are dealt to two halves; each half trains a pair of dictionaries, and the
-curve is fitted on the sizes of each half under the other half's pair. A score is the mean of both.
+the dictionaries know. The difference of the two sizes by the text's length is the signal; a logistic
+curve, which also knows the size itself and the length, as short texts differ by chance, turns it into
+the probability of label 1. Labelled rows are dealt to two halves; each half trains a pair of
+dictionaries, and the curve is fitted on the sizes of each half under the other half's pair. A score
+is the mean of both.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ BLOCK = 512
 LEVEL = 3
 DICTIONARY_BYTES = 110 * 1024
 DICTIONARY_ROWS = 2_000
-DICTIONARY_CHARS = 4_096
+SAMPLE_BYTES = 8 << 20
+"""The sample of a dictionary: whole texts, at most so many and of so many bytes in all."""
 CALIBRATION_ROWS = 6_000
 LIMIT = 4.0
 RIDGE = 0.3
@@ -48,31 +50,30 @@ class Classifier:
 
 
 def _compressors(dictionaries: tuple[bytes, bytes]) -> list[zstandard.ZstdCompressor]:
-    plain = dict(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-    made = [zstandard.ZstdCompressor(**plain)]
+    made = []
     for content in dictionaries:
         known = zstandard.ZstdCompressionDict(content)
         known.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(dict_data=known, **plain))
+        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False))
     return made
 
 
 def features(texts: list[str | None], dictionaries: tuple[bytes, bytes]) -> np.ndarray:
-    """Six numbers per text: size difference, sizes under each dictionary and none, and length."""
+    """Three numbers per text: size difference by length, size under the good dictionary by length, log of the length."""
     compressors, out = _compressors(dictionaries), []
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
         n = max(len(data), 1)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        plain, bad, good = (sum(len(c.compress(b)) for b in blocks) / n for c in compressors)
-        out.append((bad - good, good, bad, plain, np.log(n), 100 / (100 + n)))
-    return np.asarray(out, float).reshape(-1, 6)
+        bad, good = (sum(len(c.compress(b)) for b in blocks) / n for c in compressors)
+        out.append((bad - good, good, np.log(n)))
+    return np.asarray(out, float).reshape(-1, 3)
 
 
 def _design(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """A constant, the features, and the difference times the log of the length."""
     z = np.clip((x - mean) / spread, -LIMIT, LIMIT)
-    i, j = np.triu_indices(z.shape[1])
-    return np.hstack([np.ones((len(z), 1)), z, z[:, i] * z[:, j]])
+    return np.column_stack([np.ones(len(z)), z, z[:, 0] * z[:, 2]])
 
 
 def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -94,13 +95,6 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def _excerpts(text: Column, chars: int, pieces: int = 4) -> Column:
-    """The whole text if it has at most ``chars`` characters, else runs spread evenly from its start to its end."""
-    size, n = max(chars // pieces, 1), F.length(text)
-    runs = [F.substr(text, F.floor((n - size) * i / (pieces - 1)).cast("int") + 1, F.lit(size)) for i in range(pieces)]
-    return F.when(n <= chars, F.array(text)).otherwise(F.array(*runs))
-
-
 def scored_features(docs: DataFrame, dictionaries: tuple[bytes, bytes], keep: list[str]) -> DataFrame:
     """(``keep``…, x ARRAY<DOUBLE>) of every whole text."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
@@ -117,38 +111,57 @@ def scored_features(docs: DataFrame, dictionaries: tuple[bytes, bytes], keep: li
     return rows.mapInArrow(measure, types)
 
 
+def within(rows: list, bytes_: int, n: int) -> list:
+    """The first ``n`` of the rows whose ``size`` still fits into ``bytes_`` in all."""
+    kept, total = [], 0
+    for r in rows:
+        if len(kept) < n and total + r["size"] <= bytes_:
+            kept.append(r)
+            total += r["size"]
+    return kept
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     usable: Column,
     label: str = "quality",
     dictionary_rows: int = DICTIONARY_ROWS,
-    dictionary_chars: int = DICTIONARY_CHARS,
+    sample_bytes: int = SAMPLE_BYTES,
     calibration_rows: int = CALIBRATION_ROWS,
 ) -> Classifier:
     """Learn from labelled rows for which ``usable`` (a condition on ``doc_id``) holds.
 
-    The sample is bounded: in each half, dealt by a hash of the id, the first ``dictionary_rows`` of
-    each class give ``dictionary_chars`` characters at most, taken from all over the text, to its
-    dictionaries, and the first ``calibration_rows`` are measured for the curve, on whole texts. Which rows it holds depends only on the ids.
-    Rows with a NULL label or text are passed over. If a half lacks a class, there is no curve.
+    The sample is bounded in rows and bytes: in each half, dealt by a hash of the id, whole texts of each
+    class train its dictionary, the first ``dictionary_rows`` that fit into ``sample_bytes``, and the first
+    ``calibration_rows`` texts are measured, whole too, for the curve. Which rows it holds depends only on ids
+    and texts; equal rows count once. Rows with a NULL label or text are passed over. If a half lacks
+    a class, there is no curve.
     """
     place = F.xxhash64(F.lit(11), "doc_id")
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(usable & F.col("y").isin(0, 1)).distinct()
     known = known.select("doc_id", "y", F.shiftright(place, 1).alias("h"), F.pmod(place, F.lit(2)).alias("half"))
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    line = ["h", "doc_id", "y", "key"]
 
     def first(rows: DataFrame, n: int) -> DataFrame:
-        return rows.orderBy("h", "doc_id", "y").limit(n).select("doc_id", "y", "half")
+        return rows.orderBy("h", "doc_id", "y").limit(n)
 
     parts = [known.where((F.col("half") == half) & (F.col("y") == y)) for half in (0, 1) for y in (0, 1)]
-    # At most 4 * dictionary_rows rows of three numbers.
+    # At most 4 * dictionary_rows rows of numbers.
     chosen = reduce(DataFrame.unionByName, [first(rows, dictionary_rows) for rows in parts])
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "half", "y", _excerpts(F.col("text"), dictionary_chars).alias("runs")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["runs"]))
+    sized = texts.select("doc_id", "key", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id")
+    rows = sized.distinct().orderBy(*line).limit(4 * dictionary_rows).collect()
+    picked = [
+        r for half in (0, 1) for y in (0, 1) for r in within([r for r in rows if (r["half"], r["y"]) == (half, y)], sample_bytes, dictionary_rows)
+    ]
     samples: dict[tuple[int, int], list[bytes]] = {(half, y): [] for half in (0, 1) for y in (0, 1)}
-    for r in rows:
-        for data in map(str.encode, r["runs"]):
+    if picked:
+        names = docs.sparkSession.createDataFrame([(r["doc_id"], r["key"], r["half"], r["y"], r["h"]) for r in picked], "doc_id long, key long, half int, y int, h long")
+        # At most 4 * sample_bytes of text.
+        found = texts.join(F.broadcast(names), ["doc_id", "key"]).dropDuplicates(["doc_id", "key", "y"]).collect()
+        for r in sorted(found, key=lambda r: tuple(r[c] for c in line)):
+            data = r["text"].encode("utf-8", "surrogatepass")
             samples[r["half"], r["y"]] += [data[i : i + 2 * BLOCK] for i in range(0, len(data), 2 * BLOCK)]
     base = known.agg(F.avg("y")).first()[0]
     base = 0.5 if base is None else float(base)
@@ -157,9 +170,8 @@ def fit(
     dictionaries = tuple((_dictionary(samples[half, 0]), _dictionary(samples[half, 1])) for half in (0, 1))
     measured = []
     for half in (0, 1):
-        some = texts.join(F.broadcast(first(known.where(F.col("half") == half), calibration_rows)), "doc_id")
-        measured += scored_features(some, dictionaries[1 - half], ["doc_id", "y"]).collect()
-    measured.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
+        some = texts.join(F.broadcast(first(known.where(F.col("half") == half), calibration_rows)), "doc_id").dropDuplicates(["doc_id", "key", "y"])
+        measured += scored_features(some, dictionaries[1 - half], line).orderBy(*line).limit(calibration_rows).collect()
     x, y = np.asarray([r["x"] for r in measured]), np.asarray([r["y"] for r in measured], float)
     if len(set(y.tolist())) < 2:
         return Classifier((), None, None, None, base)
@@ -167,8 +179,8 @@ def fit(
     return Classifier(dictionaries, mean, spread, _logistic(_design(x, mean, spread), y), base)
 
 
-def score(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
-    """(``keep``…, score DOUBLE): the probability of label 1 for every whole text, in [0, 1].
+def score(docs: DataFrame, model: Classifier, keep: list[str], out: str = "score") -> DataFrame:
+    """(``keep``…, ``out`` DOUBLE): the probability of label 1 for every whole text, in [0, 1].
 
     NULL counts as the empty text, which gets the score of a text without content. Equal texts get
     equal scores, repeated rows stay, an empty table gives no rows, and columns not in ``keep`` are
@@ -189,4 +201,4 @@ def score(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
                     yield part.drop_columns(["text"]).append_column("score", pa.array(found))
 
         scored = rows.mapInArrow(judge, types)
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "score")
+    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], F.col("score").alias(out))

@@ -1,11 +1,13 @@
 """Fingerprints, quality, mixing, packing and sharding against brute force on small tables."""
 
+import math
 import hashlib
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from helpers import AWKWARD, EMPTY, documents, prose
 from pyspark.sql import functions as F
 
@@ -228,8 +230,39 @@ def test_shards_of_nothing_and_of_the_whole_table(spark):
     assert len(got) == len(texts) and set(got.law) == {"bytes"}
 
 
-def test_dictionary_text_comes_from_all_over_a_document(spark):
-    texts = [("short",), ("a" * 40 + "b" * 40 + "c" * 40 + "d" * 40,), ("",)]
-    df = spark.createDataFrame(texts, "text string")
-    got = [r[0] for r in df.select(quality._excerpts(F.col("text"), 16)).collect()]
-    assert got == [["short"], ["aaaa", "bbbb", "cccc", "dddd"], [""]]
+def test_scores_follow_from_sizes_worked_out_independently(spark):
+    """Sizes from the library's one-shot calls, the curve from its weights, for texts of the given table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), id_remainder(5) != 0)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["q"] for r in quality.score(docs.withColumn("score", F.lit(1)), model, ["doc_id", "score"], "q").collect()}
+    assert len(got) == len(texts)
+    for i in sorted(texts)[:40]:
+        data, chances = texts[i].encode(), []
+        for pair in model.dictionaries:
+            sizes = []
+            for content in pair:
+                known = zstandard.ZstdCompressionDict(content)
+                made = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+                parts = [made.compress(data[k : k + 512]) for k in range(0, len(data), 512)]
+                plain = zstandard.ZstdDecompressor(dict_data=known)
+                assert b"".join(plain.decompress(p, max_output_size=512) for p in parts) == data
+                sizes.append(sum(map(len, parts)) / max(len(data), 1))
+            z = [sizes[0] - sizes[1], sizes[1], math.log(max(len(data), 1))]
+            z = [min(max((v - m) / s, -quality.LIMIT), quality.LIMIT) for v, m, s in zip(z, model.mean, model.spread)]
+            total = sum(w * v for w, v in zip(model.weights, [1, *z, z[0] * z[2]]))
+            chances.append(1 / (1 + math.exp(-total)))
+        assert got[i] == pytest.approx(sum(chances) / 2, abs=1e-12)
+
+
+def test_samples_hold_whole_texts_within_their_bytes(spark):
+    rows = [{"size": n, "i": i} for i, n in enumerate([5, 90, 20, 80, 1, 3])]
+    assert [r["i"] for r in quality.within(rows, 100, 9)] == [0, 1, 4, 5]
+    assert [r["i"] for r in quality.within(rows, 10**9, 2)] == [0, 1]
+    # A chosen id with very many rows brings no more than the bound along.
+    docs = documents(spark, [(i, "good words of prose " * 9 + prose(i), "a") for i in range(60)] + [(i, "$$$ ### " * 40 + str(i), "a") for i in range(60, 120)])
+    more = docs.union(documents(spark, [(1, f"good words {k} " * 9, "a") for k in range(3000)]))
+    labels = spark.createDataFrame([(i, int(i < 60), None) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = quality.fit(more, labels, F.lit(True), dictionary_rows=30, sample_bytes=20_000, calibration_rows=50)
+    out = {r["doc_id"]: r["score"] for r in quality.score(docs, model, ["doc_id"]).collect()}
+    assert min(out[i] for i in range(60)) > max(out[i] for i in range(60, 120))
