@@ -20,7 +20,7 @@ THRESHOLD = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier accepts. It learns as ``op2_quality_classifier`` does."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), id_remainder(5) != 0)
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= THRESHOLD).drop("score")
+    return quality.score(docs, model, docs.columns, "__score").where(F.col("__score") >= THRESHOLD).drop("__score")
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
