@@ -34,6 +34,10 @@ MIN_DELTA = 1e-4
 BATCH_ROWS = 32
 RECALL_GRID = 200
 
+# --- fixed values: outcomes of a test without a winner ------------------------------------------
+SAME_PREDICTIONS = "tie (identical predictions)"
+NO_DIFFERENCE = "no significant difference"
+
 # --- fixed values: style grid ---------------------------------------------------------------
 TONES = ("aggressive", "passive-aggressive", "sarcastic", "cold", "direct")
 LENGTHS = ("very short (under 10 words)", "short (10-20 words)", "medium (20-40 words)")
@@ -46,25 +50,12 @@ SYNTAXES = (
     "imperative sentences",
 )
 
-# --- fixed values: phrases that mark a line as model chatter ---------------------------------
-DISCLAIMER_PHRASES = (
-    "i (cannot|can't|won't)",
-    "this (is|content)",
-    "as an ai",
-    "i apologize",
-    "please note",
-    "disclaimer",
-    "warning:",
-)
-APOLOGY_PHRASES = ("i'm sorry", "sorry,")
-REFUSAL_PHRASES = (
-    "i understand",
-    "instead of",
-    "that is harmful",
-    "not appropriate",
-    "healthy discussion",
-    "promote respect",
-)
+# --- fixed values: patterns that mark a lower-cased line as model chatter, by reason ----------
+REJECTED = {
+    "disclaimer": r"(i (cannot|can't|won't)|this (is|content)|as an ai|i apologize|please note|disclaimer|warning:)",
+    "apology": r"(i'm sorry|sorry,)",
+    "refusal": r"(i understand|instead of|that is harmful|not appropriate|healthy discussion|promote respect)",
+}
 
 # --- fixed values: metric names and their table headings -------------------------------------
 MAIN_METRICS = (

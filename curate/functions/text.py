@@ -58,8 +58,3 @@ def words(text: Column) -> Column:
 def text_key(text: Column, trim: bool = False) -> Column:
     """Key under which two texts count as the same."""
     return F.lower(strip(text) if trim else text)
-
-
-def any_phrase(text: Column, phrases) -> Column:
-    """Case-insensitive, unanchored match of any of the phrases (regular expressions)."""
-    return text.rlike("(?i)(" + "|".join(phrases) + ")")

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curate.constants import (
-    APOLOGY_PHRASES,
-    DISCLAIMER_PHRASES,
-    MAX_CHARS,
-    MIN_CHARS,
-    REFUSAL_PHRASES,
-)
+from curate.constants import MAX_CHARS, MIN_CHARS, REJECTED
 from curate.functions.once import with_once
-from curate.functions.text import LINE_BREAK, any_phrase, clean_line, strip, text_key
+from curate.functions.text import LINE_BREAK, clean_line, strip, text_key
 
 
 def response_lines(responses: DataFrame, keys: Sequence[str], response: str = "response") -> DataFrame:
@@ -24,29 +18,34 @@ def response_lines(responses: DataFrame, keys: Sequence[str], response: str = "r
     return with_once(lines, "line", strip(F.col("line"))).where("line <> ''")
 
 
-def reject_reason(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
-    """Why a cleaned line is not usable, or NULL if it is."""
-    return (
-        F.when(text.isNull() | (text == ""), F.lit("empty"))
-        .when(~F.char_length(text).between(min_chars, max_chars), F.lit("length"))
-        .when(any_phrase(text, DISCLAIMER_PHRASES), F.lit("disclaimer"))
-        .when(any_phrase(text, APOLOGY_PHRASES), F.lit("apology"))
-        .when(any_phrase(text, REFUSAL_PHRASES), F.lit("refusal"))
+def reject_reason(
+    text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, rejected: Mapping[str, str] = REJECTED
+) -> Column:
+    """Why a cleaned line is not usable, or NULL if it is.
+
+    ``rejected`` maps a reason to a regular expression over the lower-cased line; the first that is found counts.
+    """
+    reason = F.when(text.isNull() | (text == ""), F.lit("empty")).when(
+        ~F.char_length(text).between(min_chars, max_chars), F.lit("length")
     )
+    for name, pattern in rejected.items():
+        reason = reason.when(F.lower(text).rlike(pattern), F.lit(name))
+    return reason
 
 
-def is_valid(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
-    return reject_reason(text, min_chars, max_chars).isNull()
+def is_valid(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, rejected: Mapping[str, str] = REJECTED) -> Column:
+    return reject_reason(text, min_chars, max_chars, rejected).isNull()
 
 
 def first_of_key(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """Keep the first row of every key.
 
-    The rank-equals-one filter becomes a group limit before the shuffle, so each task sends at
+    A digest of 256 bits stands for the key, so a text travels once, as itself. The rank-equals-one filter becomes a group limit before the shuffle, so each task sends at
     most one row of a key however often the key occurs.
     """
     first = Window.partitionBy("__key").orderBy(*[F.asc(c) for c in order])
-    ranked = df.withColumn("__key", key).withColumn("__place", F.row_number().over(first))
+    digest = F.unhex(F.sha2(key.cast("string"), 256))
+    ranked = df.withColumn("__key", digest).withColumn("__place", F.row_number().over(first))
     return ranked.where("__place = 1").drop("__key", "__place")
 
 
@@ -74,6 +73,7 @@ def filter_candidates(
     raw: str = "raw",
     min_chars: int = MIN_CHARS,
     max_chars: int = MAX_CHARS,
+    rejected: Mapping[str, str] = REJECTED,
 ) -> DataFrame:
     """Clean, validate, keep the first of equal texts, drop those already seen; adds ``text``.
 
@@ -81,7 +81,7 @@ def filter_candidates(
     leaves no hot key to join on.
     """
     cleaned = with_once(candidates, "text", clean_line(F.col(raw)))
-    valid = cleaned.where(is_valid(F.col("text"), min_chars, max_chars))
+    valid = cleaned.where(is_valid(F.col("text"), min_chars, max_chars, rejected))
     unique = first_of_key(valid, text_key(F.col("text")), order)
     return unique if seen is None else without_seen(unique, seen)
 

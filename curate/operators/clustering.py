@@ -1,17 +1,15 @@
-"""KMeans clusters, their number and their names."""
+"""K-means clusters, their number and their names."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.constants import SEED, SILHOUETTE_K
-from curate.functions.vectors import as_double, unit
+from curate.operators import lloyd
 from curate.operators.vectors import category_similarity
 
 
@@ -19,33 +17,19 @@ def cluster_sizes(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, "cluster_name").agg(F.count("*").alias("n"))
 
 
-def _features(df: DataFrame, vec: str) -> DataFrame:
-    return df.withColumn("__features", array_to_vector(unit(as_double(F.col(vec)))))
+def choose_k(
+    df: DataFrame, vec: str = "embedding", k_range: tuple[int, int] = SILHOUETTE_K, seed: int = SEED, row_id: str = "row_id"
+) -> tuple[int, DataFrame, np.ndarray]:
+    """The number of clusters with the largest cosine silhouette, the smallest on ties, with its vectors and centres."""
+    units, fitted = lloyd.fit_all(df, range(k_range[0], k_range[1] + 1), row_id, vec, seed)
+    scores = lloyd.silhouettes(units, fitted)
+    k = max(scores, key=lambda k: (round(scores[k], 9), -k))
+    return k, units, fitted[k]
 
 
-def fit_clusters(df: DataFrame, k: int, vec: str = "embedding", seed: int = SEED):
-    """A KMeans model on unit vectors."""
-    return KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster").fit(_features(df, vec))
-
-
-def choose_k(df: DataFrame, vec: str = "embedding", k_range: tuple[int, int] = SILHOUETTE_K, seed: int = SEED) -> int:
-    """The number of clusters with the largest cosine silhouette; the smallest on ties."""
-    judge = ClusteringEvaluator(featuresCol="__features", predictionCol="cluster", distanceMeasure="cosine")
-    featured = _features(df, vec).select("__features").persist()
-    try:
-        scores = {}
-        for k in range(k_range[0], k_range[1] + 1):
-            model = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster").fit(featured)
-            scores[k] = judge.evaluate(model.transform(featured))
-        return max(scores, key=lambda k: (scores[k], -k))
-    finally:
-        featured.unpersist()
-
-
-def model_centroids(spark, model) -> DataFrame:
-    """``(cluster, centroid)`` of a fitted model: k rows."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster int, centroid array<double>")
+def centre_rows(spark, centres: np.ndarray) -> DataFrame:
+    """``(cluster, centroid)``: k rows."""
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster int, centroid array<double>")
 
 
 def name_clusters(centers: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -84,17 +68,20 @@ def cluster_texts(
     auto_k: bool = False,
     vec: str = "embedding",
     seed: int = SEED,
+    row_id: str = "row_id",
 ) -> DataFrame:
-    """Add ``cluster`` and ``cluster_name``.
+    """Add ``cluster`` and ``cluster_name``; a row without a vector has none.
 
     Without ``k`` there are as many clusters as categories, or with ``auto_k`` as many as the
     silhouette prefers.
     """
-    if k is None:
-        k = choose_k(df, vec, seed=seed) if auto_k else anchors.count()
-    model = fit_clusters(df, k, vec, seed)
-    centers = model_centroids(df.sparkSession, model).withColumn("class", F.lit(0))
+    if k is None and auto_k:
+        k, units, centres = choose_k(df, vec, seed=seed, row_id=row_id)
+    else:
+        k = anchors.count() if k is None else k
+        units, fitted = lloyd.fit_all(df, [k], row_id, vec, seed)
+        centres = fitted[k]
+    centers = centre_rows(df.sparkSession, centres).withColumn("class", F.lit(0))
     names = name_clusters(centers, anchors).select("cluster", "cluster_name")
-    assigned = model.transform(_features(df, vec)).drop("__features")
-    return assigned.join(F.broadcast(names), "cluster", "left")
-
+    placed = lloyd.assigned(units, centres).join(F.broadcast(names), "cluster", "left")
+    return df.join(placed.withColumnRenamed("id", "__id"), F.col(row_id) == F.col("__id"), "left").drop("__id")

@@ -7,13 +7,11 @@ patterns are expanded into pairs of systems.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from curate.constants import ALPHA
+from curate.constants import ALPHA, NO_DIFFERENCE, SAME_PREDICTIONS
+from curate.functions.tails import binomial_two_sided, erfc
 
 
 def correctness(preds: DataFrame) -> DataFrame:
@@ -46,21 +44,24 @@ def pair_counts(preds: DataFrame) -> DataFrame:
     )
 
 
-@F.udf(DoubleType())
-def _two_sided_p(a, b):
-    """Normal approximation, tie-corrected, of the two-sided signed-rank test; one call per pair."""
-    return math.erfc(abs(a - b) / math.sqrt(2.0 * (a + b))) if a + b else 1.0
+def two_sided_p(a: Column, b: Column) -> Column:
+    """Normal approximation, tie-corrected, of the two-sided signed-rank test of a wins against b."""
+    n = (a + b).cast("double")
+    return F.when(n == 0, F.lit(1.0)).otherwise(erfc(F.abs(a - b) / F.sqrt(2.0 * n)))
+
 
+def signed_rank_table(pairs: DataFrame, alpha: float = ALPHA, exact: bool = False) -> DataFrame:
+    """Statistic, p-value, decision and winner of each row of :func:`pair_counts`.
 
-def signed_rank_table(pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Statistic, p-value, decision and winner of each row of :func:`pair_counts`."""
+    ``exact`` takes the binomial tail of the wins instead of the normal approximation.
+    """
     a, b = F.col("n_a_better"), F.col("n_b_better")
     same = a + b == 0
-    tested = pairs.withColumn("p_value", _two_sided_p(a, b))
+    tested = pairs.withColumn("p_value", binomial_two_sided(a, b) if exact else two_sided_p(a, b))
     significant = F.col("p_value") < alpha
     winner = (
-        F.when(same, F.lit("tie (identical predictions)"))
-        .when(~significant, F.lit("no significant difference"))
+        F.when(same, F.lit(SAME_PREDICTIONS))
+        .when(~significant, F.lit(NO_DIFFERENCE))
         .when(a > b, F.col("system_a"))
         .otherwise(F.col("system_b"))
     )
@@ -77,6 +78,6 @@ def signed_rank_table(pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     )
 
 
-def pairwise_signed_rank(preds: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def pairwise_signed_rank(preds: DataFrame, alpha: float = ALPHA, exact: bool = False) -> DataFrame:
     """The signed-rank test of every unordered pair of systems."""
-    return signed_rank_table(pair_counts(preds), alpha)
+    return signed_rank_table(pair_counts(preds), alpha, exact)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,11 @@ def misaligned_rows(preds: DataFrame, n_systems: int) -> DataFrame:
     return per_row.where((F.col("lowest_truth") != F.col("highest_truth")) | (F.col("n_systems") != n_systems))
 
 
+def systems_of(preds: DataFrame) -> list[str]:
+    """The systems that occur, by name: a registry, some dozens, whatever the number of rows."""
+    return sorted(r[0] for r in preds.select("system").where("system IS NOT NULL").distinct().collect())
+
+
 def ensemble(
     preds: DataFrame,
     n_classes: int = 3,
@@ -41,41 +48,53 @@ def ensemble(
     soft_name: str = "soft_voting",
     min_systems: int = 2,
     n_systems: int | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """Hard and soft voting as two more systems, from one aggregation per row.
 
     Hard voting takes the most frequent label (lowest on ties) and gives it probability 1. Soft
     voting averages the probabilities. With ``target`` priors each model is corrected before it
-    votes in the hard vote, and the average is corrected after averaging in the soft vote. Sums run
-    in the order of the systems' names, so equal rows get equal means whatever order a shuffle brings
-    them in, and no digit is cut.
-    A row that some system predicted twice, that fewer than ``min_systems`` predicted, or whose systems
-    disagree about the truth fails the job, and with ``n_systems`` one that any of so many lacks.
+    votes in the hard vote, and the average is corrected after averaging in the soft vote. Every
+    system has a fixed slot, and slots are added up in the order of the names, so equal rows get equal
+    means whatever order a shuffle brings them in, and no digit is cut.
+    A row that some system lacks or predicted twice, or whose systems disagree about the truth, fails the job,
+    and so do fewer than ``min_systems`` systems, or another number than ``n_systems``. Without ``strict`` any
+    ``min_systems`` votes on a row are enough.
     """
+    systems = systems_of(preds)
+    complete = len(systems) >= min_systems and n_systems in (None, len(systems))
     label = F.col("pred_label")
     if target is not None:
         label = arg_max(adjust_priors(F.col("probs"), n_classes, target, train))
     labelled = preds.withColumn("vote", label)
+
+    def slot(i: int, c: int) -> str:
+        return f"__p{i}_{c}"
+
     per_row = labelled.groupBy("row_id").agg(
         F.min("true_label").alias("true_label"),
         F.max("true_label").alias("other_truth"),
-        F.count("*").alias("n_systems"),
-        F.size(F.collect_set("system")).alias("n_distinct"),
-        F.array(*[F.count_if(F.col("vote") == c) for c in range(n_classes)]).alias("votes"),
-        # One entry for each system, of which a registry has a few.
-        F.array_sort(F.collect_list(F.struct("system", "probs"))).alias("each"),
+        F.count("*").alias("n_votes"),
+        *[F.count_if(F.col("vote") == c).alias(f"__v{c}") for c in range(n_classes)],
+        *[F.count_if(F.col("system") == s).alias(f"__n{i}") for i, s in enumerate(systems)],
+        *[F.max(F.when(F.col("system") == s, F.col("probs")[c])).alias(slot(i, c)) for i, s in enumerate(systems) for c in range(n_classes)],
     )
 
     def mean(c: int) -> Column:
-        return F.aggregate("each", F.lit(0.0), lambda acc, x: acc + x["probs"][c]) / F.col("n_systems")
+        slots = [F.coalesce(F.col(slot(i, c)), F.lit(0.0)) if not strict else F.col(slot(i, c)) for i in range(len(systems))]
+        return reduce(add, slots, F.lit(0.0)) / F.col("n_votes")
 
-    per_row = with_once(per_row, "mean", F.array(*[mean(c) for c in range(n_classes)]))
-    enough = F.col("n_systems") >= min_systems if n_systems is None else F.col("n_systems") == n_systems
-    aligned = enough & (F.col("n_systems") == F.col("n_distinct")) & (F.col("true_label") == F.col("other_truth"))
+    counts = F.array(*[F.col(f"__v{c}") for c in range(n_classes)])
+    per_row = with_once(per_row.withColumn("votes", counts), "mean", F.array(*[mean(c) for c in range(n_classes)]))
+    each = [F.col(f"__n{i}") for i in range(len(systems))]
+    once = reduce(lambda a, b: a & b, [n == 1 if strict else n <= 1 for n in each], F.lit(complete))
+    # A vote without a name of a system is in no slot.
+    named = F.col("n_votes") == reduce(add, each, F.lit(0))
+    aligned = once & named & (F.col("n_votes") >= min_systems) & (F.col("true_label") == F.col("other_truth"))
     checked = per_row.withColumn(
         "true_label",
         F.when(aligned, F.col("true_label")).otherwise(
-            F.raise_error(F.concat(F.lit("systems are not aligned on row "), F.col("row_id").cast("string")))
+            F.raise_error(F.concat(F.lit("systems are not aligned on row "), F.coalesce(F.col("row_id").cast("string"), F.lit("NULL"))))
         ),
     ).withColumn("true_label", F.col("true_label").cast("int"))
     soft = F.col("mean")

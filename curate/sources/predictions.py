@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curate.constants import CLASS_NAMES
-from curate.operators.running import rank_by_number
+from curate.operators.order_index import rank_by_order
 from curate.sources.files import QUOTED, dataset_paths, folder_and_stem
 
 SUFFIX = "_predictions"
@@ -34,12 +34,14 @@ def write_predictions(
 
 
 def _positioned(df: DataFrame) -> DataFrame:
-    """Number the rows of a one-file set from 0 in file order."""
-    where = df.select("*", F.col("_metadata.file_block_start").alias("__block"), F.col("_metadata.file_path").alias("__file"))
-    numbered = rank_by_number(
-        where.withColumn("__order", F.monotonically_increasing_id()), ["__file"], "__block", ["__order"], "row_id"
-    )
-    return numbered.withColumn("row_id", F.col("row_id") - 1).drop("__block", "__file", "__order", "row_id_size")
+    """Number the rows of a set from 0: files by path, blocks of a file by offset, rows of a block by their place.
+
+    The rows of a block are read in order by one task, so ids made there keep their order.
+    """
+    where = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    ordered = where.withColumn("__order", F.monotonically_increasing_id())
+    numbered = rank_by_order(ordered, [], ["__file", "__block", "__order"], "row_id")
+    return numbered.withColumn("row_id", F.col("row_id") - 1).drop("__file", "__block", "__order", "row_id_size")
 
 
 def read_predictions(
@@ -48,8 +50,8 @@ def read_predictions(
     """``(system, row_id, text, true_label, pred_label, probs)`` of all sets below ``root``.
 
     A system is named ``folder/stem``, or ``stem`` directly in the root. Sets without predicted
-    labels are skipped, absent columns read NULL. A set without ``row_id`` must be one
-    file; its rows are aligned by position.
+    labels are skipped, absent columns read NULL. The rows of a set
+    without ``row_id`` are numbered by their position, over all of its files in the order of their names.
     """
     base = root.rstrip("/").split("/")[-1]
     parts = []
@@ -61,8 +63,6 @@ def read_predictions(
         if "pred_label" not in df.columns:
             continue
         if "row_id" not in df.columns:
-            if len(df.inputFiles()) > 1:  # lines of several files have no order to align systems by
-                raise ValueError(f"{path} has several files but no row_id")
             df = _positioned(df)
 
         def column(name: str, kind: str, df=df):

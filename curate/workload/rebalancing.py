@@ -27,10 +27,10 @@ THRESHOLD = 0.45
 LOOSE = 0.15
 STRICT = 0.25
 
-REASON = """CASE WHEN text = '' THEN 'empty' WHEN length(text) NOT BETWEEN 5 AND 280 THEN 'length'
-    WHEN regexp_matches(lower(text), '(i (cannot|can''t|won''t)|this (is|content)|as an ai|i apologize|please note|disclaimer|warning:)') THEN 'disclaimer'
-    WHEN regexp_matches(lower(text), '(i''m sorry|sorry,)') THEN 'apology'
-    WHEN regexp_matches(lower(text), '(i understand|instead of|that is harmful|not appropriate|healthy discussion|promote respect)') THEN 'refusal' END"""
+_REJECTED = "".join(
+    f" WHEN regexp_matches(lower(text), '{pattern.replace(chr(39), chr(39) * 2)}') THEN '{reason}'" for reason, pattern in C.REJECTED.items()
+)
+REASON = f"CASE WHEN text = '' THEN 'empty' WHEN length(text) NOT BETWEEN {C.MIN_CHARS} AND {C.MAX_CHARS} THEN 'length'{_REJECTED} END"
 CLEANED = f"cleaned AS (SELECT *, {sql_clean_line('raw')} AS text FROM candidates)"
 
 

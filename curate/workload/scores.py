@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curate.constants import NO_DIFFERENCE, SAME_PREDICTIONS
 from curate.functions.prob import adjust_priors, arg_max, one_hot, softmax
 from curate.operators import curves, metrics, significance, votes
 from curate.workload.registry import query, rounded
@@ -520,7 +521,7 @@ _SIGNED_RANK = f"""WITH {_PAIRS},
     u AS (SELECT *, n > 0 AND abs(a - b) / sqrt(n) > 1.959963984540054 AS significant FROM t)
     SELECT system_a || ' vs ' || system_b AS comparison, n_samples, n_a_better, n_b_better, n_ties,
            CASE WHEN n > 0 THEN least(a, b) * (n + 1) / 2.0::DOUBLE END AS statistic, significant,
-           CASE WHEN n = 0 THEN 'tie (identical predictions)' WHEN NOT significant THEN 'no significant difference'
+           CASE WHEN n = 0 THEN '{SAME_PREDICTIONS}' WHEN NOT significant THEN '{NO_DIFFERENCE}'
                 WHEN a > b THEN system_a ELSE system_b END AS winner
     FROM u
     """
@@ -532,6 +533,37 @@ def pairwise_signed_rank(spark, sf_dir):
     return significance.pairwise_signed_rank(predictions(spark, sf_dir)).drop("p_value")
 
 
-@query("pairwise_p_values")
+def _sql_erfc(z: str, levels: int = 60, terms: int = 40) -> str:
+    """Taylor series below 2, from there a continued fraction written out."""
+    series = f"1 - 2 / sqrt(pi()) * list_sum([(CASE k % 2 WHEN 0 THEN 1 ELSE -1 END) * pow({z}, 2 * k + 1) / gamma(k + 1.0) / (2 * k + 1) for k in range({terms})])"
+    inner = z
+    for k in range(levels, 0, -1):
+        inner = f"({z} + {k / 2.0}::DOUBLE / {inner})"
+    return f"CASE WHEN {z} < 2 THEN {series} ELSE exp(-{z} * {z}) / sqrt(pi()) / {inner} END"
+
+
+@query(
+    "pairwise_p_values",
+    f"""WITH {_PAIRS}, z AS (SELECT *, abs(n_a_better - n_b_better) / sqrt(2.0::DOUBLE * (n_a_better + n_b_better)) AS z FROM pairs)
+    SELECT system_a || ' vs ' || system_b AS comparison,
+           CASE WHEN n_a_better + n_b_better = 0 THEN 1.0::DOUBLE ELSE round({_sql_erfc('z')}, 9) END AS p_value FROM z
+    """,
+    "pred",
+)
 def pairwise_p_values(spark, sf_dir):
-    return significance.pairwise_signed_rank(predictions(spark, sf_dir)).select("comparison", "p_value")
+    return rounded(significance.pairwise_signed_rank(predictions(spark, sf_dir)).select("comparison", "p_value"))
+
+
+@query(
+    "pairwise_exact_p_values",
+    f"""WITH {_PAIRS}, t AS (SELECT *, least(n_a_better, n_b_better) AS k, n_a_better + n_b_better AS n FROM pairs)
+    SELECT system_a || ' vs ' || system_b AS comparison,
+           CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 2 * list_sum(
+               [exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0::DOUBLE)) for i in range(k + 1)])), 9) END AS p_value FROM t
+    """,
+    "pred",
+)
+def pairwise_exact_p_values(spark, sf_dir):
+    """The exact binomial tail of the wins."""
+    tested = significance.pairwise_signed_rank(predictions(spark, sf_dir), exact=True)
+    return rounded(tested.select("comparison", "p_value"))

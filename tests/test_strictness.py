@@ -30,11 +30,16 @@ def test_predictions_keep_quotes_commas_and_line_breaks(spark, tmp_path, kind):
     assert sorted((r["row_id"], r["text"], r["pred_label"], tuple(r["probs"])) for r in got.collect()) == sorted((r[1], r[2], r[4], tuple(r[5])) for r in rows)
 
 
-def test_several_files_without_row_ids_are_refused(spark, tmp_path):
-    df = spark.createDataFrame([(0, 1)] * 8, "true_label int, pred_label int").repartition(4)
-    df.write.option("header", True).csv(f"{tmp_path}/m_predictions.csv")
-    with pytest.raises(ValueError):
-        read_predictions(spark, str(tmp_path))
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_rows_of_several_files_are_numbered_in_their_order(spark, tmp_path, kind):
+    """Files by name, rows by their place: as many numbers as rows, the same for every system written alike."""
+    rows = spark.range(0, 200, 1, 5).selectExpr("int(id % 3) AS true_label", "int(id % 2) AS pred_label", "concat('t', id) AS text")
+    for name in "mn":
+        rows.write.option("header", True).format(kind).save(f"{tmp_path}/{name}_predictions.{kind}")
+    got = read_predictions(spark, str(tmp_path)).collect()
+    for name in "mn":
+        mine = sorted((r["row_id"], r["text"]) for r in got if r["system"] == name)
+        assert mine == [(i, f"t{i}") for i in range(200)]
 
 
 def test_null_candidates_are_empty(spark):
@@ -66,6 +71,22 @@ def test_every_system_votes_once_on_every_row(spark):
         ensemble(spark.createDataFrame([vote("a", 1), vote("a", 1)], PREDS)).collect()
 
 
+def test_a_missing_vote_fails_unless_votes_may_be_partial(spark):
+    vote = lambda s, i: (s, i, "t", 0, 0, [0.5, 0.25, 0.25])
+    some = spark.createDataFrame([vote("a", 1), vote("b", 1), vote("c", 1), vote("a", 2), vote("b", 2)], PREDS)
+    with pytest.raises(PySparkException):
+        ensemble(some).collect()
+    partial = ensemble(some, strict=False)
+    assert partial.count() == 4 and {tuple(r["probs"]) for r in partial.where("system = 'soft_voting'").collect()} == {(0.5, 0.25, 0.25)}
+    with pytest.raises(PySparkException):
+        ensemble(some.where("system <> 'c'"), n_systems=3).collect()
+    with pytest.raises(PySparkException):
+        ensemble(some.where("system = 'a'")).collect()
+    with pytest.raises(PySparkException):
+        ensemble(some.unionByName(spark.createDataFrame([(None, 1, "t", 0, 0, [1.0, 0.0, 0.0])], PREDS))).collect()
+    assert ensemble(some.where("false")).count() == 0
+
+
 def test_equal_similarities_take_the_later_category(spark):
     centers = spark.createDataFrame([("x", 0, [1.0, 0.0])], "class string, cluster int, centroid array<double>")
     anchors = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [2.0, 0.0])], "category string, embedding array<double>")
