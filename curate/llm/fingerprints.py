@@ -3,8 +3,8 @@
 A text is a row of words. Of every run of K words (a k-mer), the inner runs of S words are hashed;
 the k-mer is a closed syncmer if the least of them is its first or its last. Whether it is one
 depends on its own words alone, so an edit elsewhere moves no anchor, and half a text keeps the
-anchors of that half. The fingerprint is all anchors with their places; likeness is read from the whole
-sets. A sketch of the least hashes goes along as a short form for look-ups, and nothing is derived from it.
+anchors of that half. The fingerprint is all anchors with their places, as text; likeness is read from their
+whole sets. A sketch of the least hashes goes along as a short form for look-ups, and nothing is derived from it.
 """
 
 from __future__ import annotations
@@ -48,6 +48,11 @@ def anchors(text: str | Column, k: int = K, s: int = S) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= k, long(h)).otherwise(short(h)))
 
 
+def written(found: Column) -> Column:
+    """All anchors as text, in their order: ``place:hash`` with the hash in hex digits, parted by blanks."""
+    return F.array_join(F.transform(found, lambda a: F.concat(a["pos"].cast("string"), F.lit(":"), F.hex(a["hash"]))), " ")
+
+
 def sketch(found: Column, size: int = SKETCH) -> Column:
     """The least 32-bit hashes of all distinct anchors as text, ascending, eight hex digits for each."""
     hashes = F.transform(found, lambda a: F.shiftrightunsigned(a["hash"], 32))
@@ -94,9 +99,9 @@ def with_next(
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of (doc_id, text) and of each text with its second half replaced.
 
-    ``anchors`` and ``edited_anchors`` hold every anchor with the place of its first word, in the order of
-    the text; ``near_edited`` and ``near_next`` are exact on their whole sets of hashes. ``fingerprint`` and
-    ``edited_fingerprint`` are sketches of ``SKETCH`` hashes.
+    ``fingerprint`` and ``edited_fingerprint`` hold every anchor with the place of its first word, in the order of
+    the text, so ``near_edited`` and ``near_next`` follow from them: shares of common distinct hashes. Last come the
+    sketches of ``SKETCH`` hashes and the anchors as arrays.
 
     The edited text has the last half of the code points (rounded down) replaced by as many first ones,
     or all, of the next document by ``doc_id``. NULL is the empty text, equal ids follow their texts'
@@ -115,10 +120,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        "anchors",
-        "edited_anchors",
-        sketch(F.col("anchors")).alias("fingerprint"),
-        sketch(F.col("edited_anchors")).alias("edited_fingerprint"),
+        written(F.col("anchors")).alias("fingerprint"),
+        written(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(own, changed).alias("near_edited"),
         likeness(own, after).alias("near_next"),
+        sketch(F.col("anchors")).alias("sketch"),
+        sketch(F.col("edited_anchors")).alias("edited_sketch"),
+        "anchors",
+        "edited_anchors",
     )

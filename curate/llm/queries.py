@@ -34,7 +34,7 @@ def id_remainder(n: int):
 
 @query("op1_document_fingerprints")
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")).drop("anchors", "edited_anchors")
 
 
 @query("op2_quality_classifier")

@@ -77,6 +77,34 @@ def test_long_texts_keep_every_anchor_and_its_place(spark):
     assert {places[0][h] - places[1][h] for h in one & two} == {1000}
 
 
+def test_likeness_follows_from_the_fingerprints(spark):
+    """The two columns alone give ``near_edited`` and, with the next row's, ``near_next``; places are kept."""
+    found = QUERIES["op1_document_fingerprints"](spark, SF)
+    assert found.columns[:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
+
+    def hashes(text):
+        return {a.split(":")[1] for a in text.split()}
+
+    def share(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for at, r in enumerate(rows):
+        own, after = hashes(r["fingerprint"]), hashes(rows[(at + 1) % len(rows)]["fingerprint"])
+        assert r["near_edited"] == share(own, hashes(r["edited_fingerprint"])) and r["near_next"] == share(own, after)
+        places = [int(a.split(":")[0]) for a in r["fingerprint"].split()]
+        assert places == sorted(set(places))
+
+
+def test_fingerprints_of_null_and_equal_ids(spark):
+    docs = documents(spark, [(None, prose(1), "a"), (None, None, "a"), (3, prose(2), "a"), (3, prose(3), "a"), (3, prose(3), "a")])
+    rows = fingerprints.fingerprint_edits(docs).collect()
+    assert sorted((r["doc_id"] is None, r["n_chars"]) for r in rows) == sorted(
+        [(True, len(prose(1))), (True, 0), (False, len(prose(2))), (False, len(prose(3))), (False, len(prose(3)))]
+    )
+    assert len({r["fingerprint"] for r in rows if r["n_chars"] == len(prose(3))}) <= 2
+
+
 # ---------------------------------------------------------------------------------- quality
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
