@@ -1,22 +1,24 @@
-"""Katz backoff bigram model with Good-Turing discounts, counted and evaluated where its tables lie.
+"""Katz backoff n-gram model of any order with Good-Turing discounts, counted and evaluated where its tables lie.
 
 Texts are tokenised once, into batches of some megabytes: the codes of a batch's words and the
 64-bit hashes the codes stand for. Then each batch asks, and tells its own counts of, its distinct
-words from the partitions of the word table, and its distinct pairs from the partitions of the pair
-table. A partition adds up what all batches tell, which makes its part of the table, and answers
-each batch with the totals. So a word or pair crosses the network once for each batch, not for each
-time it is used, in packed columns, and no table is ever whole in one place.
-
-P(w | h) = d(c) c / c(h) for pairs seen in training, c = c(h w), with Good-Turing discounts d for small
-counts; else backoff(h) P(w), where backoff(h) = (1 - sum of P(v | h)) / (1 - sum of P(v)), both sums over
-the words v seen after h, so each history's probabilities add up to 1. P(w) is discounted too, and
-its rest is the probability of the one unknown word. A history never seen backs off with weight 1.
+words from the partitions of the word table, next its distinct pairs from the partitions of the pair
+table, and so on up to the order of the model. A partition adds up what all batches tell, which makes
+its part of the table, and answers each batch with the totals and with numbers for its entries, by which
+the next level names its histories. So an entry crosses the network once for each batch, not for
+each time it is used, in packed columns, and no table is ever whole in one place.
+
+P(w | h) = d(c) c / c(h) for entries seen in training, c = c(h w), with Good-Turing discounts d for small
+counts; else backoff(h) P(w | h'), h' being h without its first word, where backoff(h) = (1 - sum of P(v | h)) /
+(1 - sum of P(v | h')), both sums over the words v seen after h, so each history's probabilities add up to 1.
+P(w) is discounted too, and its rest is the probability of the one unknown word. A history never seen
+backs off with weight 1. Histories reach back to the start of the text, which counts as a word, and no further.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil
 
 import numpy as np
@@ -31,28 +33,30 @@ from pyspark.sql import functions as F
 from curate.llm.common import coded, words
 from curate.session import stored
 
-BATCH_BYTES = 12 << 20
-PART_BYTES = 12 << 20
+ORDER = 3
+BATCH_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+WORD_SHARE = 8
+"""A batch has far fewer distinct words than longer runs, so their table has this many times fewer partitions."""
 TOP = 1 << 16
 MOST = 5
 """Counts up to this one are discounted."""
 HOT_SHARE = 4096
-"""A history that makes up more than this part of all tokens is spread over all partitions; there
-can be no more of those than this number, so their sums may go to every task."""
+"""A history that makes up more than this part of all tokens is spread over all partitions; a level
+can have no more of those than this number, so their sums may go to every task."""
 END_HASH = xxhash.xxh64_intdigest(b" end of text ")  # no word holds a blank
-START = np.uint64((1 << 32) - 1)
-NO_ID = -(1 << 63)
+START = (1 << 63) - 1
 
 
 # ------------------------------------------------------------------------------- packed columns
-def packed(values: np.ndarray, kind: str = "<u4") -> bytes:
+def packed(values: np.ndarray, kind: str = "<u8") -> bytes:
     """Integers with their bytes in planes, compressed."""
     raw = np.ascontiguousarray(values, kind)
     planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
+def unpacked(data: bytes, kind: str = "<u8") -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
@@ -63,6 +67,11 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=np.zeros(1, values.dtype))
 
 
+def summed(data: bytes) -> np.ndarray:
+    """Ascending numbers from packed differences."""
+    return np.cumsum(unpacked(data)).astype(np.int64)
+
+
 # ---------------------------------------------------------------------------------- discounts
 def discounts(times: list[int]) -> np.ndarray:
     """Good-Turing factors of the counts 1 to MOST, from how many entries occur 1 to MOST + 1 times.
@@ -89,31 +98,37 @@ def discounted(count: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Words:
-    """The word table as a whole: tokens, distinct ones, factors, and where partitions' numbers start."""
+class Model:
+    """What every task knows of the tables: a few numbers a level, and the sums of spread histories."""
 
+    parts: int
+    word_parts: int
+    texts: int
     tokens: int
     distinct: int
-    texts: int
-    factors: np.ndarray
-    first: np.ndarray
-    below: float  # what counts are divided by
+    factors: tuple[np.ndarray, ...]
+    """Discounts of the levels counted so far, single words first."""
+    spread: tuple[dict[int, np.ndarray], ...]
+    """Sums of the histories that are spread, for the levels from pairs on."""
+    below: float  # what counts of single words are divided by
     rest: float  # probability of the unknown word
 
     @staticmethod
-    def of(sizes: list[int], tokens: int, times: list[int], texts: int) -> Words:
+    def of(parts: int, word_parts: int, texts: int, distinct: int, tokens: int, times: list[int]) -> Model:
         factors = discounts(times)
         r = np.arange(1, MOST + 1)
         rest = float(((1 - factors) * r * np.asarray(times[:MOST])).sum())
-        below = tokens if rest > 0 else tokens + 1
-        return Words(tokens, sum(sizes), texts, factors, np.concatenate([[0], np.cumsum(sizes)]), below, (rest or 1.0) / max(below, 1))
+        below = max(tokens if rest > 0 else tokens + 1, 1)
+        return Model(parts, word_parts, texts, tokens, distinct, (factors,), (), below, (rest or 1.0) / below)
 
-    def chance(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count > 0, discounted(count, self.factors) / max(self.below, 1), self.rest)
+    @property
+    def end_part(self) -> int:
+        return int(part_of(np.asarray([END_HASH], np.uint64), self.word_parts)[0])
 
 
 # ------------------------------------------------------------------------------------- batches
-BATCH = "batch long, part int, docs binary, lengths binary, train binary, codes binary, hashes binary, counts binary, top binary"
+BATCH = "batch long, docs binary, blank binary, lengths binary, train binary, codes binary, hashes binary, counts binary, top binary"
+NAMES = [f.split()[0] for f in BATCH.split(", ")]
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -134,25 +149,25 @@ def encode(table: pa.Table, batch: int, parts: int) -> tuple:
     place[order] = np.arange(len(order))
     code, hashes = place[code], hashes[order]
     counts = np.bincount(code, weights=train[owner], minlength=len(hashes)).astype(np.int64)
+    ids = table["doc_id"].combine_chunks()
     return (
-        batch, -1, table["doc_id"].combine_chunks().to_numpy().astype("<i8").tobytes(),
+        batch, pc.fill_null(ids, 0).to_numpy().astype("<i8").tobytes(), packed(ids.is_null().to_numpy(zero_copy_only=False), "u1"),
         packed(np.bincount(owner, minlength=len(text))), packed(train, "u1"), packed(code),
         hashes.astype("<u8").tobytes(), packed(counts), packed(part_of(hashes[:TOP], parts)),
     )
 
 
-def batches_of(docs: DataFrame, train: Column, parts: int, batch_bytes: int) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    names = [f.split()[0] for f in BATCH.split(", ")]
-    types = [pa.int64(), pa.int32()] + [pa.binary()] * 7
+def batches_of(docs: DataFrame, train: Column, word_parts: int, batch_bytes: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    types = [pa.int64()] + [pa.binary()] * (len(NAMES) - 1)
 
     def gather(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
         waiting, size = [], 0
 
         def out() -> pa.RecordBatch:
-            row = encode(pa.Table.from_batches(waiting), base + number, parts)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+            row = encode(pa.Table.from_batches(waiting), base + number, word_parts)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], NAMES)
 
         for batch in found:
             at, sizes = 0, pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
@@ -184,8 +199,9 @@ def answers(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["part", "batch", "kind", "a", "b"])
 
 
-def ask_words(parts: int, end_part: int) -> Callable:
+def ask_words(parts: int) -> Callable:
     names, types = ["part", "batch", "a", "b"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    end_part = int(part_of(np.asarray([END_HASH], np.uint64), parts)[0])
 
     def ask(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -212,252 +228,329 @@ def _histogram(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, MOST + 2), minlength=MOST + 3)[1 : MOST + 2].tolist()
 
 
-def add_words(key: tuple, table: pa.Table) -> pa.Table:
-    """A partition of the word table: each batch gets the words' total counts and places."""
-    table = table.sort_by("batch")
-    asked = [np.frombuffer(a, "<u8") for a in table["a"].to_pylist()]
-    told = [unpacked(b) for b in table["b"].to_pylist()]
-    names, which = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(which, weights=np.concatenate(told), minlength=len(names)).astype(np.int64)
-    seen = total > 0
-    place = np.where(seen, np.cumsum(seen) - 1, 0)
-    part, out, at = key[0].as_py(), [], 0
-    for batch, words_ in zip(table["batch"].to_pylist(), asked):
-        mine = which[at : at + len(words_)]
-        at += len(words_)
-        out.append((part, batch, 0, packed(total[mine]), packed(place[mine])))
-    stats = [int(seen.sum()), int(total.sum()), *_histogram(total)]
-    out.append((part, -1, 1, np.asarray(stats, "<i8").tobytes(), None))
-    return answers(out)
-
-
-# ---------------------------------------------------------------------------------- pair table
+def add_words(parts: int) -> Callable:
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        """A partition of the word table: each batch gets the words' total counts and numbers."""
+        table = table.sort_by("batch")
+        asked = [np.frombuffer(a, "<u8") for a in table["a"].to_pylist()]
+        told = [unpacked(b) for b in table["b"].to_pylist()]
+        names, which = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(which, weights=np.concatenate(told), minlength=len(names)).astype(np.int64)
+        seen = total > 0
+        place = np.where(seen, np.cumsum(seen) - 1, 0)
+        part, out, at = key[0].as_py(), [], 0
+        for batch, words_ in zip(table["batch"].to_pylist(), asked):
+            mine = which[at : at + len(words_)]
+            at += len(words_)
+            out.append((part, batch, 0, packed(total[mine]), packed(place[mine])))
+        stats = [int(seen.sum()), int(total.sum()), *_histogram(total)]
+        out.append((part, -1, 1, np.asarray(stats, "<i8").tobytes(), None))
+        return answers(out)
+
+    return add
+
+
+# --------------------------------------------------------------------------- tables of longer runs
+SUMS = MOST + 2
+"""Numbers kept of a history: how many words follow it 1 to MOST times, the sum of larger counts, and
+the sum of the discounted counts that the words after it have after the shorter history."""
+QUESTION = "part int, batch long, one binary, two binary, told binary, lower binary, past binary, spread binary"
+
+
 @dataclass
-class Pairs:
-    """A batch with its words' counts and numbers, and its distinct pairs."""
+class Tokens:
+    """A batch by token: a text's words and its end."""
 
-    docs: np.ndarray
+    docs: pa.Array
     lengths: np.ndarray
-    count: np.ndarray  # of each code: words, then end, then start
+    place: np.ndarray  # of the token in its text
+    train: np.ndarray
+    word: np.ndarray  # codes: words, then end, then start
+    count: np.ndarray
     number: np.ndarray
-    pair_of: np.ndarray  # of each token
-    one: np.ndarray  # codes of the distinct pairs
-    two: np.ndarray
+
+
+@dataclass
+class Runs:
+    """A level of a batch: its distinct runs, each a history of the level below and a word."""
+
+    at: np.ndarray  # tokens with a run of this level
+    of: np.ndarray  # each one's run
+    run_at: np.ndarray  # the run of any token, -1 for none
+    history: np.ndarray  # code in the level below
+    word: np.ndarray
+    suffix: np.ndarray  # code in the level below of the run without its first word
     told: np.ndarray
-    part: np.ndarray  # of the pairs that are looked up; -1 for the others
-    history: np.ndarray  # codes of the known histories that are not spread
-    spread: np.ndarray  # whether a code's history is spread
+    asked: list[np.ndarray]  # runs by partition, in the order of the question
+    past: list[np.ndarray]  # histories by partition whose sums are wanted
+    spread: np.ndarray  # of each code below: whether it is a spread history
+    count: np.ndarray  # from here on known by the answers: totals, numbers,
+    number: np.ndarray
+    below: np.ndarray  # by history, what counts after it are divided by,
+    weight: np.ndarray  # and log10 of its backoff weight
 
 
-def pairs_of(table: pa.Table, model: Words, parts: int, end_part: int) -> Pairs:
-    rows = table.to_pylist()
-    own = next(r for r in rows if r["part"] < 0)
-    replies = sorted((r for r in rows if r["part"] >= 0 and r["kind"] == 0), key=lambda r: r["part"])
-    code = unpacked(own["codes"]).astype(np.int64)
-    top = unpacked(own["top"]).astype(np.int64)
-    lengths, train = unpacked(own["lengths"]).astype(np.int64), unpacked(own["train"], "u1")
-    n, rare = 0, len(top)
+def tokens_of(rows: list[dict], model: Model) -> Tokens:
+    """A batch from its own row and the answers of the word table."""
+    own = next(r for r in rows if r["step"] == 0)
+    replies = sorted((r for r in rows if r["step"] == 1), key=lambda r: r["part"])
+    code, top = unpacked(own["codes"]).astype(np.int64), unpacked(own["top"]).astype(np.int64)
+    lengths = unpacked(own["lengths"]).astype(np.int64)
     found = []
     for r in replies:
-        count, number = unpacked(r["a"]).astype(np.int64), unpacked(r["b"]).astype(np.int64) + int(model.first[r["part"]])
-        found.append((r["part"], count, number))
-        n += len(count)
-    size = n - 1  # one answer is the end's
-    end, start = size, size + 1
-    count, number = np.zeros(size + 2, np.int64), np.zeros(size + 2, np.int64)
+        found.append((r["part"], unpacked(r["a"]).astype(np.int64), unpacked(r["b"]).astype(np.int64) * model.word_parts + r["part"]))
+    end = sum(len(c) for _, c, _ in found) - 1  # one answer is the end's
+    count, number, rare = np.zeros(end + 2, np.int64), np.zeros(end + 2, np.int64), len(top)
     for p, c, k in found:
         here = np.flatnonzero(top == p)
-        if p == end_part:
+        if p == model.end_part:
             count[end], number[end] = c[-1], k[-1]
             c, k = c[:-1], k[:-1]
         more = len(c) - len(here)
         count[here], number[here] = c[: len(here)], k[: len(here)]
         count[rare : rare + more], number[rare : rare + more] = c[len(here) :], k[len(here) :]
         rare += more
-    count[start], number[start] = model.texts, START
-    last = np.cumsum(lengths)
-    after, before = np.insert(code, last, end), np.insert(code, last - lengths, start)
-    key, pair_of = np.unique(before * (size + 2) + after, return_inverse=True)
-    told = np.bincount(pair_of, weights=np.repeat(train, lengths + 1), minlength=len(key)).astype(np.int64)
-    one, two = key // (size + 2), key % (size + 2)
-    hot = count * HOT_SHARE > model.tokens
-    hot[start] = True
-    known = (count[one] > 0) & (count[two] > 0)
-    part = np.where(known, np.where(hot[one], number[two], number[one]) % parts, -1)
-    histories = np.unique(one)
-    histories = histories[(count[histories] > 0) & ~hot[histories]]
-    return Pairs(np.frombuffer(own["docs"], "<i8"), lengths, count, number, pair_of, one, two, told, part, histories, hot)
-
-
-def split_by_part(p: Pairs, parts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs and histories of each partition, by number."""
-    kept = np.flatnonzero(p.part >= 0)
-    kept = kept[np.lexsort((p.number[p.two[kept]], p.number[p.one[kept]], p.part[kept]))]
-    edges = np.searchsorted(p.part[kept], np.arange(parts + 1))
-    where = p.number[p.history] % parts
-    order = np.lexsort((p.number[p.history], where))
-    cuts = np.searchsorted(where[order], np.arange(parts + 1))
-    return [kept[a:b] for a, b in zip(edges, edges[1:])], [p.history[order[a:b]] for a, b in zip(cuts, cuts[1:])]
-
-
-QUESTION = "part int, batch long, n int, one binary, two binary, told binary, count binary, history binary, spread binary"
-
-
-def ask_pairs(model: Words, parts: int, end_part: int) -> Callable:
-    types = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 6
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        p = pairs_of(table, model, parts, end_part)
-        out = []
-        for part, (mine, past) in enumerate(zip(*split_by_part(p, parts))):
-            if len(mine) or len(past):
-                one, two = p.number[p.one[mine]], p.number[p.two[mine]]
-                wide = np.unique(one[p.spread[p.one[mine]]])
-                columns = (steps(one), two, p.told[mine], p.count[p.two[mine]], steps(p.number[past]), steps(wide))
-                out.append((part, key[0].as_py(), len(mine), *map(packed, columns)))
-        columns = list(zip(*out)) or [[]] * len(types)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in QUESTION.split(", ")])
-
-    return ask
-
-
-SUMS = MOST + 2
-"""Numbers kept of a history: how many words follow it 1 to MOST times, the sum of larger counts, and
-the sum of the probabilities that the words after it have by themselves."""
-
+    count[end + 1], number[end + 1] = model.texts, START
+    whole = lengths + 1
+    first = np.cumsum(whole) - whole
+    word = np.insert(code, np.cumsum(lengths), end)
+    docs = pa.array(np.frombuffer(own["docs"], "<i8"), mask=unpacked(own["blank"], "u1").astype(bool))
+    train = np.repeat(unpacked(own["train"], "u1"), whole)
+    return Tokens(docs, lengths, np.arange(len(word)) - np.repeat(first, whole), train, word, count, number)
+
+
+def runs_of(tokens: Tokens, below: Runs | None, level: int, model: Model) -> Runs:
+    """The runs of a level, by the counts and numbers of the level below (None: the words)."""
+    size, parts = len(tokens.count), model.parts
+    if below is None:
+        at, shorter, count, number = np.arange(len(tokens.word)), tokens.word, tokens.count, tokens.number
+        history = np.where(tokens.place > 0, np.roll(tokens.word, 1), size - 1)
+    else:
+        at, shorter, count, number = np.flatnonzero(tokens.place >= level - 2), below.run_at, below.count, below.number
+        history = shorter[at - 1]
+    key, first, of = np.unique(history * size + tokens.word[at], return_index=True, return_inverse=True)
+    run_at = np.full(len(tokens.word), -1, np.int64)
+    run_at[at] = of
+    told = np.bincount(of, weights=tokens.train[at], minlength=len(key)).astype(np.int64)
+    one, two, suffix = key // size, key % size, shorter[at][first]
+    spread = count * HOT_SHARE > model.tokens
+    if below is None:
+        spread[-1] = True  # the start
+    kept = np.flatnonzero((count[one] > 0) & (count[suffix] > 0))
+    part = np.where(spread[one[kept]], tokens.number[two[kept]], number[one[kept]]) % parts
+    order = np.lexsort((tokens.number[two[kept]], number[one[kept]], part))
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    asked = [kept[order[a:b]] for a, b in zip(edges, edges[1:])]
+    past = np.unique(one[told == 0])
+    past = past[(count[past] > 0) & ~spread[past]]
+    order = np.lexsort((number[past], number[past] % parts))
+    edges = np.searchsorted(number[past[order]] % parts, np.arange(parts + 1))
+    pasts = [past[order[a:b]] for a, b in zip(edges, edges[1:])]
+    zero = np.zeros(len(key), np.int64)
+    return Runs(at, of, run_at, one, two, suffix, told, asked, pasts, spread, zero, zero.copy(), np.ones(len(count)), np.zeros(len(count)))
+
+
+def question(batch: int, tokens: Tokens, below: Runs | None, runs: Runs) -> pa.Table:
+    count, number = (tokens.count, tokens.number) if below is None else (below.count, below.number)
+    out = []
+    for part, (mine, past) in enumerate(zip(runs.asked, runs.past)):
+        if len(mine) or len(past):
+            one = number[runs.history[mine]]
+            wide = np.unique(one[runs.spread[runs.history[mine]]])
+            columns = (steps(one), tokens.number[runs.word[mine]], runs.told[mine], count[runs.suffix[mine]], steps(number[past]), steps(wide))
+            out.append((part, batch, *map(packed, columns)))
+    types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
+    columns = list(zip(*out)) or [[]] * len(types)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in QUESTION.split(", ")])
+
+
+def add_runs(factors: np.ndarray) -> Callable:
+    """``factors`` are the discounts of the level below."""
 
-def add_pairs(model: Words, parts: int) -> Callable:
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        """A partition of the pair table: totals of the pairs, and of the histories' words."""
+        """A partition of a level's table: totals and numbers of the runs, and sums of the histories' words."""
         table, part = table.sort_by("batch"), key[0].as_py()
-        ones = [np.cumsum(unpacked(x).astype(np.uint64)) & np.uint64(0xFFFFFFFF) for x in table["one"].to_pylist()]
-        twos = [unpacked(x).astype(np.uint64) for x in table["two"].to_pylist()]
-        told, alone = (np.concatenate([unpacked(x) for x in table[c].to_pylist()]).astype(np.int64) for c in ("told", "count"))
-        name, first, which = np.unique(np.concatenate(ones) << np.uint64(32) | np.concatenate(twos), return_index=True, return_inverse=True)
-        total = np.bincount(which, weights=told, minlength=len(name)).astype(np.int64)
-        seen = np.flatnonzero(total)
-        count = total[seen]
-        history, of = np.unique(name[seen] >> np.uint64(32), return_inverse=True)
+        ones = [summed(x) for x in table["one"].to_pylist()]
+        one = np.concatenate(ones)
+        two, told, lower = (np.concatenate([unpacked(x) for x in table[c].to_pylist()]).astype(np.int64) for c in ("two", "told", "lower"))
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        total = np.bincount(which, weights=told, minlength=len(first)).astype(np.int64)
+        seen = total > 0
+        place = np.maximum(np.cumsum(seen) - 1, 0)
+        history, of = np.unique(one[first], return_inverse=True)
         sums = np.zeros((len(history) + 1, SUMS))
+        mask = np.zeros(len(history), np.int64)
         for r in range(1, MOST + 1):
-            sums[:-1, r - 1] = np.bincount(of[count == r], minlength=len(history))
-        sums[:-1, MOST] = np.bincount(of, weights=count * (count > MOST), minlength=len(history))
-        sums[:-1, MOST + 1] = np.bincount(of, weights=model.chance(alone[first[seen]]), minlength=len(history))
+            sums[:-1, r - 1] = np.bincount(of[total == r], minlength=len(history))
+            mask |= (sums[:-1, r - 1] > 0).astype(np.int64) << (r - 1)
+        sums[:-1, MOST] = np.bincount(of, weights=total * (total > MOST), minlength=len(history))
+        sums[:-1, MOST + 1] = np.bincount(of, weights=discounted(lower[first], factors) * seen, minlength=len(history))
+        value = total << MOST | mask[of]
         out, at = [], 0
-        for batch, asked, past in zip(table["batch"].to_pylist(), ones, table["history"].to_pylist()):
+        for batch, asked, past in zip(table["batch"].to_pylist(), ones, table["past"].to_pylist()):
             mine = which[at : at + len(asked)]
             at += len(asked)
-            past = np.cumsum(unpacked(past).astype(np.uint64))
-            row = np.minimum(np.searchsorted(history, past), max(len(history) - 1, 0))
-            row = np.where(history[row] == past, row, len(history)) if len(history) else np.zeros(len(past), np.int64)
+            past = summed(past)
+            row = np.searchsorted(history, past)
+            row = np.where(np.append(history, -1)[row] == past, row, len(history))
             chosen = sums[row]
-            whole = packed(chosen[:, : MOST + 1].T.reshape(-1), "<u8")
-            out.append((part, batch, 0, packed(total[mine]), len(whole).to_bytes(4, "little") + whole + packed(chosen[:, MOST + 1], "<f8")))
+            columns = packed(value[mine]), packed(steps(place[mine])), packed(chosen[:, : MOST + 1].T.reshape(-1)), packed(chosen[:, MOST + 1], "<f8")
+            out.append((part, batch, 0, *(len(x).to_bytes(4, "little") + x + y for x, y in (columns[:2], columns[2:]))))
         out.append((part, -1, 1, np.asarray(_histogram(total), "<i8").tobytes(), None))
-        spread = [np.cumsum(unpacked(x).astype(np.uint64)) for x in table["spread"].to_pylist()]
-        hot = np.flatnonzero(np.isin(history, np.concatenate(spread)))
-        out.append((part, -1, 2, history[hot].astype("<u8").tobytes(), sums[:-1][hot].astype("<f8").tobytes()))
+        spread = np.concatenate([summed(x) for x in table["spread"].to_pylist()])
+        hot = np.flatnonzero(np.isin(history, spread))
+        out.append((part, -1, 2, history[hot].astype("<i8").tobytes(), sums[:-1][hot].astype("<f8").tobytes()))
         return answers(out)
 
     return add
 
 
-def _listed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in found:
-        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
-            sums = np.frombuffer(b, "<f8").reshape(-1, SUMS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), *map(pa.array, sums.T)], ["name", *[f"s{i}" for i in range(SUMS)]])
+def _two(data: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(data[:4], "little")
+    return data[4 : 4 + n], data[4 + n :]
+
+
+def learn(runs: Runs, rows: list[dict], tokens: Tokens, below: Runs | None, level: int, model: Model) -> None:
+    """Fill in what the answers of a level's table say."""
+    factors, hot = model.factors[level - 1], model.spread[level - 2]
+    count, number = (tokens.count, tokens.number) if below is None else (below.count, below.number)
+    ratio, r = 1 - factors, np.arange(1, MOST + 1)
+    # What the counts after each history's shorter history are divided by.
+    shorter = np.full(len(count), model.below)
+    if below is not None:
+        shorter[runs.history] = below.below[below.history[runs.suffix]]
+
+    def backoff(codes: np.ndarray, sums: np.ndarray) -> None:
+        left = sums[:, :MOST] @ (ratio * r)
+        runs.below[codes] = np.where(left > 0, count[codes], count[codes] + 1)
+        runs.weight[codes] = np.log10(np.where(left > 0, left, 1.0) / runs.below[codes]) - np.log10(1 - sums[:, MOST + 1] / shorter[codes])
+
+    for row in rows:
+        k = row["part"]
+        mine, past = runs.asked[k], runs.past[k]
+        (value, place), (whole, low) = _two(row["a"]), _two(row["b"])
+        value = unpacked(value).astype(np.int64)
+        runs.count[mine] = value >> MOST
+        runs.number[mine] = summed(place) * model.parts + k
+        some = ((value[:, None] >> (r - 1) & 1) * ratio > 0).any(axis=1)
+        codes = runs.history[mine]
+        runs.below[codes] = np.where(some, count[codes], count[codes] + 1)
+        if len(past):
+            backoff(past, np.hstack([unpacked(whole).reshape(MOST + 1, -1).T.astype(float), unpacked(low, "<f8")[:, None]]))
+    if hot:
+        names = np.asarray(sorted(hot), np.int64)
+        at = np.minimum(np.searchsorted(names, number), len(names) - 1)
+        here = np.flatnonzero((names[at] == number) & runs.spread & (count > 0))
+        backoff(here, np.stack([hot[int(k)] for k in names])[at[here]])
+
+
+def levels_of(table: pa.Table, model: Model, top: int) -> tuple[Tokens, list[Runs]]:
+    """A batch with its runs of the levels 2 to ``top``, as far as answers came."""
+    rows = table.to_pylist()
+    tokens, found = tokens_of(rows, model), []
+    for level in range(2, top + 1):
+        below = found[-1] if found else None
+        runs = runs_of(tokens, below, level, model)
+        if len(model.factors) >= level:
+            learn(runs, [r for r in rows if r["step"] == level], tokens, below, level, model)
+        found.append(runs)
+    return tokens, found
 
 
-# -------------------------------------------------------------------------------------- scores
-def judge(model: Words, factors: np.ndarray, hot: dict[int, np.ndarray], parts: int, end_part: int) -> Callable:
-    ratio = 1 - factors
-    names = np.asarray(sorted(hot), np.uint64)
-    table_of = np.stack([hot[int(k)] for k in names]) if len(names) else np.zeros((0, SUMS))
+def ask_runs(model: Model, level: int) -> Callable:
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        tokens, found = levels_of(table, model, level)
+        return question(key[0].as_py(), tokens, found[-2] if level > 2 else None, found[-1])
+
+    return ask
 
-    def backoff(sums: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what a history's counts are divided by, log10 of its backoff weight)."""
-        left = sums[:, :MOST] @ (ratio * np.arange(1, MOST + 1))
-        below = np.where(left > 0, count, count + 1)
-        return below, np.log10(np.where(left > 0, left, 1.0) / below) - np.log10(1 - sums[:, MOST + 1])
 
+# -------------------------------------------------------------------------------------- scores
+def judge(model: Model, order: int) -> Callable:
     def score(key: tuple, table: pa.Table) -> pa.Table:
-        words_ = table.filter(pc.less(table["step"], 2))
-        p = pairs_of(words_, model, parts, end_part)
-        total = np.zeros(len(p.one), np.int64)
-        below, weight = np.ones(len(p.count)), np.zeros(len(p.count))
-        mine, past = split_by_part(p, parts)
-        for row in table.filter(pc.equal(table["step"], 2)).to_pylist():
-            k = row["part"]
-            total[mine[k]] = unpacked(row["a"])
-            if len(past[k]):
-                n = int.from_bytes(row["b"][:4], "little")
-                whole = unpacked(row["b"][4 : 4 + n], "<u8").reshape(MOST + 1, -1).T
-                sums = np.hstack([whole.astype(float), unpacked(row["b"][4 + n :], "<f8")[:, None]])
-                below[past[k]], weight[past[k]] = backoff(sums, p.count[past[k]])
-        if len(names):
-            wide = p.number.astype(np.uint64)
-            at = np.minimum(np.searchsorted(names, wide), len(names) - 1)
-            here = np.flatnonzero((names[at] == wide) & (p.count > 0))
-            below[here], weight[here] = backoff(table_of[at[here]], p.count[here])
-        seen = total > 0
-        alone = np.log10(model.chance(p.count[p.two]))
-        with np.errstate(divide="ignore"):
-            direct = np.log10(discounted(total, factors)) - np.log10(below[p.one])
-        chance = np.where(seen, direct, weight[p.one] + alone)
-        flat = np.log10((p.count[p.two] + 1) / (model.tokens + model.distinct + 1))
-        doc = np.repeat(np.arange(len(p.docs)), p.lengths + 1)
+        tokens, found = levels_of(table, model, order)
+        known = tokens.count > 0
+        chance = np.log10(np.where(known, discounted(tokens.count, model.factors[0]) / model.below, model.rest))
+        flat = np.log10((tokens.count + 1) / (model.tokens + model.distinct + 1))
+        of_token = chance[tokens.word]
+        for runs, factors in zip(found, model.factors[1:]):
+            with np.errstate(divide="ignore"):
+                direct = np.log10(discounted(runs.count, factors)) - np.log10(runs.below[runs.history])
+            chance = np.where(runs.count > 0, direct, runs.weight[runs.history] + chance[runs.suffix])
+            of_token[runs.at] = chance[runs.of]
+        doc = np.repeat(np.arange(len(tokens.lengths)), tokens.lengths + 1)
 
         def add(x: np.ndarray) -> np.ndarray:
-            return np.bincount(doc, weights=x[p.pair_of], minlength=len(p.docs))
+            return np.bincount(doc, weights=x, minlength=len(tokens.lengths))
 
         return pa.table({
-            "doc_id": p.docs, "n_tokens": p.lengths + 1, "n_known": add(p.count[p.two] > 0).astype(np.int64),
-            "train_tokens": np.full(len(p.docs), model.tokens), "base_score": add(flat), "score": add(chance),
+            "doc_id": tokens.docs, "n_tokens": tokens.lengths + 1, "n_known": add(known[tokens.word]).astype(np.int64),
+            "train_tokens": np.full(len(tokens.lengths), model.tokens), "base_score": add(flat[tokens.word]), "score": add(of_token),
         })
 
     return score
 
 
-def katz_scores(docs: DataFrame, train: Column, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def _numbers(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in found:
+        yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(a, "<i8").tolist() for a in batch["a"].to_pylist()], pa.list_(pa.int64()))], ["n"])
+
+
+def totals(found: DataFrame, size: int) -> list[int]:
+    """The partitions' totals, added up."""
+    rows = found.where("kind = 1").select("a").mapInArrow(_numbers, "n array<bigint>")
+    return [int(x or 0) for x in rows.agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(size)]).first()]
+
+
+def _listed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in found:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            sums = np.frombuffer(b, "<f8").reshape(-1, SUMS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), *map(pa.array, sums.T)], ["name", *[f"s{i}" for i in range(SUMS)]])
+
+
+def spread_sums(found: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the spread histories: at most HOT_SHARE of them and the start, whatever the input."""
+    rows = found.where("kind = 2").select("a", "b").mapInArrow(_listed, "name long, " + ", ".join(f"s{i} double" for i in range(SUMS)))
+    return {r[0]: np.asarray(r[1:]) for r in rows.groupBy("name").agg(*[F.sum(f"s{i}") for i in range(SUMS)]).collect()}
+
+
+def katz_scores(docs: DataFrame, train: Column, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES, order: int = ORDER) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of (doc_id, text).
 
-    The model learns from the rows for which ``train`` holds and scores all. A text is its words, with
-    A-Z in lower case, and one end; NULL is the empty text, just an end. Repeated rows count and are
-    scored one by one, with a NULL id too (the smallest BIGINT stands for it); without any training row all
-    scores are 0; an empty table gives no rows. Words are told apart by 64-bit hashes.
+    The model has runs of up to ``order`` words, learns from the rows for which ``train`` holds and scores all. A
+    text is its words, with A-Z in lower case, and one end; NULL is the empty text, just an end. Repeated rows count
+    and are scored one by one, with a NULL id too; without any training row all scores are 0; an empty table gives no
+    rows. Words are told apart by 64-bit hashes, longer runs by exact numbers.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, ceil(size / part_bytes))
-    end_part = int(part_of(np.asarray([END_HASH], np.uint64), parts)[0])
-    batches = stored(batches_of(docs, train, parts, batch_bytes), "batches")
-    asked = batches.select("batch", "train", "hashes", "counts").mapInArrow(ask_words(parts, end_part), "part int, batch long, a binary, b binary")
-    found = stored(asked.groupBy("part").applyInArrow(add_words, ANSWER), "words")
-    # A row for each partition of the table.
-    totals = {r["part"]: np.frombuffer(bytes(r["a"]), "<i8") for r in found.where("kind = 1").collect()}
-    zero = np.zeros(MOST + 3, np.int64)
-    per_part = [totals.get(p, zero) for p in range(parts)]
-    whole = np.sum(per_part, axis=0)
-    texts = docs.agg(F.count_if(F.coalesce(train, F.lit(False)))).first()[0]
-    model = Words.of([int(s[0]) for s in per_part], int(whole[1]), whole[2:].tolist(), int(texts))
-    if model.distinct >= int(START):
-        raise ValueError("more than 2^32 distinct words need wider numbers")
-
-    own = batches.select("batch", "part", F.lit(0).alias("kind"), "docs", "lengths", "train", "codes", "top", F.lit(0).alias("step"))
+    size, texts = docs.agg(F.sum(F.octet_length("text")), F.count_if(F.coalesce(train, F.lit(False)))).first()
+    parts = max(1, ceil((size or 0) / part_bytes))
+    word_parts, tasks = ceil(parts / WORD_SHARE), max(1, ceil((size or 0) / batch_bytes))
+    batches = stored(batches_of(docs, train, word_parts, batch_bytes), "batches")
+    asked = batches.select("batch", "train", "hashes", "counts").mapInArrow(ask_words(word_parts), "part int, batch long, a binary, b binary")
+    found = stored(asked.repartition(word_parts, "part").groupBy("part").applyInArrow(add_words(word_parts), ANSWER), "words")
+    distinct, tokens, *times = totals(found, MOST + 3)
+    model = Model.of(parts, word_parts, int(texts), distinct, tokens, times)
+
     empty = F.lit(None).cast("binary")
-    own = own.withColumns({"a": empty, "b": empty})
-    blank = {c: empty for c in ("docs", "lengths", "train", "codes", "top")}
-    known = own.unionByName(found.where("kind = 0").withColumns(blank | {"step": F.lit(1)}).select(*own.columns))
-    questions = known.groupBy("batch").applyInArrow(ask_pairs(model, parts, end_part), QUESTION)
-    replies = stored(questions.groupBy("part").applyInArrow(add_pairs(model, parts), ANSWER), "pairs")
-    times, hot = np.zeros(MOST + 1, np.int64), {}
-    for row in replies.where("kind = 1").select("a").collect():
-        times += np.frombuffer(bytes(row["a"]), "<i8")
-    parts_of_sums = replies.where("kind = 2").select("a", "b").mapInArrow(_listed, "name long, " + ", ".join(f"s{i} double" for i in range(SUMS)))
-    # At most HOT_SHARE rows, whatever the input.
-    for row in parts_of_sums.groupBy("name").agg(*[F.sum(f"s{i}") for i in range(SUMS)]).collect():
-        hot[row[0]] = np.asarray(row[1:])
-    everything = known.unionByName(replies.where("kind = 0").withColumns(blank | {"step": F.lit(2)}).select(*own.columns))
+    kept = ["docs", "blank", "lengths", "train", "codes", "top"]
+    columns = ["batch", "part", "step", *kept, "a", "b"]
+    known = batches.withColumns({"part": F.lit(-1), "step": F.lit(0), "a": empty, "b": empty}).select(columns)
+
+    def with_answers(found: DataFrame, step: int) -> DataFrame:
+        return known.unionByName(found.where("kind = 0").withColumns({c: empty for c in kept} | {"step": F.lit(step)}).select(columns))
+
+    known = with_answers(found, 1)
+    for level in range(2, order + 1):
+        questions = known.repartition(tasks, "batch").groupBy("batch").applyInArrow(ask_runs(model, level), QUESTION)
+        found = stored(questions.repartition(parts, "part").groupBy("part").applyInArrow(add_runs(model.factors[-1]), ANSWER), "runs")
+        factors = discounts(totals(found, MOST + 1))
+        model = replace(model, factors=(*model.factors, factors), spread=(*model.spread, spread_sums(found)))
+        known = with_answers(found, level)
     result = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = everything.groupBy("batch").applyInArrow(judge(model, discounts(times.tolist()), hot, parts, end_part), result)
-    return scored.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID + 1} - 1)"))
+    return known.repartition(tasks, "batch").groupBy("batch").applyInArrow(judge(model, order), result)

@@ -97,60 +97,69 @@ def test_urls_against_every_rule(spark, few):
 
 
 # ---------------------------------------------------------------------------------------- Katz
-def brute_katz(rows, train):
-    single, pairs = Counter(), Counter()
+def brute_katz(rows, train, order=katz.ORDER):
+    counts = [Counter() for _ in range(order)]  # runs of 1, 2, ... words; a start counts as a word from pairs on
+
+    def runs(t):
+        """For each token the runs that end at it, the shortest first."""
+        w = [*(t or "").encode().lower().split(), b" end"]
+        line = [b" start", *w]
+        return [[tuple(line[max(i - n + 1, 0) : i + 1]) for n in range(1, min(order, i + 1) + 1)] for i in range(1, len(line))]
+
     for i, t in rows:
         if train(i):
-            w = [*(t or "").encode().lower().split(), b" end"]
-            single.update(w)
-            pairs.update(zip([b" start", *w[:-1]], w))
+            for found in runs(t):
+                for run in found:
+                    counts[len(run) - 1][run] += 1
+    single = counts[0]
     tokens = sum(single.values())
-
-    def times(c):
-        return [sum(v == r for v in c.values()) for r in range(1, katz.MOST + 2)]
-
-    one, two = katz.discounts(times(single)), katz.discounts(times(pairs))
-
-    def less(c, factors):
-        return (factors[c - 1] if c <= katz.MOST else 1.0) * c
-
-    rest = sum((1 - one[c - 1]) * c for c in single.values() if c <= katz.MOST)
-    below = tokens if rest > 0 else tokens + 1
-    unknown = (rest or 1.0) / max(below, 1)
-
-    def alone(w):
-        return less(single[w], one) / below if single[w] else unknown
-
-    after = defaultdict(dict)
-    for (h, w), c in pairs.items():
-        after[h][w] = c
+    factors = [katz.discounts([sum(v == r for v in c.values()) for r in range(1, katz.MOST + 2)]) for c in counts]
+
+    def less(run):
+        c = counts[len(run) - 1][run]
+        return (factors[len(run) - 1][c - 1] if c <= katz.MOST else 1.0) * c
+
+    rest = sum(single[w] - less(w) for w in single)
+    below = tokens if rest > 1e-12 else tokens + 1
+    unknown = (rest if rest > 1e-12 else 1.0) / max(below, 1)
+    after = defaultdict(list)
+    for c in counts[1:]:
+        for run in c:
+            after[run[:-1]].append(run)
     weight = {}
-    for h, found in after.items():
-        left = sum((1 - two[c - 1]) * c for c in found.values() if c <= katz.MOST)
-        n = sum(found.values()) + (left <= 0)
-        weight[h] = n, (left if left > 0 else 1.0) / n / (1 - sum(map(alone, found)))
-
-    def chance(h, w):
-        if c := after.get(h, {}).get(w, 0):
-            return less(c, two) / weight[h][0]
-        return weight.get(h, (1, 1.0))[1] * alone(w)
-
-    for h in list(after)[:5]:
-        assert sum(chance(h, w) for w in single) + weight[h][1] * unknown == pytest.approx(1)
+
+    def chance(run):
+        h = run[:-1]
+        if not h:
+            return less(run) / below if single[run] else unknown
+        if h in after and h not in weight:
+            n = sum(counts[len(h)][r] for r in after[h])
+            left = n - sum(map(less, after[h]))
+            n, left = (n, left) if left > 1e-12 else (n + 1, 1.0)
+            weight[h] = n, left / n / (1 - sum(chance(r[1:]) for r in after[h]))
+        if counts[len(h)][run]:
+            return less(run) / weight[h][0]
+        return weight.get(h, (1, 1.0))[1] * chance(run[1:])
+
+    for h in [*list(after)[:5], *list(after)[-5:]]:
+        reach = weight[h][1] if chance((*h, b" none")) else 0
+        for n in range(1, len(h)):
+            reach *= weight[h[n:]][1] if h[n:] in weight else 1
+        assert sum(chance((*h, *w)) for w in single) + reach * unknown == pytest.approx(1)
     out = {}
     for i, t in rows:
-        w = [*(t or "").encode().lower().split(), b" end"]
-        base = sum(math.log10((single[x] + 1) / (tokens + len(single) + 1)) for x in w)
-        out[i] = len(w), sum(single[x] > 0 for x in w), tokens, base, sum(math.log10(chance(h, x)) for h, x in zip([b" start", *w[:-1]], w))
+        found = runs(t)
+        base = sum(math.log10((single[r[0]] + 1) / (tokens + len(single) + 1)) for r in found)
+        out[i] = len(found), sum(single[r[0]] > 0 for r in found), tokens, base, sum(math.log10(chance(r[-1])) for r in found)
     return out
 
 
-@pytest.mark.parametrize(("batch", "part"), [(12 << 20, 12 << 20), (3000, 5000)])
-def test_katz_scores_against_counting(spark, batch, part):
+@pytest.mark.parametrize(("order", "batch", "part"), [(3, 12 << 20, 12 << 20), (1, 3000, 5000), (2, 3000, 5000), (3, 3000, 600), (4, 3000, 5000)])
+def test_katz_scores_against_counting(spark, order, batch, part):
     rows = [(i, t) for i, t, _ in AWKWARD] + [(i, prose(i % 9, 40) + " The the THE") for i in range(100, 140)]
     docs = documents(spark, [(i, t, "s") for i, t in rows], "count train step batch part").repartition(3)
-    got = katz.katz_scores(docs, id_remainder(7) != 2, batch, part).collect()
-    want = brute_katz(rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
+    got = katz.katz_scores(docs, id_remainder(7) != 2, batch, part, order).collect()
+    want = brute_katz(rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2, order)
     assert len(got) == len(rows)
     for r in got:
         n, known, tokens, base, score = want[r["doc_id"]]
@@ -158,6 +167,12 @@ def test_katz_scores_against_counting(spark, batch, part):
         assert r["base_score"] == pytest.approx(base, abs=1e-6) and r["score"] == pytest.approx(score, abs=1e-6)
 
 
+def test_katz_tells_no_id_from_the_least(spark):
+    docs = documents(spark, [(None, "a b", "x"), (-(1 << 63), "a b c", "x"), (0, "a", "x")])
+    got = {r["doc_id"]: r["n_tokens"] for r in katz.katz_scores(docs, F.lit(True)).collect()}
+    assert got == {None: 3, -(1 << 63): 4, 0: 2}
+
+
 def test_katz_on_the_given_table_and_on_nothing(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute_katz(rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
