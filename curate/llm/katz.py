@@ -34,8 +34,8 @@ from curate.llm.common import coded, words
 from curate.session import stored
 
 ORDER = 3
-BATCH_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
+PART_BYTES = 12 << 20
 WORD_SHARE = 8
 """A batch has far fewer distinct words than longer runs, so their table has this many times fewer partitions."""
 TOP = 1 << 16
@@ -45,21 +45,46 @@ HOT_SHARE = 4096
 """A history that makes up more than this part of all tokens is spread over all partitions; a level
 can have no more of those than this number, so their sums may go to every task."""
 END_HASH = xxhash.xxh64_intdigest(b" end of text ")  # no word holds a blank
-START = (1 << 63) - 1
+START = 0
+"""Number of the start of a text; words have larger ones."""
 
 
 # ------------------------------------------------------------------------------- packed columns
-def packed(values: np.ndarray, kind: str = "<u8") -> bytes:
-    """Integers with their bytes in planes, compressed."""
+def packed(values: np.ndarray, kind: str | None = None) -> bytes:
+    """Numbers with their bytes in planes, compressed. Without a kind they are not negative and take 1, 2, 4 or 8 bytes each."""
+    if kind is None:
+        most = int(values.max()) if len(values) else 0
+        kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(k[2]))
     raw = np.ascontiguousarray(values, kind)
     planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return kind.encode() + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def unpacked(data: bytes, kind: str = "<u8") -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+def unpacked(data: bytes) -> np.ndarray:
+    """The numbers; integers as 64-bit ones."""
+    kind, raw = data[:3].decode(), np.frombuffer(zstandard.decompress(data[3:]), np.uint8)
+    found = np.ascontiguousarray(raw.reshape(int(kind[2]), -1).T).view(kind).reshape(-1)
+    return found if kind == "<f8" else found.astype(np.int64)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, ascending; a place of each; the distinct value of each place)."""
+    order = np.argsort(values)
+    line = values[order]
+    new = np.ones(len(line), bool)
+    np.not_equal(line[1:], line[:-1], out=new[1:])
+    of = np.empty(len(line), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return line[new], order[new], of
+
+
+def joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Keys that order and tell apart pairs of numbers."""
+    bits = int(two.max()).bit_length() if len(two) else 0
+    if len(one) and int(one.max()).bit_length() + bits > 63:
+        one, (names, _, two) = distinct(one)[2].astype(np.int64), distinct(two)
+        bits = len(names).bit_length()
+    return one << bits | two
 
 
 def steps(values: np.ndarray) -> np.ndarray:
@@ -69,7 +94,7 @@ def steps(values: np.ndarray) -> np.ndarray:
 
 def summed(data: bytes) -> np.ndarray:
     """Ascending numbers from packed differences."""
-    return np.cumsum(unpacked(data)).astype(np.int64)
+    return np.cumsum(unpacked(data))
 
 
 # ---------------------------------------------------------------------------------- discounts
@@ -151,8 +176,8 @@ def encode(table: pa.Table, batch: int, parts: int) -> tuple:
     counts = np.bincount(code, weights=train[owner], minlength=len(hashes)).astype(np.int64)
     ids = table["doc_id"].combine_chunks()
     return (
-        batch, pc.fill_null(ids, 0).to_numpy().astype("<i8").tobytes(), packed(ids.is_null().to_numpy(zero_copy_only=False), "u1"),
-        packed(np.bincount(owner, minlength=len(text))), packed(train, "u1"), packed(code),
+        batch, pc.fill_null(ids, 0).to_numpy().astype("<i8").tobytes(), packed(ids.is_null().to_numpy(zero_copy_only=False), "<u1"),
+        packed(np.bincount(owner, minlength=len(text))), packed(train, "<u1"), packed(code),
         hashes.astype("<u8").tobytes(), packed(counts), packed(part_of(hashes[:TOP], parts)),
     )
 
@@ -207,7 +232,7 @@ def ask_words(parts: int) -> Callable:
         for batch in found:
             for row in batch.to_pylist():
                 hashes, counts = np.frombuffer(row["hashes"], "<u8"), unpacked(row["counts"])
-                texts = int(unpacked(row["train"], "u1").sum())
+                texts = int(unpacked(row["train"]).sum())
                 part = part_of(hashes, parts)
                 order = np.argsort(part, kind="stable")
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -294,11 +319,11 @@ def tokens_of(rows: list[dict], model: Model) -> Tokens:
     """A batch from its own row and the answers of the word table."""
     own = next(r for r in rows if r["step"] == 0)
     replies = sorted((r for r in rows if r["step"] == 1), key=lambda r: r["part"])
-    code, top = unpacked(own["codes"]).astype(np.int64), unpacked(own["top"]).astype(np.int64)
-    lengths = unpacked(own["lengths"]).astype(np.int64)
+    code, top = unpacked(own["codes"]), unpacked(own["top"])
+    lengths = unpacked(own["lengths"])
     found = []
     for r in replies:
-        found.append((r["part"], unpacked(r["a"]).astype(np.int64), unpacked(r["b"]).astype(np.int64) * model.word_parts + r["part"]))
+        found.append((r["part"], unpacked(r["a"]), unpacked(r["b"]) * model.word_parts + r["part"] + 1))
     end = sum(len(c) for _, c, _ in found) - 1  # one answer is the end's
     count, number, rare = np.zeros(end + 2, np.int64), np.zeros(end + 2, np.int64), len(top)
     for p, c, k in found:
@@ -314,8 +339,8 @@ def tokens_of(rows: list[dict], model: Model) -> Tokens:
     whole = lengths + 1
     first = np.cumsum(whole) - whole
     word = np.insert(code, np.cumsum(lengths), end)
-    docs = pa.array(np.frombuffer(own["docs"], "<i8"), mask=unpacked(own["blank"], "u1").astype(bool))
-    train = np.repeat(unpacked(own["train"], "u1"), whole)
+    docs = pa.array(np.frombuffer(own["docs"], "<i8"), mask=unpacked(own["blank"]).astype(bool))
+    train = np.repeat(unpacked(own["train"]), whole)
     return Tokens(docs, lengths, np.arange(len(word)) - np.repeat(first, whole), train, word, count, number)
 
 
@@ -328,25 +353,35 @@ def runs_of(tokens: Tokens, below: Runs | None, level: int, model: Model) -> Run
     else:
         at, shorter, count, number = np.flatnonzero(tokens.place >= level - 2), below.run_at, below.count, below.number
         history = shorter[at - 1]
-    key, first, of = np.unique(history * size + tokens.word[at], return_index=True, return_inverse=True)
-    run_at = np.full(len(tokens.word), -1, np.int64)
+    # Codes in the order of the question, by partition and number, so that runs come out in it.
+    by_part, by_word = np.lexsort((number, number % parts)), np.argsort(tokens.number, kind="stable")
+    place, place_of_word = np.empty(len(count), np.int64), np.empty(size, np.int64)
+    place[by_part], place_of_word[by_word] = np.arange(len(count)), np.arange(size)
+    key, first, of = distinct(place[history] * size + place_of_word[tokens.word[at]])
+    run_at = np.full(len(tokens.word), -1, np.int32)
     run_at[at] = of
     told = np.bincount(of, weights=tokens.train[at], minlength=len(key)).astype(np.int64)
-    one, two, suffix = key // size, key % size, shorter[at][first]
+    one, two, suffix = by_part[key // size], by_word[key % size], shorter[at][first]
     spread = count * HOT_SHARE > model.tokens
     if below is None:
         spread[-1] = True  # the start
-    kept = np.flatnonzero((count[one] > 0) & (count[suffix] > 0))
-    part = np.where(spread[one[kept]], tokens.number[two[kept]], number[one[kept]]) % parts
-    order = np.lexsort((tokens.number[two[kept]], number[one[kept]], part))
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    asked = [kept[order[a:b]] for a, b in zip(edges, edges[1:])]
+    kept = (count[one] > 0) & (count[suffix] > 0)
+    own, wide = np.flatnonzero(kept & ~spread[one]), np.flatnonzero(kept & spread[one])
+    edges = np.searchsorted(number[one[own]] % parts, np.arange(parts + 1))
+    target = tokens.number[two[wide]] % parts
+    wide = wide[np.lexsort((number[one[wide]], target))]
+    wide_edges = np.searchsorted(np.sort(target), np.arange(parts + 1))
+    asked = []
+    for p in range(parts):
+        mine = np.concatenate([own[edges[p] : edges[p + 1]], wide[wide_edges[p] : wide_edges[p + 1]]])
+        asked.append(mine[np.argsort(number[one[mine]], kind="stable")].astype(np.int32))
     past = np.unique(one[told == 0])
     past = past[(count[past] > 0) & ~spread[past]]
     order = np.lexsort((number[past], number[past] % parts))
     edges = np.searchsorted(number[past[order]] % parts, np.arange(parts + 1))
     pasts = [past[order[a:b]] for a, b in zip(edges, edges[1:])]
     zero = np.zeros(len(key), np.int64)
+    one, two, suffix = (x.astype(np.int32) for x in (one, two, suffix))
     return Runs(at, of, run_at, one, two, suffix, told, asked, pasts, spread, zero, zero.copy(), np.ones(len(count)), np.zeros(len(count)))
 
 
@@ -364,25 +399,20 @@ def question(batch: int, tokens: Tokens, below: Runs | None, runs: Runs) -> pa.T
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in QUESTION.split(", ")])
 
 
-def add_runs(factors: np.ndarray) -> Callable:
-    """``factors`` are the discounts of the level below."""
+def add_runs(factors: np.ndarray, last: bool) -> Callable:
+    """``factors`` are the discounts of the level below; the last level needs no numbers."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         """A partition of a level's table: totals and numbers of the runs, and sums of the histories' words."""
         table, part = table.sort_by("batch"), key[0].as_py()
         ones = [summed(x) for x in table["one"].to_pylist()]
         one = np.concatenate(ones)
-        two, told, lower = (np.concatenate([unpacked(x) for x in table[c].to_pylist()]).astype(np.int64) for c in ("two", "told", "lower"))
-        order = np.lexsort((two, one))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        first = order[new]
+        two, told, lower = (np.concatenate([unpacked(x) for x in table[c].to_pylist()]) for c in ("two", "told", "lower"))
+        _, first, which = distinct(joined(one, two))
         total = np.bincount(which, weights=told, minlength=len(first)).astype(np.int64)
         seen = total > 0
         place = np.maximum(np.cumsum(seen) - 1, 0)
-        history, of = np.unique(one[first], return_inverse=True)
+        history, _, of = distinct(one[first])
         sums = np.zeros((len(history) + 1, SUMS))
         mask = np.zeros(len(history), np.int64)
         for r in range(1, MOST + 1):
@@ -399,7 +429,7 @@ def add_runs(factors: np.ndarray) -> Callable:
             row = np.searchsorted(history, past)
             row = np.where(np.append(history, -1)[row] == past, row, len(history))
             chosen = sums[row]
-            columns = packed(value[mine]), packed(steps(place[mine])), packed(chosen[:, : MOST + 1].T.reshape(-1)), packed(chosen[:, MOST + 1], "<f8")
+            columns = packed(value[mine]), packed(steps(place[mine][: 0 if last else None])), packed(chosen[:, : MOST + 1].T.reshape(-1)), packed(chosen[:, MOST + 1], "<f8")
             out.append((part, batch, 0, *(len(x).to_bytes(4, "little") + x + y for x, y in (columns[:2], columns[2:]))))
         out.append((part, -1, 1, np.asarray(_histogram(total), "<i8").tobytes(), None))
         spread = np.concatenate([summed(x) for x in table["spread"].to_pylist()])
@@ -434,14 +464,15 @@ def learn(runs: Runs, rows: list[dict], tokens: Tokens, below: Runs | None, leve
         k = row["part"]
         mine, past = runs.asked[k], runs.past[k]
         (value, place), (whole, low) = _two(row["a"]), _two(row["b"])
-        value = unpacked(value).astype(np.int64)
+        value = unpacked(value)
         runs.count[mine] = value >> MOST
-        runs.number[mine] = summed(place) * model.parts + k
+        place = summed(place)
+        runs.number[mine[: len(place)]] = place * model.parts + k
         some = ((value[:, None] >> (r - 1) & 1) * ratio > 0).any(axis=1)
         codes = runs.history[mine]
         runs.below[codes] = np.where(some, count[codes], count[codes] + 1)
         if len(past):
-            backoff(past, np.hstack([unpacked(whole).reshape(MOST + 1, -1).T.astype(float), unpacked(low, "<f8")[:, None]]))
+            backoff(past, np.hstack([unpacked(whole).reshape(MOST + 1, -1).T.astype(float), unpacked(low)[:, None]]))
     if hot:
         names = np.asarray(sorted(hot), np.int64)
         at = np.minimum(np.searchsorted(names, number), len(names) - 1)
@@ -548,7 +579,7 @@ def katz_scores(docs: DataFrame, train: Column, batch_bytes: int = BATCH_BYTES,
     known = with_answers(found, 1)
     for level in range(2, order + 1):
         questions = known.repartition(tasks, "batch").groupBy("batch").applyInArrow(ask_runs(model, level), QUESTION)
-        found = stored(questions.repartition(parts, "part").groupBy("part").applyInArrow(add_runs(model.factors[-1]), ANSWER), "runs")
+        found = stored(questions.repartition(parts, "part").groupBy("part").applyInArrow(add_runs(model.factors[-1], level == order), ANSWER), "runs")
         factors = discounts(totals(found, MOST + 1))
         model = replace(model, factors=(*model.factors, factors), spread=(*model.spread, spread_sums(found)))
         known = with_answers(found, level)
