@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.constants import RECALL_GRID
-from curate.operators.running import running
+from curate.operators.running import running, running_max_before
 from curate.session import stored
 
 SYSTEM = ("system",)
@@ -132,11 +132,21 @@ def _with_anchor(x: str, y: str, point: tuple[Column, Column], anchor: tuple[flo
     return F.inline(F.when(_is_first(), F.array(start, own)).otherwise(F.array(own)))
 
 
-def roc_points(preds: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:
-    """``(threshold, fpr, tpr)`` per distinct score, starting at (0, 0) with NULL threshold."""
+def roc_points(preds: DataFrame, by: Sequence[str] = SYSTEM, collinear: bool = True) -> DataFrame:
+    """``(threshold, fpr, tpr)`` per distinct score, starting at (0, 0) with NULL threshold.
+
+    Without ``collinear`` points, a score between the first and the last is left out if the next lower
+    one adds as many positives and as many negatives, since the curve runs straight through it.
+    """
+    counts = _counts(preds, by)
+    if not collinear:
+        step = F.struct("score", "p", "q")
+        counts = running_max_before(
+            counts, [*by, "cls"], _score_spread(F.col("score")), [F.asc("score")], step, "lower"
+        ).where(_is_first() | F.col("lower").isNull() | (F.col("lower.p") != F.col("p")) | (F.col("lower.q") != F.col("q")))
     fpr = F.try_divide(F.col("fp").cast("double"), F.col("negatives").cast("double"))
     tpr = F.try_divide(F.col("tp").cast("double"), F.col("positives").cast("double"))
-    return _counts(preds, by).select(*by, "cls", _with_anchor("fpr", "tpr", (fpr, tpr), (0.0, 0.0)))
+    return counts.select(*by, "cls", _with_anchor("fpr", "tpr", (fpr, tpr), (0.0, 0.0)))
 
 
 def pr_points(preds: DataFrame, by: Sequence[str] = SYSTEM) -> DataFrame:

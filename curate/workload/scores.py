@@ -345,6 +345,22 @@ def roc_points(spark, sf_dir):
     return rounded(curves.roc_points(predictions(spark, sf_dir)))
 
 
+@query(
+    "roc_turns",
+    f"""WITH {_AREAS},
+    turns AS (SELECT *, lag(tp) OVER w IS NULL OR lead(tp) OVER w IS NULL
+                        OR lead(p) OVER w <> p OR lead(q) OVER w <> q AS kept
+              FROM run WINDOW w AS (PARTITION BY system, cls ORDER BY prob DESC))
+    SELECT system, cls::INTEGER AS cls, round(prob, 9) AS threshold, round(fp::DOUBLE / neg, 9) AS fpr,
+           round(tp::DOUBLE / pos, 9) AS tpr FROM turns WHERE kept
+    UNION ALL SELECT DISTINCT system, cls::INTEGER, NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM run
+    """,
+    "pred_long",
+)
+def roc_turns(spark, sf_dir):
+    return rounded(curves.roc_points(predictions(spark, sf_dir), collinear=False))
+
+
 _PR = """
     points AS (SELECT system, cls, prob AS threshold, tp::DOUBLE / (tp + fp) AS prec, tp::DOUBLE / pos AS rec FROM run
                UNION ALL SELECT DISTINCT system, cls, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM run)

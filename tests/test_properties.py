@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curate.functions.text import clean_line, normalise
 from curate.operators import candidates as cand
-from curate.operators import clustering, metrics, sampling, training
+from curate.operators import clustering, curves, metrics, sampling, training
 from curate.operators import vectors as vec
 from curate.operators.curves import class_areas, interpolated_precision
 from curate.operators.running import rank_by_number, running
@@ -308,3 +308,16 @@ def test_large_samples_equal_the_head_of_a_larger_sample(spark):
     small = {r["row_id"] for r in sampling.stratified_seeds(df, ["k"], per_group=900).collect()}
     assert (len(big), len(small)) == (1500, 900)
     assert small < big
+
+
+def test_roc_turns_leave_out_points_on_a_straight_run(spark):
+    scores = [(0.9, 0), (0.8, 0), (0.7, 0), (0.6, 1), (0.5, 1), (0.4, 0), (0.3, 0)]
+    rows = [("s", i, label, 0, [s, 1 - s, 0.0]) for i, (s, label) in enumerate(scores)]
+    preds = spark.createDataFrame(rows, "system string, row_id long, true_label int, pred_label int, probs array<double>")
+
+    def thresholds(**options):
+        found = curves.roc_points(preds, **options).where("cls = 0").collect()
+        return sorted((r["threshold"] for r in found if r["threshold"] is not None), reverse=True)
+
+    assert thresholds() == [s for s, _ in scores]
+    assert thresholds(collinear=False) == [0.9, 0.7, 0.5, 0.3]
