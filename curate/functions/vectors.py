@@ -33,11 +33,3 @@ def unit(vec: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(as_double(a), as_double(b)) / (norm(a) * norm(b))
-
-
-def best_match(vec: Column, unit_refs: Column) -> Column:
-    """Largest cosine similarity of a vector with an array of unit vectors."""
-    pairs = F.zip_with(
-        unit_refs, F.array_repeat(as_double(vec), F.size(unit_refs)), lambda r, v: dot(v, r)
-    )
-    return F.array_max(pairs) / norm(vec)

@@ -1,4 +1,4 @@
-"""Vector tables: centroids, similarity gate, centroid-to-category similarity, nearest centroid."""
+"""Vector tables: centroids, centroid-to-category similarity, nearest centroid."""
 
 from __future__ import annotations
 
@@ -9,12 +9,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curate.functions.once import with_once
-from curate.functions.vectors import as_double, best_match, dot, norm, unit
+from curate.functions.vectors import as_double, dot, norm, unit
 from curate.session import stored
 
-BROADCAST_BYTES = 64 << 20
-"""References of at most so many bytes, as doubles, go to every executor; more are joined in lists."""
 LIST_ROWS = 1_000
 SALT_ROWS = 50_000
 """Rows that meet the lists of their group in one place."""
@@ -26,10 +23,6 @@ def centroids(df: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataF
     return df.groupBy(*by).agg(vector_to_array(mean).alias("centroid"))
 
 
-def _reference_lists(refs: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
-    return refs.groupBy(*keys).agg(F.collect_list(unit(F.col(vec))).alias("__refs"))
-
-
 def _met(rows: DataFrame, lists: DataFrame, keys: Sequence[str], row_id: str, most: int) -> DataFrame:
     """Every row with each list of its key, where no key has more than ``most`` rows.
 
@@ -47,88 +40,6 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn("__row", F.monotonically_increasing_id()), name)
 
 
-def best_similarity(
-    candidates: DataFrame,
-    refs: DataFrame,
-    by: Sequence[str],
-    vec: str = "embedding",
-    out: str = "similarity",
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Add the largest cosine similarity of each row to the references of its group.
-
-    The references may be a capped sample (:func:`curate.operators.sampling.stratified_seeds`) or all
-    rows. Their size is looked up first: up to ``broadcast_bytes`` they become one list per group and
-    are broadcast, so candidates are neither shuffled nor paired; beyond that the rows go through
-    :func:`best_similarity_in_blocks`, with the same result. A row without references gets NULL.
-    """
-    size = refs.agg(F.sum(F.size(vec) * F.lit(8) + 64)).first()[0] or 0
-    if size > broadcast_bytes:
-        numbered = _numbered(candidates, "candidates")
-        distinct = refs.select(*by, vec).distinct()
-        scored = best_similarity_in_blocks(numbered, distinct, by, "__row", vec, vec=vec, out=out)
-        return scored.select(*candidates.columns, out)
-    joined = candidates.join(F.broadcast(_reference_lists(refs, by, vec)), list(by), "left")
-    return with_once(joined, out, best_match(F.col(vec), F.col("__refs"))).drop("__refs")
-
-
-def best_similarity_in_blocks(
-    candidates: DataFrame,
-    refs: DataFrame,
-    by: Sequence[str],
-    row_id: str,
-    ref_id: str,
-    blocks: int | None = None,
-    vec: str = "embedding",
-    out: str = "similarity",
-) -> DataFrame:
-    """:func:`best_similarity` for any number of references, by a shuffle join.
-
-    The references of a group are spread over ``blocks`` lists, by default so many that the largest
-    group has near LIST_ROWS in each. A candidate is sent once, meets the lists of its group one by
-    one and keeps its maximum. ``row_id`` tells candidates apart.
-    """
-    by = list(by)
-
-    def largest(df: DataFrame) -> int:
-        return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-    blocks = blocks or max(1, -(-largest(refs) // LIST_ROWS))
-    block = F.pmod(F.xxhash64(ref_id), F.lit(blocks)).alias("__block")
-    lists = _reference_lists(refs.select(*by, vec, block), [*by, "__block"], vec).drop("__block")
-    slim = candidates.select(*by, row_id, F.col(vec).alias("__vec"))
-    met = _met(slim, lists, by, row_id, largest(candidates))
-    best = met.groupBy(row_id).agg(F.max(best_match(F.col("__vec"), F.col("__refs"))).alias(out))
-    return candidates.join(best, row_id, "left")
-
-
-def similarity_gate(
-    candidates: DataFrame,
-    refs: DataFrame,
-    by: Sequence[str],
-    threshold: float,
-    vec: str = "embedding",
-    return_scores: bool = False,
-) -> DataFrame:
-    """Keep rows whose best similarity reaches the threshold."""
-    scored = best_similarity(candidates, refs, by, vec, "__similarity")
-    kept = scored.where(F.col("__similarity") >= threshold)
-    if return_scores:
-        return kept.withColumnRenamed("__similarity", "similarity")
-    return kept.drop("__similarity")
-
-
-def acceptance_rate(scored: DataFrame, by: Sequence[str], threshold: float, score: str = "similarity") -> DataFrame:
-    """Kept, dropped and total rows of the gate per group, and the percentage dropped."""
-    kept = F.count_if(F.col(score) >= threshold)
-    return scored.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        kept.alias("kept"),
-        (F.count("*") - kept).alias("dropped"),
-        ((F.count("*") - kept) * 100.0 / F.count("*")).alias("dropped_percent"),
-    )
-
-
 def _list_of(df: DataFrame, *columns: Column) -> Column:
     """The rows of a table of at most LIST_ROWS as one array, computed once."""
     return df.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()

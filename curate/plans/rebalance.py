@@ -12,6 +12,7 @@ from curate.functions.permutation import permuted
 from curate.functions.text import text_key
 from curate.operators.balance import label_name, rebalance_targets
 from curate.operators.candidates import filter_candidates, first_of_key
+from curate.operators.gate import similarity_gate
 from curate.operators.order_index import LEAF_ROWS, rank_by_order
 from curate.operators.sampling import (
     cluster_quotas,
@@ -20,7 +21,6 @@ from curate.operators.sampling import (
     perturbed_oversample,
     stratified_seeds,
 )
-from curate.operators.vectors import similarity_gate
 from curate.session import stored
 
 TOP_UP_FIRST_STYLE = 500
@@ -172,10 +172,10 @@ def gated_candidates(
     candidates: DataFrame,
     real: DataFrame,
     quotas: DataFrame,
-    seeds: DataFrame,
+    refs: DataFrame,
     threshold: float | None,
 ) -> DataFrame:
-    """Clean, validate, de-duplicate, exclude seen texts, then gate on similarity.
+    """Clean, validate, de-duplicate, exclude seen texts, then gate on similarity to ``refs``.
 
     ``candidates`` is ``(label, cluster_name, round, line, raw[, embedding])``. Arrival order is
     (class, cluster, round, line). ``quotas`` should be a stored table, whose size decides how it is
@@ -188,7 +188,7 @@ def gated_candidates(
     order = ["class_pos", "cluster_pos", "round", "line"]
     unique = filter_candidates(arrived, order, seen=real)
     if threshold is not None:
-        unique = similarity_gate(unique, seeds, ["label", "cluster_name"], threshold)
+        unique = similarity_gate(unique, refs, ["label", "cluster_name"], threshold)
     return unique.select("label", "cluster_name", *order, "target", "quota", "text")
 
 
@@ -240,6 +240,7 @@ def synthetic_rows(
     k: int | None = None,
     seed: int = C.SEED,
     seeds_per_cluster: int = C.SEEDS_PER_CLUSTER,
+    refs: str = "seeds",
 ) -> DataFrame:
     """``(label, origin, text)`` with exactly ``target`` rows per class of ``targets``.
 
@@ -247,13 +248,16 @@ def synthetic_rows(
 
     Accepted candidates come first, perturbed real texts fill what is missing; repeats of a class
     are dropped and the gap patched with perturbed texts that may repeat. Each stage is stored,
-    and the fill runs only if a class is short.
+    and the fill runs only if a class is short. ``refs`` says what candidates are compared with: the
+    ``seeds`` of their cluster, or ``all`` real rows of it.
     """
     by = ["label", "cluster_name"]
     mine = real.join(F.broadcast(targets.select("label")), "label", "left_semi")
     quotas = stored(cluster_quotas(mine, targets, k), "quotas")
-    seeds = stratified_seeds(mine, by, per_group=seeds_per_cluster, seed=seed)
-    gated = stored(gated_candidates(candidates, real, quotas, seeds, threshold), "gated")
+    if refs not in ("seeds", "all"):
+        raise ValueError("refs is 'seeds' or 'all'")
+    known = mine if refs == "all" else stratified_seeds(mine, by, per_group=seeds_per_cluster, seed=seed)
+    gated = stored(gated_candidates(candidates, real, quotas, known, threshold), "gated")
     accepted = stored(accepted_candidates(gated, targets), "accepted")
 
     short = _shortfall(targets, accepted)
@@ -284,6 +288,7 @@ def augment(
     k: int | None = None,
     seed: int = C.SEED,
     n_classes: int = 3,
+    refs: str = "seeds",
 ) -> DataFrame:
     """The real rows plus synthetic rows that bring each minority class to its target.
 
@@ -296,7 +301,7 @@ def augment(
     )
     if targets is None:
         return kept.withColumn("label_name", label_name(F.col("label")))
-    made = synthetic_rows(real, candidates, targets, threshold, k, seed)
+    made = synthetic_rows(real, candidates, targets, threshold, k, seed, refs=refs)
     added = made.select(
         F.lit(None).cast("bigint").alias("row_id"), "text", "label", F.lit(True).alias("is_synthetic"), "origin"
     )

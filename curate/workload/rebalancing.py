@@ -8,7 +8,7 @@ from curate import constants as C
 from curate.functions.hashing import draw_int
 from curate.functions.text import clean_line
 from curate.functions.vectors import cosine
-from curate.operators import balance, candidates as cand, sampling, vectors as vec
+from curate.operators import balance, candidates as cand, gate, sampling, vectors as vec
 from curate.plans import rebalance
 from curate.session import stored
 from curate.workload.registry import query, rounded
@@ -139,7 +139,7 @@ _SCORED = f"""{_SEEDS},
 def _scored(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     seeds = sampling.stratified_seeds(rows, ["cluster_name"], "vec_id")
-    return rows, seeds, vec.best_similarity(rows, seeds, ["cluster_name"])
+    return rows, seeds, gate.best_similarity(rows, seeds, ["cluster_name"])
 
 
 @query("best_similarity", f"WITH {_SCORED} SELECT vec_id, cluster_name, round(similarity, 9) AS similarity FROM scored", "vectors")
@@ -150,7 +150,7 @@ def best_similarity(spark, sf_dir):
 @query("best_similarity_in_blocks", f"WITH {_SCORED} SELECT vec_id, cluster_name, round(similarity, 9) AS similarity FROM scored", "vectors")
 def best_similarity_in_blocks(spark, sf_dir):
     rows, seeds, _ = _scored(spark, sf_dir)
-    scored = vec.best_similarity_in_blocks(rows, seeds, ["cluster_name"], "vec_id", "vec_id", blocks=4)
+    scored = gate.best_similarity_in_blocks(rows, seeds, ["cluster_name"], "vec_id", "vec_id", blocks=4)
     return rounded(scored.select("vec_id", "cluster_name", "similarity"))
 
 
@@ -161,7 +161,7 @@ def best_similarity_in_blocks(spark, sf_dir):
 )
 def similarity_gate(spark, sf_dir):
     rows, seeds, _ = _scored(spark, sf_dir)
-    kept = vec.similarity_gate(rows, seeds, ["cluster_name"], THRESHOLD, return_scores=True)
+    kept = gate.similarity_gate(rows, seeds, ["cluster_name"], THRESHOLD, return_scores=True)
     return rounded(kept.select("vec_id", "cluster_name", "similarity"))
 
 
@@ -176,7 +176,7 @@ def similarity_gate(spark, sf_dir):
     "vectors",
 )
 def gate_acceptance(spark, sf_dir):
-    return rounded(vec.acceptance_rate(_scored(spark, sf_dir)[2], ["cluster_name"], THRESHOLD))
+    return rounded(gate.acceptance_rate(_scored(spark, sf_dir)[2], ["cluster_name"], THRESHOLD))
 
 
 def _category():
@@ -460,14 +460,26 @@ def gated_candidates(spark, sf_dir):
     return _gated(spark, sf_dir).select("label", "cluster_name", "round", "line", "text")
 
 
-def _gated(spark, sf_dir):
+@query(
+    "gated_candidates_all",
+    f"""WITH {_REAL}, {_sql_quotas(MAJORITY)}, {_GATED.replace('{threshold}', str(STRICT)).replace('FROM rseeds s', 'FROM real s')}
+    SELECT label, cluster_name, round, line, text FROM gated
+    """,
+    "corpus candidates",
+)
+def gated_candidates_all(spark, sf_dir):
+    """A strict gate against every real row of a cluster."""
+    return _gated(spark, sf_dir, STRICT, "all").select("label", "cluster_name", "round", "line", "text")
+
+
+def _gated(spark, sf_dir, threshold=LOOSE, refs="seeds"):
     real = real_rows(spark, sf_dir)
     targets = balance.rebalance_targets(real)
     mine = real.join(F.broadcast(targets.select("label")), "label", "left_semi")
     quotas = stored(sampling.cluster_quotas(mine, targets), "quotas")
-    seeds = sampling.stratified_seeds(mine, ["label", "cluster_name"])
+    known = mine if refs == "all" else sampling.stratified_seeds(mine, ["label", "cluster_name"])
     offered = rebalance_candidates(spark, sf_dir)
-    return rebalance.gated_candidates(offered, real, quotas, seeds, LOOSE)
+    return rebalance.gated_candidates(offered, real, quotas, known, threshold)
 
 
 @query(

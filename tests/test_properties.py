@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curate.functions.text import clean_line, normalise
 from curate.operators import candidates as cand
-from curate.operators import clustering, curves, metrics, sampling, training
+from curate.operators import clustering, curves, gate, metrics, sampling, training
 from curate.operators import vectors as vec
 from curate.operators.curves import class_areas, interpolated_precision
 from curate.operators.running import rank_by_number, running
@@ -162,14 +162,14 @@ def test_similarity_block_join_equals_broadcast(spark):
     rows = [(i, "c" if i % 3 else "d", [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, k string, embedding array<double>")
     refs = df.where("id < 90")
-    one = {r["id"]: r["similarity"] for r in vec.best_similarity(df, refs, ["k"]).collect()}
-    two = {r["id"]: r["similarity"] for r in vec.best_similarity_in_blocks(df, refs, ["k"], "id", "id", 5).collect()}
-    three = {r["id"]: r["similarity"] for r in vec.best_similarity_in_blocks(df, refs, ["k"], "id", "id").collect()}
+    one = {r["id"]: r["similarity"] for r in gate.best_similarity(df, refs, ["k"]).collect()}
+    two = {r["id"]: r["similarity"] for r in gate.best_similarity_in_blocks(df, refs, ["k"], "id", "id", 5).collect()}
+    three = {r["id"]: r["similarity"] for r in gate.best_similarity_in_blocks(df, refs, ["k"], "id", "id").collect()}
     assert one.keys() == two.keys() == three.keys()
     for i, value in one.items():
         assert value == pytest.approx(two[i], abs=1e-12)
         assert value == pytest.approx(three[i], abs=1e-12)
-    wide = vec.best_similarity(df, refs.union(refs), ["k"], broadcast_bytes=10)
+    wide = gate.best_similarity(df, refs.union(refs), ["k"], broadcast_bytes=10)
     assert wide.columns == [*df.columns, "similarity"]
     assert {r["id"]: r["similarity"] for r in wide.collect()} == pytest.approx(one, abs=1e-12)
 
@@ -187,11 +187,13 @@ def test_long_lists_and_salts_give_the_same_rows(spark, monkeypatch):
         return [
             rows(vec.nearest_centroid(df, centers, normalise=True).select("id", "cluster")),
             rows(vec.category_similarity(centers, anchors).withColumn("similarity", F.round("similarity", 9))),
-            rows(vec.best_similarity(df, df.where("id < 40"), ["k"], broadcast_bytes=0).withColumn("similarity", F.round("similarity", 9))),
+            rows(gate.best_similarity(df, df.where("id < 40"), ["k"], broadcast_bytes=0).withColumn("similarity", F.round("similarity", 9))),
         ]
 
     short = all_three()
     monkeypatch.setattr(vec, "LIST_ROWS", 4)
+    monkeypatch.setattr(gate, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(gate, "SALT_BLOCKS", 2)
     monkeypatch.setattr(vec, "SALT_ROWS", 20)
     assert all_three() == short
 
@@ -199,7 +201,7 @@ def test_long_lists_and_salts_give_the_same_rows(spark, monkeypatch):
 def test_gate_without_candidates(spark):
     empty = spark.createDataFrame([], "id long, k string, embedding array<double>")
     refs = spark.createDataFrame([(1, "c", [1.0, 0.0])], "id long, k string, embedding array<double>")
-    assert vec.similarity_gate(empty, refs, ["k"], 0.5).count() == 0
+    assert gate.similarity_gate(empty, refs, ["k"], 0.5).count() == 0
 
 
 def _greedy(sim):
