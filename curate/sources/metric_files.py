@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curate.constants import ALPHA, MAIN_METRICS, focus_metrics
-from curate.session import stored
-from curate.sources.files import dataset_paths
+from curate.sources.files import dataset_paths, write_routed
 
 DEFAULT_METRICS = tuple(m for m, _ in (*MAIN_METRICS, *focus_metrics()))
 
@@ -22,13 +21,8 @@ def no_nan(df: DataFrame) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, root: str, name: Sequence[str] = ("folder", "stem")) -> None:
-    """One ``{folder}/{stem}_metrics.json`` per row; a row per system, so a short loop."""
-    folder, stem = name
-    clean = stored(no_nan(metrics), "metrics")
-    for row in clean.select(folder, stem).distinct().collect():
-        one = clean.where((F.col(folder) == row[0]) & (F.col(stem) == row[1])).drop(folder, stem)
-        path = f"{root}/{row[0]}/{row[1]}_metrics.json"
-        one.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """One ``{folder}/{stem}_metrics.json`` per row, all by one job."""
+    write_routed(no_nan(metrics), root, name, lambda folder, stem: f"{folder}/{stem}_metrics.json", "json", {"ignoreNullFields": False})
 
 
 def read_metrics(spark: SparkSession, root: str, metrics: Sequence[str] = DEFAULT_METRICS) -> DataFrame:
@@ -47,7 +41,9 @@ def read_metrics(spark: SparkSession, root: str, metrics: Sequence[str] = DEFAUL
     schema = ", ".join(f"{m} DOUBLE" for m in metrics) + ", _corrupt_record STRING"
     raw = spark.read.schema(schema).option("multiLine", True).json(paths)
     name = r"([^/]+)/([^/]+)\.json(/part-[^/]*)?$"
-    place = raw.select("*", F.col("_metadata.file_path").alias("__path"))
+    # File paths come as in an address: %20 for a space, but + for itself.
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    place = raw.select("*", decoded.alias("__path"))
     usable = place.where(F.col("_corrupt_record").isNull() & F.coalesce(*metrics).isNotNull())
     return usable.select(
         F.regexp_extract("__path", name, 1).alias("folder"), F.regexp_extract("__path", name, 2).alias("stem"), *metrics

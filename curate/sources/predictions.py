@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curate.constants import CLASS_NAMES
 from curate.operators.order_index import rank_by_order
-from curate.sources.files import QUOTED, dataset_paths, folder_and_stem
+from curate.sources.files import QUOTED, dataset_paths, folder_and_stem, write_routed
 
 SUFFIX = "_predictions"
 
@@ -26,11 +26,14 @@ def write_predictions(
 ) -> None:
     """One set ``{root}/{system}_predictions.{format}`` per system; a system may be ``folder/name``.
 
-    Each set is a filter of ``preds``, which should be a stored table.
+    One job writes the sets of all systems (:func:`curate.sources.files.write_routed`); a listed system
+    without rows gets an empty set, and those not listed are left out.
     """
-    for system in systems:
-        mine = wide(preds.where(F.col("system") == system), class_names).drop("system")
-        mine.write.mode("overwrite").options(header=True, **(QUOTED if format == "csv" else {})).format(format).save(f"{root}/{system}{SUFFIX}.{format}")
+    options = {"header": True, **(QUOTED if format == "csv" else {})}
+    mine = wide(preds.where(F.col("system").isin(*systems)), class_names)
+    written = write_routed(mine, root, ["system"], lambda system: f"{system}{SUFFIX}.{format}", format, options)
+    for system in set(systems) - {name for name, in written}:
+        mine.drop("system").limit(0).write.mode("overwrite").options(**options).format(format).save(f"{root}/{system}{SUFFIX}.{format}")
 
 
 def _positioned(df: DataFrame) -> DataFrame:
