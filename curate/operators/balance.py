@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.constants import LABEL_NAMES, MINORITY_LABELS
+from curate.functions.text import text_key
 
 
 def label_name(label: Column, names: Mapping[int, str] = LABEL_NAMES) -> Column:
@@ -145,3 +146,15 @@ def augmentation_audit(df: DataFrame, n_classes: int = 3) -> DataFrame:
     return one.select(
         F.inline(F.array(*rows)), ratio("real").alias("imbalance_before"), ratio("both").alias("imbalance_after")
     )
+
+
+def repeated_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``(label, n, n_distinct, n_repeated)``: rows whose text, up to case and outer white space, occurred before.
+
+    The last patch of a rebalanced table may repeat texts. Texts are counted by digests of 256 bits, first
+    inside the tasks, so neither a class nor a text is one task.
+    """
+    digest = F.unhex(F.sha2(text_key(F.col(text), trim=True), 256)).alias("__digest")
+    counted = df.groupBy("label", digest).agg(F.count("*").alias("__n"))
+    n = F.sum("__n")
+    return counted.groupBy("label").agg(n.alias("n"), F.count("*").alias("n_distinct"), (n - F.count("*")).alias("n_repeated"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,9 @@ def is_valid(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHAR
 def first_of_key(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """Keep the first row of every key.
 
-    A digest of 256 bits stands for the key, so a text travels once, as itself. The rank-equals-one filter becomes a group limit before the shuffle, so each task sends at
-    most one row of a key however often the key occurs.
+    A digest of 256 bits stands for the key, so a text travels once, as itself. The rank-equals-one filter
+    becomes a group limit before the shuffle, so each task sends at most one row of a key however often
+    the key occurs.
     """
     first = Window.partitionBy("__key").orderBy(*[F.asc(c) for c in order])
     digest = F.unhex(F.sha2(key.cast("string"), 256))
@@ -87,9 +89,10 @@ def filter_candidates(
 
 
 def union_seen(*tables: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct keys of several text tables."""
-    keys = [t.select(text_key(F.col(text)).alias("key")).distinct() for t in tables]
-    merged = keys[0]
-    for other in keys[1:]:
-        merged = merged.union(other)
-    return merged.distinct()
+    """Distinct keys of several text tables.
+
+    They are grouped by digests of 256 bits, so a key is compared once, where it is made, and each task
+    sends one row of a line that fills its table.
+    """
+    keys = reduce(DataFrame.union, [t.select(text_key(F.col(text)).alias("key")) for t in tables])
+    return keys.groupBy(F.unhex(F.sha2("key", 256))).agg(F.any_value("key").alias("key")).select("key")

@@ -14,7 +14,8 @@ from curate.session import stored
 
 LIST_ROWS = 1_000
 SALT_ROWS = 50_000
-"""Rows that meet the lists of their group in one place."""
+"""Rows that meet a set of lists in one place."""
+SET_LISTS = 16
 
 
 def centroids(df: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataFrame:
@@ -23,16 +24,17 @@ def centroids(df: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataF
     return df.groupBy(*by).agg(vector_to_array(mean).alias("centroid"))
 
 
-def _met(rows: DataFrame, lists: DataFrame, keys: Sequence[str], row_id: str, most: int) -> DataFrame:
-    """Every row with each list of its key, where no key has more than ``most`` rows.
+def _met(rows: DataFrame, lists: DataFrame, n_rows: int, n_lists: int) -> DataFrame:
+    """Every row of a numbered table with each list.
 
-    The rows of a key are dealt over salts of some SALT_ROWS rows and its lists are copied to each, so
-    a row is shuffled once however many lists there are, and a key of any size is many tasks.
+    The rows are dealt over salts of some SALT_ROWS, and the lists over sets of SET_LISTS; a row goes to
+    each set once, a list to each salt once, so neither many rows nor many lists are one task.
     """
-    salts = max(1, -(-most // SALT_ROWS))
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    right = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "__salt"])
+    salts, sets = max(1, -(-n_rows // SALT_ROWS)), max(1, -(-n_lists // SET_LISTS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int")).withColumn("__set", every(sets))
+    right = lists.withColumn("__set", F.pmod("__block", F.lit(sets)).cast("int")).withColumn("__salt", every(salts))
+    return left.join(right.drop("__block"), ["__salt", "__set"])
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +48,9 @@ def _list_of(df: DataFrame, *columns: Column) -> Column:
 
 
 def _lists_of(df: DataFrame, n: int, *columns: Column, spread: str, out: str) -> DataFrame:
-    """``n`` rows as lists of near LIST_ROWS each, one per row."""
+    """``n`` rows as lists ``(__block, out)`` of near LIST_ROWS each, one per row."""
     block = F.pmod(F.xxhash64(spread), F.lit(-(-n // LIST_ROWS))).alias("__block")
-    return df.select("*", block).groupBy("__block").agg(F.collect_list(F.struct(*columns)).alias(out)).drop("__block")
+    return df.select("*", block).groupBy("__block").agg(F.collect_list(F.struct(*columns)).alias(out))
 
 
 def category_similarity(
@@ -65,7 +67,8 @@ def category_similarity(
         met = centers.select(*cluster, "centroid").withColumn("__all", _list_of(anchors, *entry))
     else:
         numbered = _numbered(centers.select(*cluster, "centroid"), "centers")
-        met = _met(numbered, _lists_of(anchors, n, *entry, spread="category", out="__all"), [], "__row", numbered.count())
+        lists = _lists_of(anchors, n, *entry, spread="category", out="__all")
+        met = _met(numbered, lists, numbered.count(), -(-n // LIST_ROWS))
     wide = met.select(*cluster, "centroid", F.explode("__all").alias("__a"))
     similarity = dot(F.col("centroid"), F.col("__a.v")) / norm(F.col("centroid"))
     return wide.select(*cluster, F.col("__a.category").alias("category"), similarity.alias("similarity"))
@@ -95,6 +98,6 @@ def nearest_centroid(
         return met.withColumn(name, best["name"]).drop("__v", "__all")
     numbered = _numbered(df, "rows")
     lists = _lists_of(centers, n, *center, spread=name, out="__all")
-    met = _met(numbered.select("__row", own), lists, [], "__row", numbered.count())
+    met = _met(numbered.select("__row", own), lists, numbered.count(), -(-n // LIST_ROWS))
     found = met.groupBy("__row").agg(F.min(best).alias("__best"))
     return numbered.join(found, "__row", "left").withColumn(name, F.col("__best.name")).drop("__row", "__best")

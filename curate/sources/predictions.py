@@ -104,10 +104,16 @@ def consolidated(scenarios: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def registered(preds: DataFrame, registry: Mapping[str, str]) -> DataFrame:
-    """The rows of registered systems, under their registry key (``registry`` maps key to system)."""
-    keys = F.create_map(*[F.lit(x) for key, system in registry.items() for x in (system, key)])
-    named = preds.withColumn("key", F.try_element_at(keys, F.col("system")))
-    return named.where("key IS NOT NULL")
+    """The rows of registered systems, under their registry key (``registry`` maps key to system).
+
+    A system with several keys gives its rows once under each.
+    """
+    keys: dict[str, list[str]] = {}
+    for key, system in registry.items():
+        keys.setdefault(system, []).append(key)
+    entries = [x for system, own in keys.items() for x in (F.lit(system), F.array(*map(F.lit, own)))]
+    known = F.create_map(*entries).cast("map<string, array<string>>")
+    return preds.withColumn("key", F.explode(F.try_element_at(known, F.col("system"))))
 
 
 def missing_systems(preds: DataFrame, registry: Mapping[str, str]) -> DataFrame:

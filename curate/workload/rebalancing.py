@@ -541,6 +541,19 @@ def augment(spark, sf_dir):
     return rebalance.augment(real_rows(spark, sf_dir), rebalance_candidates(spark, sf_dir), LOOSE)
 
 
+@query(
+    "augmented_repeats",
+    f"""WITH {_sql_synthetic(LOOSE, MAJORITY)},
+    rows AS (SELECT label, text FROM real UNION ALL SELECT label, text FROM made),
+    keyed AS (SELECT label, lower({sql_strip('text')}) AS key FROM rows)
+    SELECT label, count(*) AS n, count(DISTINCT key) AS n_distinct, count(*) - count(DISTINCT key) AS n_repeated FROM keyed GROUP BY label
+    """,
+    "corpus candidates",
+)
+def augmented_repeats(spark, sf_dir):
+    return balance.repeated_texts(augment(spark, sf_dir))
+
+
 @query(
     "bag_union",
     f"""WITH {CLEANED} SELECT text, false AS is_synthetic FROM corpus UNION ALL SELECT text, true FROM cleaned""",

@@ -282,6 +282,17 @@ def registered_systems(spark, sf_dir):
     return rows.select("key", "system", "row_id", "pred_label")
 
 
+@query(
+    "registered_under_several_keys",
+    """SELECT key, system, row_id, pred_label::INTEGER AS pred_label
+       FROM (VALUES ('first', 'A'), ('again', 'A'), ('third', 'C'), ('lost', 'Z')) r(key, system) JOIN pred USING (system)""",
+    "pred",
+)
+def registered_under_several_keys(spark, sf_dir):
+    rows = sets.registered(predictions(spark, sf_dir), _REGISTERED | {"again": "A"})
+    return rows.select("key", "system", "row_id", "pred_label")
+
+
 @query(
     "missing_systems",
     "SELECT key, system FROM (VALUES ('first', 'A'), ('third', 'C'), ('lost', 'Z')) r(key, system) WHERE system NOT IN (SELECT system FROM pred)",

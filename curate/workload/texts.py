@@ -49,6 +49,16 @@ def read_corpus(spark, sf_dir):
     return store.clean_corpus(corpus(spark, sf_dir).withColumnRenamed("label", "class"), "row_id")
 
 
+@query("read_corpus_splits", f"SELECT row_id, {sql_normalise('text')} AS text, label, {NAMED} AS label_name FROM corpus", "corpus")
+def read_corpus_splits(spark, sf_dir):
+    """The reader over two stored splits that name their columns differently."""
+    rows, path = corpus(spark, sf_dir).select("row_id", "text", "label"), scratch_path(spark, "splits")
+    odd = F.col("row_id") % 2 == 1
+    rows.where(odd).write.parquet(f"{path}/one")
+    rows.where(~odd).withColumnsRenamed({"text": "tweet", "label": "class"}).write.parquet(f"{path}/two")
+    return store.read_corpus(spark, [f"{path}/one", f"{path}/two"], row_id="row_id")
+
+
 @query(
     "normalise_text",
     "SELECT doc_id AS row_id, "

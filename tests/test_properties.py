@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from curate.functions.text import clean_line, normalise
 from curate.operators import candidates as cand
-from curate.operators import clustering, curves, gate, metrics, sampling, training
+from curate.operators import balance, clustering, curves, gate, metrics, sampling, training
 from curate.operators import vectors as vec
 from curate.operators.curves import class_areas, interpolated_precision
 from curate.operators.running import rank_by_number, running
 from curate.operators.split import stratified_split
 from curate.operators.votes import ensemble
 from curate.plans.rebalance import augment
-from curate.sources.predictions import read_predictions
+from curate.sources.predictions import read_predictions, registered
 
 
 def test_running_totals_with_a_hot_bucket(spark):
@@ -195,6 +195,7 @@ def test_long_lists_and_salts_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(gate, "BLOCK_ROWS", 4)
     monkeypatch.setattr(gate, "SALT_BLOCKS", 2)
     monkeypatch.setattr(vec, "SALT_ROWS", 20)
+    monkeypatch.setattr(vec, "SET_LISTS", 2)
     assert all_three() == short
 
 
@@ -323,3 +324,18 @@ def test_roc_turns_leave_out_points_on_a_straight_run(spark):
 
     assert thresholds() == [s for s, _ in scores]
     assert thresholds(collinear=False) == [0.9, 0.7, 0.5, 0.3]
+
+
+def test_repeated_texts_by_class(spark):
+    rows = [(0, "One text"), (0, " one TEXT "), (0, "another"), (1, "one text"), (1, None), (1, None), (None, "x")]
+    df = spark.createDataFrame(rows, "label int, text string")
+    got = {r["label"]: (r["n"], r["n_distinct"], r["n_repeated"]) for r in balance.repeated_texts(df).collect()}
+    assert got == {0: (3, 2, 1), 1: (3, 2, 1), None: (1, 1, 0)}
+    assert balance.repeated_texts(df.limit(0)).count() == 0
+
+
+def test_registry_with_several_keys_or_none(spark):
+    preds = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "system string, row_id long")
+    got = sorted((r["key"], r["system"], r["row_id"]) for r in registered(preds, {"x": "a", "y": "a", "z": "c"}).collect())
+    assert got == [("x", "a", 1), ("y", "a", 1)]
+    assert registered(preds, {}).count() == 0
