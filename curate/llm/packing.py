@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 END = 1
+COPIES = 256
+"""Equal pieces dealt to a group at once."""
 GROUP_ROWS = 8192
 """Documents of a group: enough to fill windows well, few enough for one task."""
 
@@ -113,16 +115,19 @@ def fill(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
 def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the pieces: where each one lies.
 
-    Documents are dealt to groups by a hash of their id, as many groups as ``n_docs`` needs, and each
-    group is packed by itself, so no task holds more than a few times ``group_rows`` documents, whatever
-    the table. The same rows get the same places again. Repeated rows are packed one by one.
+    Pieces are dealt to groups by a hash of id, start, length and checksum, as many groups as ``n_docs``
+    needs, and each group is packed by itself. Pieces equal in every column are counted first and dealt
+    COPIES at a time, so no task holds more than a few times ``group_rows`` documents, whatever the
+    table: one id, no id or one repeated row may be a third of it. The same rows get the same places
+    again. Repeated rows are packed one by one.
     """
     groups = max(1, ceil(n_docs / group_rows))
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     placed = ", ".join(f"`{c}` {t}" for c, t in pieces.select(names).dtypes) + ", sequence_id bigint, offset bigint"
 
     def place(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["__group"]).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table["__copies"].to_numpy())))
+        table = table.drop_columns(["__group", "__copies"]).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("length", "ascending")])
         lengths = table["length"].to_numpy()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         whole = np.flatnonzero(lengths >= capacity)
@@ -141,8 +146,11 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group_rows: i
         first = int(key[0].as_py()) << 32
         return table.append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
 
-    grouped = pieces.select(*names, F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("__group"))
-    return grouped.groupBy("__group").applyInArrow(place, placed)
+    counted = pieces.groupBy(*names).agg(F.count("*").alias("__n"))
+    dealt = counted.withColumn("__deal", F.explode(F.expr(f"sequence(0, (__n - 1) div {COPIES})")))
+    copies = F.least(F.col("__n") - F.col("__deal") * COPIES, F.lit(COPIES)).alias("__copies")
+    group = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "__deal"), F.lit(groups)).alias("__group")
+    return dealt.select(*names, copies, group).groupBy("__group").applyInArrow(place, placed)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:

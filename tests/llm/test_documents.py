@@ -209,6 +209,27 @@ def test_sequences_are_gapless_and_full(spark):
     assert packing.pack_documents(documents(spark, EMPTY)).count() == 0
 
 
+def test_rows_of_one_id_or_none_and_equal_rows_are_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 16)
+    texts = [(None, f"row number {i}", "a") for i in range(60)] + [(7, f"other {i}", "a") for i in range(60)]
+    texts += [(None, "the same row", "a")] * 700 + [(None, None, "a")] * 300
+    rows = packing.pack_documents(documents(spark, texts), group_rows=32).collect()
+    assert len(rows) == len(texts)
+    groups = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(groups) > 20 and max(groups.values()) < 160
+    assert Counter(r["ids_crc32"] for r in rows).most_common(2)[0][1] == 700
+    for kind in (lambda r: r["doc_id"] == 7, lambda r: r["doc_id"] is None and r["length"] > 1):
+        assert len({r["sequence_id"] >> 32 for r in rows if kind(r)}) > 10
+    lines = defaultdict(list)
+    for r in rows:
+        lines[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in lines.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:]))
+    again = packing.pack_documents(documents(spark, texts).repartition(3), group_rows=32).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+
+
 def test_minimum_bin_slack_against_all_subsets():
     from itertools import combinations
 
