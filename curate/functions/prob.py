@@ -38,6 +38,16 @@ def one_hot(label: Column, n: int) -> Column:
     return F.array(*[F.when(label == i, F.lit(1.0)).otherwise(F.lit(0.0)) for i in range(n)])
 
 
+def by_class(values: Column, n: int, name: str = "prob") -> Column:
+    """Generator of a row ``(cls, {name})`` for each of the ``n`` classes of an array.
+
+    A generator over a plain column makes the optimizer infer a filter on its size, which is pushed down to
+    the scan with the column's whole expression copied in, seeded draws and all. Over a list of structs of
+    its elements no filter is inferred.
+    """
+    return F.inline(F.array(*[F.struct(F.lit(c).alias("cls"), values[c].alias(name)) for c in range(n)]))
+
+
 def adjust_priors(
     probs: Column,
     n: int,

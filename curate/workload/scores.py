@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curate.constants import NO_DIFFERENCE, SAME_PREDICTIONS
-from curate.functions.prob import adjust_priors, arg_max, one_hot, softmax
+from curate.functions.prob import adjust_priors, arg_max, by_class, one_hot, softmax
 from curate.operators import curves, metrics, significance, votes
 from curate.workload.registry import query, rounded
 from curate.workload.views import N_CLASSES, logits, predictions
@@ -15,7 +15,7 @@ TRAIN = (0.31, 0.42, 0.27)
 
 
 def _long(df):
-    return df.select("system", "row_id", F.posexplode("probs").alias("cls", "prob"))
+    return df.select("system", "row_id", by_class(F.col("probs"), N_CLASSES))
 
 
 # ------------------------------------------------------------------- probability functions
@@ -79,7 +79,7 @@ def prior_correction(spark, sf_dir):
     )
     labelled = adjusted.withColumn("pred_label", arg_max(F.col("probs")))
     return rounded(
-        labelled.select("system", "row_id", "pred_label", F.posexplode("probs").alias("cls", "prob"))
+        labelled.select("system", "row_id", "pred_label", by_class(F.col("probs"), N_CLASSES))
     )
 
 
