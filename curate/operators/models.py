@@ -10,7 +10,7 @@ from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from curate.constants import CLASS_NAMES, SEED
@@ -20,6 +20,10 @@ from curate.operators.balance import class_weights, is_synthetic
 from curate.operators.metrics import core_metrics
 
 N_FEATURES = 1 << 13
+FIT_ROWS = 1 << 12
+"""Rows of a task that fits: a forest keeps 4 bytes for each feature of each row, here 134 MB."""
+FEW_ROWS = 1 << 14
+"""Up to as many rows stay dealt as they come, even if one task gets them all."""
 COMMON = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
 
 
@@ -35,17 +39,27 @@ def _tokens(df: DataFrame) -> DataFrame:
     return df.withColumn("__tokens", words(F.lower("text")))
 
 
-def weighted_rows(train: DataFrame, n_classes: int = 3, synthetic_weight: float = 1.0) -> DataFrame:
+def weighted_rows(
+    train: DataFrame, n_classes: int = 3, synthetic_weight: float = 1.0, classes: Sequence[Row] | None = None
+) -> DataFrame:
     """Add ``weight``: the class weight, times the synthetic weight on synthetic rows.
 
-    The class weights are one number per class, read once.
+    The class weights are one number per class, read once; ``classes`` are those rows, if they are known.
     """
-    by_class = {r["label"]: r["weight"] for r in class_weights(train, n_classes).collect()}
+    classes = class_weights(train, n_classes).collect() if classes is None else classes
+    by_class = {r["label"]: r["weight"] for r in classes}
     listed = F.array(*[F.lit(by_class[c] or 0.0) for c in range(n_classes)])
     sample = F.when(is_synthetic(train), F.lit(float(synthetic_weight))).otherwise(F.lit(1.0))
     return train.withColumn("weight", F.get(listed, F.col("label")) * sample)
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows over tasks whose number grows with them, so that no task's share does."""
+    if n <= FEW_ROWS:
+        return rows
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // FIT_ROWS)))
+
+
 def train_classifiers(
     train: DataFrame,
     registry: Mapping[str, Estimator] | None = None,
@@ -58,9 +72,11 @@ def train_classifiers(
     features = Pipeline(
         stages=[HashingTF(numFeatures=n_features, inputCol="__tokens", outputCol="__tf"), IDF(inputCol="__tf", outputCol="features")]
     )
-    rows = _tokens(weighted_rows(train, n_classes, synthetic_weight)).select("__tokens", "label", "weight")
+    classes = class_weights(train, n_classes).collect()
+    rows = _tokens(weighted_rows(train, n_classes, synthetic_weight, classes)).select("__tokens", "label", "weight")
     fitted = features.fit(rows)
-    ready = fitted.transform(rows).select("features", F.col("label").cast("double").alias("label"), "weight").persist()
+    ready = fitted.transform(rows).select("features", F.col("label").cast("double").alias("label"), "weight")
+    ready = dealt(ready, sum(r["n"] for r in classes)).persist()
     try:
         return {name: PipelineModel(stages=[*fitted.stages, est.fit(ready)]) for name, est in registry.items()}
     finally:
