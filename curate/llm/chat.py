@@ -50,29 +50,30 @@ def format_conversations(turns: DataFrame, trainable: str = "assistant") -> Data
     return grouped.select("conv_id", F.array_join(written, "").alias("formatted"), "replies")
 
 
-def replies_of(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turn, context_end, loss_start, loss_length, reply): one example for each assistant turn.
+def examples(formatted: DataFrame) -> DataFrame:
+    """(conv_id, turn, text, loss_start, loss_length): one written-out example for each assistant turn.
 
-    The example is the formatted text up to ``context_end``, and only its span of ``loss_length``
-    characters from ``loss_start`` is trained on; ``reply`` is that span, parsed from the text.
+    Its text is the prefix of the conversation, which is the context, with the reply as target. Only the
+    ``loss_length`` characters from ``loss_start``, the reply, are trained on.
     """
     wide = formatted.select("conv_id", "formatted", F.inline("replies"))
-    reply = unescaped(F.substr("formatted", F.col("start") + 1, F.col("length")))
-    end = F.col("start") + F.col("length") + len(CLOSE)
-    return wide.select("conv_id", "turn", end.alias("context_end"), F.col("start").alias("loss_start"), F.col("length").alias("loss_length"), reply.alias("reply"))
+    text = F.left("formatted", F.col("start") + F.col("length") + len(CLOSE))
+    return wide.select("conv_id", "turn", text.alias("text"), F.col("start").alias("loss_start"), F.col("length").alias("loss_length"))
 
 
-def losses(examples: DataFrame) -> DataFrame:
-    """(conv_id, loss): the replies of each conversation's examples in the order of their turns."""
-    said = F.sort_array(F.collect_list(F.struct("turn", "reply")))
-    return examples.groupBy("conv_id").agg(F.array_join(said["reply"], "").alias("loss"))
+def replies_of(formatted: DataFrame) -> DataFrame:
+    """(conv_id, turn, context_end, loss_start, loss_length, reply) of each of the :func:`examples`.
 
+    The example's text has ``context_end`` characters. ``reply`` is what its loss mask leaves of that text.
+    """
+    masked = F.substr("text", F.col("loss_start") + 1, F.col("loss_length"))
+    return examples(formatted).select("conv_id", "turn", F.length("text").alias("context_end"), "loss_start", "loss_length", unescaped(masked).alias("reply"))
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turn, text, loss_start, loss_length): one written-out example for each reply."""
-    wide = formatted.select("conv_id", "formatted", F.inline("replies"))
-    text = F.left("formatted", F.col("start") + F.col("length") + len(CLOSE))
-    return wide.select("conv_id", "turn", text.alias("text"), F.col("start").alias("loss_start"), F.col("length").alias("loss_length"))
+
+def losses(examples: DataFrame) -> DataFrame:
+    """(conv_id, loss): the replies of each conversation's examples from the shortest to the longest context."""
+    said = F.sort_array(F.collect_list(F.struct("context_end", "turn", "reply")))
+    return examples.groupBy("conv_id").agg(F.array_join(said["reply"], "").alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
