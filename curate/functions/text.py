@@ -51,8 +51,7 @@ def clean_line(line: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    bare = strip(text)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, rf"{SPACE}+"))
+    return F.array_remove(F.split(text, rf"{SPACE}+"), "")
 
 
 def text_key(text: Column, trim: bool = False) -> Column:

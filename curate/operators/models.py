@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF
@@ -69,18 +69,21 @@ def train_classifiers(
 ) -> dict[str, PipelineModel]:
     """Fit every registered estimator on the same weighted TF-IDF features."""
     registry = default_registry() if registry is None else registry
-    features = Pipeline(
-        stages=[HashingTF(numFeatures=n_features, inputCol="__tokens", outputCol="__tf"), IDF(inputCol="__tf", outputCol="features")]
-    )
+    counter = HashingTF(numFeatures=n_features, inputCol="__tokens", outputCol="__tf")
     classes = class_weights(train, n_classes).collect()
     rows = _tokens(weighted_rows(train, n_classes, synthetic_weight, classes)).select("__tokens", "label", "weight")
-    fitted = features.fit(rows)
-    ready = fitted.transform(rows).select("features", F.col("label").cast("double").alias("label"), "weight")
-    ready = dealt(ready, sum(r["n"] for r in classes)).persist()
+    counted = counter.transform(rows).select("__tf", F.col("label").cast("double").alias("label"), "weight")
+    # Words are counted once; what follows reads the kept counts.
+    counted = dealt(counted, sum(r["n"] for r in classes)).persist()
     try:
-        return {name: PipelineModel(stages=[*fitted.stages, est.fit(ready)]) for name, est in registry.items()}
+        idf = IDF(inputCol="__tf", outputCol="features").fit(counted)
+        ready = idf.transform(counted).select("features", "label", "weight").persist()
+        try:
+            return {name: PipelineModel(stages=[counter, idf, est.fit(ready)]) for name, est in registry.items()}
+        finally:
+            ready.unpersist()
     finally:
-        ready.unpersist()
+        counted.unpersist()
 
 
 def score(models: Mapping[str, PipelineModel], rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
