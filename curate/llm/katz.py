@@ -8,6 +8,10 @@ its part of the table, and answers each batch with the totals and with numbers f
 the next level names its histories. So an entry crosses the network once for each batch, not for
 each time it is used, in packed columns, and no table is ever whole in one place.
 
+The answers also say which entries no other batch holds. A longer run with such an entry in it is in no other
+batch either, so its batch has its whole count: after such a history nothing is asked at all, and a run that only
+ends in such an entry is told without its word, for the sums of its history.
+
 P(w | h) = d(c) c / c(h) for entries seen in training, c = c(h w), with Good-Turing discounts d for small
 counts; else backoff(h) P(w | h'), h' being h without its first word, where backoff(h) = (1 - sum of P(v | h)) /
 (1 - sum of P(v | h')), both sums over the words v seen after h, so each history's probabilities add up to 1.
@@ -31,10 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curate.llm.common import coded, words
-from curate.session import stored
+from curate.session import drop_stored, scratch_path, stored
 
 ORDER = 3
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 PART_BYTES = 12 << 20
 WORD_SHARE = 8
 """A batch has far fewer distinct words than longer runs, so their table has this many times fewer partitions."""
@@ -62,15 +66,31 @@ def packed(values: np.ndarray, kind: str | None = None) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     """The numbers; integers as 64-bit ones."""
+    if not data:
+        return np.zeros(0, np.int64)
     kind, raw = data[:3].decode(), np.frombuffer(zstandard.decompress(data[3:]), np.uint8)
     found = np.ascontiguousarray(raw.reshape(int(kind[2]), -1).T).view(kind).reshape(-1)
     return found if kind == "<f8" else found.astype(np.int64)
 
 
+def in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers that are not negative, ascending; their places)."""
+    bits = len(values).bit_length()
+    if len(values) and int(values.max()).bit_length() + bits > 63:
+        order = np.argsort(values)
+        return values[order], order
+    both = values.astype(np.int64)
+    both <<= bits
+    both |= np.arange(len(values))
+    both.sort()  # sorting places along costs more
+    line = both >> bits
+    both &= (1 << bits) - 1
+    return line, both
+
+
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values, ascending; a place of each; the distinct value of each place)."""
-    order = np.argsort(values)
-    line = values[order]
+    line, order = in_order(values)
     new = np.ones(len(line), bool)
     np.not_equal(line[1:], line[:-1], out=new[1:])
     of = np.empty(len(line), np.int32)
@@ -97,6 +117,17 @@ def summed(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data))
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Any whole numbers as differences, those below zero as odd numbers."""
+    diff = steps(values)
+    return diff << 1 ^ diff >> 63
+
+
+def undone(values: np.ndarray) -> np.ndarray:
+    """The numbers of which these are the :func:`changes`."""
+    return np.cumsum(values >> 1 ^ -(values & 1))
+
+
 # ---------------------------------------------------------------------------------- discounts
 def discounts(times: list[int]) -> np.ndarray:
     """Good-Turing factors of the counts 1 to MOST, from how many entries occur 1 to MOST + 1 times.
@@ -154,6 +185,8 @@ class Model:
 # ------------------------------------------------------------------------------------- batches
 BATCH = "batch long, docs binary, blank binary, lengths binary, train binary, codes binary, hashes binary, counts binary, top binary"
 NAMES = [f.split()[0] for f in BATCH.split(", ")]
+ASKS = ["batch", "train", "hashes", "counts"]
+"""What the word table is asked by; a row of its own (kind 1), not kept once that has answered."""
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -191,8 +224,10 @@ def batches_of(docs: DataFrame, train: Column, word_parts: int, batch_bytes: int
         waiting, size = [], 0
 
         def out() -> pa.RecordBatch:
-            row = encode(pa.Table.from_batches(waiting), base + number, word_parts)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], NAMES)
+            row = dict(zip(NAMES, encode(pa.Table.from_batches(waiting), base + number, word_parts)))
+            own, asks = ({n: row[n] for n in names} for names in ([n for n in NAMES if n not in ASKS[2:]], ASKS))
+            columns = [pa.array([own.get(n), asks.get(n)], t) for n, t in zip(NAMES, types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([0, 1], pa.int32())], [*NAMES, "kind"])
 
         for batch in found:
             at, sizes = 0, pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
@@ -209,7 +244,7 @@ def batches_of(docs: DataFrame, train: Column, word_parts: int, batch_bytes: int
         if waiting:
             yield out()
 
-    return rows.mapInArrow(gather, BATCH)
+    return rows.mapInArrow(gather, f"{BATCH}, kind int")
 
 
 # ---------------------------------------------------------------------------------- word table
@@ -255,19 +290,22 @@ def _histogram(counts: np.ndarray) -> list[int]:
 
 def add_words(parts: int) -> Callable:
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        """A partition of the word table: each batch gets the words' total counts and numbers."""
+        """A partition of the word table: each batch gets the words' total counts, whether it alone has them, and
+        their numbers, small ones for frequent words."""
         table = table.sort_by("batch")
         asked = [np.frombuffer(a, "<u8") for a in table["a"].to_pylist()]
         told = [unpacked(b) for b in table["b"].to_pylist()]
         names, which = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(which, weights=np.concatenate(told), minlength=len(names)).astype(np.int64)
-        seen = total > 0
-        place = np.where(seen, np.cumsum(seen) - 1, 0)
+        seen, place = total > 0, np.empty(len(names), np.int64)
+        place[np.argsort(-total, kind="stable")] = np.arange(len(names))
+        place *= seen
+        value = total << 1 | (np.bincount(which, minlength=len(names)) == 1)
         part, out, at = key[0].as_py(), [], 0
         for batch, words_ in zip(table["batch"].to_pylist(), asked):
             mine = which[at : at + len(words_)]
             at += len(words_)
-            out.append((part, batch, 0, packed(total[mine]), packed(place[mine])))
+            out.append((part, batch, 0, packed(value[mine]), packed(place[mine])))
         stats = [int(seen.sum()), int(total.sum()), *_histogram(total)]
         out.append((part, -1, 1, np.asarray(stats, "<i8").tobytes(), None))
         return answers(out)
@@ -276,10 +314,13 @@ def add_words(parts: int) -> Callable:
 
 
 # --------------------------------------------------------------------------- tables of longer runs
-SUMS = MOST + 2
-"""Numbers kept of a history: how many words follow it 1 to MOST times, the sum of larger counts, and
-the sum of the discounted counts that the words after it have after the shorter history."""
-QUESTION = "part int, batch long, one binary, two binary, told binary, lower binary, past binary, spread binary"
+SUMS = MOST + 1
+"""Numbers kept of a history: how many words follow it 1 to MOST times, and the sum of the discounted counts that
+the words after it have after the shorter history."""
+QUESTION = "part int, batch long, own binary, wide binary, two binary, told binary, lower binary, past binary, own_ends binary, wide_ends binary, ends_lower binary, more binary"
+"""Runs of histories of the partition (places, as differences) and of spread ones (numbers), with their words, own counts
+and counts of the runs without the first word; histories whose sums are wanted; runs told without their words; own
+counts of the batch that are told nowhere else, as a histogram."""
 
 
 @dataclass
@@ -293,6 +334,7 @@ class Tokens:
     word: np.ndarray  # codes: words, then end, then start
     count: np.ndarray
     number: np.ndarray
+    sole: np.ndarray  # whether no other batch has it
 
 
 @dataclass
@@ -306,10 +348,12 @@ class Runs:
     word: np.ndarray
     suffix: np.ndarray  # code in the level below of the run without its first word
     told: np.ndarray
-    asked: list[np.ndarray]  # runs by partition, in the order of the question
-    past: list[np.ndarray]  # histories by partition whose sums are wanted
+    asked: list[list[np.ndarray]]  # by partition, in the order of the question: runs of its histories, of spread ones,
+    # those of both kinds that are told without their words, and histories whose sums are wanted
+    more: np.ndarray  # runs in training whose histories no other batch has
     spread: np.ndarray  # of each code below: whether it is a spread history
-    count: np.ndarray  # from here on known by the answers: totals, numbers,
+    sole: np.ndarray  # whether no other batch has it, as far as known,
+    count: np.ndarray  # and from here on known by the answers: totals, numbers,
     number: np.ndarray
     below: np.ndarray  # by history, what counts after it are divided by,
     weight: np.ndarray  # and log10 of its backoff weight
@@ -325,116 +369,138 @@ def tokens_of(rows: list[dict], model: Model) -> Tokens:
     for r in replies:
         found.append((r["part"], unpacked(r["a"]), unpacked(r["b"]) * model.word_parts + r["part"] + 1))
     end = sum(len(c) for _, c, _ in found) - 1  # one answer is the end's
-    count, number, rare = np.zeros(end + 2, np.int64), np.zeros(end + 2, np.int64), len(top)
+    value, number, rare = np.zeros(end + 2, np.int64), np.zeros(end + 2, np.int64), len(top)
     for p, c, k in found:
         here = np.flatnonzero(top == p)
         if p == model.end_part:
-            count[end], number[end] = c[-1], k[-1]
+            value[end], number[end] = c[-1], k[-1]
             c, k = c[:-1], k[:-1]
         more = len(c) - len(here)
-        count[here], number[here] = c[: len(here)], k[: len(here)]
-        count[rare : rare + more], number[rare : rare + more] = c[len(here) :], k[len(here) :]
+        value[here], number[here] = c[: len(here)], k[: len(here)]
+        value[rare : rare + more], number[rare : rare + more] = c[len(here) :], k[len(here) :]
         rare += more
-    count[end + 1], number[end + 1] = model.texts, START
+    value[end + 1], number[end + 1] = model.texts << 1, START
     whole = lengths + 1
     first = np.cumsum(whole) - whole
-    word = np.insert(code, np.cumsum(lengths), end)
+    word = np.insert(code.astype(np.int32), np.cumsum(lengths), end)
     docs = pa.array(np.frombuffer(own["docs"], "<i8"), mask=unpacked(own["blank"]).astype(bool))
-    train = np.repeat(unpacked(own["train"]), whole)
-    return Tokens(docs, lengths, np.arange(len(word)) - np.repeat(first, whole), train, word, count, number)
+    train = np.repeat(unpacked(own["train"]) > 0, whole)
+    return Tokens(docs, lengths, np.arange(len(word), dtype=np.int32) - np.repeat(first.astype(np.int32), whole), train, word, value >> 1, number, (value & 1) > 0)
+
+
+def dealt(rows: np.ndarray, part: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The rows by partition; ``part`` ascends."""
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    return [rows[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def runs_of(tokens: Tokens, below: Runs | None, level: int, model: Model) -> Runs:
     """The runs of a level, by the counts and numbers of the level below (None: the words)."""
     size, parts = len(tokens.count), model.parts
     if below is None:
-        at, shorter, count, number = np.arange(len(tokens.word)), tokens.word, tokens.count, tokens.number
-        history = np.where(tokens.place > 0, np.roll(tokens.word, 1), size - 1)
+        at, shorter, count, number, sole = np.arange(len(tokens.word), dtype=np.int32), tokens.word, tokens.count, tokens.number, tokens.sole
+        history = np.where(tokens.place > 0, np.roll(tokens.word, 1), np.int32(size - 1))
     else:
-        at, shorter, count, number = np.flatnonzero(tokens.place >= level - 2), below.run_at, below.count, below.number
+        at, shorter, count, number, sole = np.flatnonzero(tokens.place >= level - 2).astype(np.int32), below.run_at, below.count, below.number, below.sole
         history = shorter[at - 1]
     # Codes in the order of the question, by partition and number, so that runs come out in it.
-    by_part, by_word = np.lexsort((number, number % parts)), np.argsort(tokens.number, kind="stable")
+    part, bits = (number % parts).astype(np.int32), size.bit_length()
+    by_part, by_word = in_order(joined(part.astype(np.int64), number // parts))[1], in_order(tokens.number)[1]
     place, place_of_word = np.empty(len(count), np.int64), np.empty(size, np.int64)
-    place[by_part], place_of_word[by_word] = np.arange(len(count)), np.arange(size)
-    key, first, of = distinct(place[history] * size + place_of_word[tokens.word[at]])
+    place[by_part], place_of_word[by_word] = np.arange(len(count)) << bits, np.arange(size)
+    key = place[history]
+    key |= place_of_word[tokens.word[at]]
+    key, first, of = distinct(key)
     run_at = np.full(len(tokens.word), -1, np.int32)
     run_at[at] = of
-    told = np.bincount(of, weights=tokens.train[at], minlength=len(key)).astype(np.int64)
-    one, two, suffix = by_part[key // size], by_word[key % size], shorter[at][first]
-    spread = count * HOT_SHARE > model.tokens
+    told = np.bincount(of[tokens.train[at]], minlength=len(key))
+    one, two, suffix = (x.astype(np.int32) for x in (by_part[key >> bits], by_word[key & (1 << bits) - 1], shorter[at[first]]))
+    del place, place_of_word, first, history
+    spread = (count * HOT_SHARE > model.tokens) & ~sole
     if below is None:
         spread[-1] = True  # the start
-    kept = (count[one] > 0) & (count[suffix] > 0)
-    own, wide = np.flatnonzero(kept & ~spread[one]), np.flatnonzero(kept & spread[one])
-    edges = np.searchsorted(number[one[own]] % parts, np.arange(parts + 1))
-    target = tokens.number[two[wide]] % parts
-    wide = wide[np.lexsort((number[one[wide]], target))]
-    wide_edges = np.searchsorted(np.sort(target), np.arange(parts + 1))
-    asked = []
-    for p in range(parts):
-        mine = np.concatenate([own[edges[p] : edges[p + 1]], wide[wide_edges[p] : wide_edges[p + 1]]])
-        asked.append(mine[np.argsort(number[one[mine]], kind="stable")].astype(np.int32))
-    past = np.unique(one[told == 0])
-    past = past[(count[past] > 0) & ~spread[past]]
-    order = np.lexsort((number[past], number[past] % parts))
-    edges = np.searchsorted(number[past[order]] % parts, np.arange(parts + 1))
-    pasts = [past[order[a:b]] for a, b in zip(edges, edges[1:])]
+    alone, ends, wide = sole[one], sole[suffix], spread[one]
+    kept = (count[one] > 0) & (count[suffix] > 0) & ~alone
+
+    def split(chosen: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Runs by partition, those of spread histories by the partitions of their words."""
+        own, far = np.flatnonzero(chosen & ~wide).astype(np.int32), np.flatnonzero(chosen & wide).astype(np.int32)
+        target = tokens.number[two[far]] % parts
+        order = np.lexsort((number[one[far]], target))
+        return dealt(own, part[one[own]], parts), dealt(far[order], target[order], parts)
+
+    past = np.zeros(len(count), bool)
+    past[one[told == 0]] = True
+    past = by_part[(past & (count > 0) & ~spread & ~sole)[by_part]]
+    asked = list(zip(*split(kept & ~ends), *split(kept & ends & (told > 0)), dealt(past, part[past], parts)))
+    more, sole = np.flatnonzero(alone & (told > 0)), alone | ends
     zero = np.zeros(len(key), np.int64)
-    one, two, suffix = (x.astype(np.int32) for x in (one, two, suffix))
-    return Runs(at, of, run_at, one, two, suffix, told, asked, pasts, spread, zero, zero.copy(), np.ones(len(count)), np.zeros(len(count)))
+    return Runs(at, of, run_at, one, two, suffix, told, asked, more, spread, sole, told * sole, zero, np.ones(len(count)), np.zeros(len(count)))
 
 
-def question(batch: int, tokens: Tokens, below: Runs | None, runs: Runs) -> pa.Table:
+def question(batch: int, tokens: Tokens, below: Runs | None, runs: Runs, parts: int) -> pa.Table:
     count, number = (tokens.count, tokens.number) if below is None else (below.count, below.number)
-    out = []
-    for part, (mine, past) in enumerate(zip(runs.asked, runs.past)):
-        if len(mine) or len(past):
-            one = number[runs.history[mine]]
-            wide = np.unique(one[runs.spread[runs.history[mine]]])
-            columns = (steps(one), tokens.number[runs.word[mine]], runs.told[mine], count[runs.suffix[mine]], steps(number[past]), steps(wide))
-            out.append((part, batch, *map(packed, columns)))
-    types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
+    out, more = [], np.asarray(_histogram(runs.told[runs.more]))
+    for part, (own, wide, own_ends, wide_ends, past) in enumerate(runs.asked):
+        here = more if part == batch % parts and more.any() else more[:0]
+        if len(own) or len(wide) or len(own_ends) or len(wide_ends) or len(past) or len(here):
+            both, ends = np.concatenate([own, wide]), np.concatenate([own_ends, wide_ends])
+            two, lower = tokens.number[runs.word[both]], count[runs.suffix[both]]
+            if below is None:  # the counts belong to the words: once for each, and frequent ones have small numbers
+                lower = changes(lower[distinct(two)[1]])
+            columns = (
+                steps(number[runs.history[own]] // parts), steps(number[runs.history[wide]]), two, runs.told[np.concatenate([both, ends])], lower,
+                steps(number[past] // parts), steps(number[runs.history[own_ends]] // parts), steps(number[runs.history[wide_ends]]), count[runs.suffix[ends]], here,
+            )
+            out.append((part, batch, *(packed(x) if len(x) else None for x in columns)))
+    names = [f.split()[0] for f in QUESTION.split(", ")]
+    types = [pa.int32(), pa.int64()] + [pa.binary()] * (len(names) - 2)
     columns = list(zip(*out)) or [[]] * len(types)
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in QUESTION.split(", ")])
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def add_runs(factors: np.ndarray, last: bool) -> Callable:
+def add_runs(factors: np.ndarray, level: int, last: bool) -> Callable:
     """``factors`` are the discounts of the level below; the last level needs no numbers."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         """A partition of a level's table: totals and numbers of the runs, and sums of the histories' words."""
         table, part = table.sort_by("batch"), key[0].as_py()
-        ones = [summed(x) for x in table["one"].to_pylist()]
-        one = np.concatenate(ones)
-        two, told, lower = (np.concatenate([unpacked(x) for x in table[c].to_pylist()]) for c in ("two", "told", "lower"))
-        _, first, which = distinct(joined(one, two))
-        total = np.bincount(which, weights=told, minlength=len(first)).astype(np.int64)
-        seen = total > 0
-        place = np.maximum(np.cumsum(seen) - 1, 0)
-        history, _, of = distinct(one[first])
+        own, wide, own_ends, wide_ends, past = ([summed(x) for x in table[c].to_pylist()] for c in ("own", "wide", "own_ends", "wide_ends", "past"))
+        two, told, lower, ends_lower, more = ([unpacked(x) for x in table[c].to_pylist()] for c in ("two", "told", "lower", "ends_lower", "more"))
+        if level == 2:
+            lower = [undone(x)[distinct(w)[2]] for x, w in zip(lower, two)]
+        # Histories are known here by their places, spread ones by their numbers beyond those.
+        base = 1 + max(int(x[-1]) for found in (own, own_ends, past, [np.zeros(1, np.int64)]) for x in found if len(x))
+        ones = [np.concatenate([x, y + base]) for x, y in zip(own, wide)]
+        ends = [np.concatenate([x, y + base]) for x, y in zip(own_ends, wide_ends)]
+        one, told_ends = np.concatenate(ones), np.concatenate([t[len(w):] for t, w in zip(told, two)])
+        _, first, which = distinct(joined(one, np.concatenate(two)))
+        total = np.bincount(which, weights=np.concatenate([t[: len(w)] for t, w in zip(told, two)]), minlength=len(first)).astype(np.int64)
+        place = np.maximum(np.cumsum(total > 0) - 1, 0)
+        times = np.concatenate([total, told_ends])
+        history, _, of = distinct(np.concatenate([one[first], *ends]))
         sums = np.zeros((len(history) + 1, SUMS))
-        mask = np.zeros(len(history), np.int64)
-        for r in range(1, MOST + 1):
-            sums[:-1, r - 1] = np.bincount(of[total == r], minlength=len(history))
-            mask |= (sums[:-1, r - 1] > 0).astype(np.int64) << (r - 1)
-        sums[:-1, MOST] = np.bincount(of, weights=total * (total > MOST), minlength=len(history))
-        sums[:-1, MOST + 1] = np.bincount(of, weights=discounted(lower[first], factors) * seen, minlength=len(history))
-        value = total << MOST | mask[of]
-        out, at = [], 0
-        for batch, asked, past in zip(table["batch"].to_pylist(), ones, table["past"].to_pylist()):
+        sums[:-1, :MOST] = np.bincount(of * np.int64(SUMS + 1) + np.minimum(times, SUMS), minlength=len(history) * (SUMS + 1)).reshape(-1, SUMS + 1)[:, 1:SUMS]
+        sums[:-1, MOST] = np.bincount(of, weights=discounted(np.concatenate([np.concatenate(lower)[first], *ends_lower]), factors) * (times > 0), minlength=len(history))
+        mask = (sums[:-1, :MOST] > 0) @ (1 << np.arange(MOST))
+        value = times << 1
+        if not last:
+            value[: len(total)] |= np.bincount(which, minlength=len(total)) == 1
+        value = value << MOST | mask[of]
+        out, at, end = [], 0, len(total)
+        for batch, asked, ended, wanted in zip(table["batch"].to_pylist(), ones, ends, past):
             mine = which[at : at + len(asked)]
-            at += len(asked)
-            past = summed(past)
-            row = np.searchsorted(history, past)
-            row = np.where(np.append(history, -1)[row] == past, row, len(history))
+            mine_ends = np.arange(end, end + len(ended))
+            at, end = at + len(asked), end + len(ended)
+            row = np.searchsorted(history, wanted)
+            row = np.where(np.append(history, -1)[row] == wanted, row, len(history))
             chosen = sums[row]
-            columns = packed(value[mine]), packed(steps(place[mine][: 0 if last else None])), packed(chosen[:, : MOST + 1].T.reshape(-1)), packed(chosen[:, MOST + 1], "<f8")
+            columns = packed(value[np.concatenate([mine, mine_ends])]), packed(changes(place[mine][: 0 if last else None])), packed(chosen[:, :MOST].T.reshape(-1)), packed(chosen[:, MOST], "<f8")
             out.append((part, batch, 0, *(len(x).to_bytes(4, "little") + x + y for x, y in (columns[:2], columns[2:]))))
-        out.append((part, -1, 1, np.asarray(_histogram(total), "<i8").tobytes(), None))
-        spread = np.concatenate([summed(x) for x in table["spread"].to_pylist()])
-        hot = np.flatnonzero(np.isin(history, spread))
-        out.append((part, -1, 2, history[hot].astype("<i8").tobytes(), sums[:-1][hot].astype("<f8").tobytes()))
+        stats = np.sum([_histogram(times), *(x for x in more if len(x))], axis=0)
+        out.append((part, -1, 1, stats.astype("<i8").tobytes(), None))
+        hot = np.flatnonzero(history >= base)
+        out.append((part, -1, 2, (history[hot] - base).astype("<i8").tobytes(), sums[:-1][hot].astype("<f8").tobytes()))
         return answers(out)
 
     return add
@@ -455,29 +521,34 @@ def learn(runs: Runs, rows: list[dict], tokens: Tokens, below: Runs | None, leve
     if below is not None:
         shorter[runs.history] = below.below[below.history[runs.suffix]]
 
-    def backoff(codes: np.ndarray, sums: np.ndarray) -> None:
-        left = sums[:, :MOST] @ (ratio * r)
+    def backoff(codes: np.ndarray, left: np.ndarray, lower: np.ndarray) -> None:
         runs.below[codes] = np.where(left > 0, count[codes], count[codes] + 1)
-        runs.weight[codes] = np.log10(np.where(left > 0, left, 1.0) / runs.below[codes]) - np.log10(1 - sums[:, MOST + 1] / shorter[codes])
+        runs.weight[codes] = np.log10(np.where(left > 0, left, 1.0) / runs.below[codes]) - np.log10(1 - lower / shorter[codes])
 
+    some = (np.arange(1 << MOST)[:, None] >> (r - 1) & 1) @ (ratio * r) > 0
     for row in rows:
-        k = row["part"]
-        mine, past = runs.asked[k], runs.past[k]
+        own, wide, own_ends, wide_ends, past = runs.asked[row["part"]]
         (value, place), (whole, low) = _two(row["a"]), _two(row["b"])
-        value = unpacked(value)
-        runs.count[mine] = value >> MOST
-        place = summed(place)
-        runs.number[mine[: len(place)]] = place * model.parts + k
-        some = ((value[:, None] >> (r - 1) & 1) * ratio > 0).any(axis=1)
+        mine, value, place = np.concatenate([own, wide, own_ends, wide_ends]), unpacked(value), undone(unpacked(place))
         codes = runs.history[mine]
-        runs.below[codes] = np.where(some, count[codes], count[codes] + 1)
+        runs.below[codes] = count[codes] + ~some[value & (1 << MOST) - 1]
+        mine, value = mine[: len(own) + len(wide)], value[: len(own) + len(wide)] >> MOST
+        runs.count[mine], runs.sole[mine] = value >> 1, value & 1
+        runs.number[mine[: len(place)]] = place * model.parts + row["part"]
         if len(past):
-            backoff(past, np.hstack([unpacked(whole).reshape(MOST + 1, -1).T.astype(float), unpacked(low)[:, None]]))
+            backoff(past, (ratio * r) @ unpacked(whole).reshape(MOST, -1), unpacked(low))
+    if len(runs.more):
+        codes, told = runs.history[runs.more], runs.told[runs.more]
+        left = np.bincount(codes, np.concatenate([[0.0], ratio * r, [0.0]])[np.minimum(told, MOST + 1)], len(count))
+        lower = np.bincount(codes, discounted(count[runs.suffix[runs.more]], model.factors[level - 2]), len(count))
+        codes = np.flatnonzero(lower)  # what follows a history has a count after the shorter one
+        backoff(codes, left[codes], lower[codes])
     if hot:
         names = np.asarray(sorted(hot), np.int64)
         at = np.minimum(np.searchsorted(names, number), len(names) - 1)
         here = np.flatnonzero((names[at] == number) & runs.spread & (count > 0))
-        backoff(here, np.stack([hot[int(k)] for k in names])[at[here]])
+        sums = np.stack([hot[int(k)] for k in names])[at[here]]
+        backoff(here, sums[:, :MOST] @ (ratio * r), sums[:, MOST])
 
 
 def levels_of(table: pa.Table, model: Model, top: int) -> tuple[Tokens, list[Runs]]:
@@ -496,7 +567,7 @@ def levels_of(table: pa.Table, model: Model, top: int) -> tuple[Tokens, list[Run
 def ask_runs(model: Model, level: int) -> Callable:
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         tokens, found = levels_of(table, model, level)
-        return question(key[0].as_py(), tokens, found[-2] if level > 2 else None, found[-1])
+        return question(key[0].as_py(), tokens, found[-2] if level > 2 else None, found[-1], model.parts)
 
     return ask
 
@@ -562,16 +633,19 @@ def katz_scores(docs: DataFrame, train: Column, batch_bytes: int = BATCH_BYTES,
     size, texts = docs.agg(F.sum(F.octet_length("text")), F.count_if(F.coalesce(train, F.lit(False)))).first()
     parts = max(1, ceil((size or 0) / part_bytes))
     word_parts, tasks = ceil(parts / WORD_SHARE), max(1, ceil((size or 0) / batch_bytes))
-    batches = stored(batches_of(docs, train, word_parts, batch_bytes), "batches")
-    asked = batches.select("batch", "train", "hashes", "counts").mapInArrow(ask_words(word_parts), "part int, batch long, a binary, b binary")
+    path = scratch_path(docs.sparkSession, "batches")
+    batches_of(docs, train, word_parts, batch_bytes).write.partitionBy("kind").parquet(path)
+    batches = docs.sparkSession.read.schema(f"{BATCH}, kind int").parquet(path)
+    asked = batches.where("kind = 1").select(ASKS).mapInArrow(ask_words(word_parts), "part int, batch long, a binary, b binary")
     found = stored(asked.repartition(word_parts, "part").groupBy("part").applyInArrow(add_words(word_parts), ANSWER), "words")
+    drop_stored(docs.sparkSession, f"{path}/kind=1")
     distinct, tokens, *times = totals(found, MOST + 3)
     model = Model.of(parts, word_parts, int(texts), distinct, tokens, times)
 
     empty = F.lit(None).cast("binary")
     kept = ["docs", "blank", "lengths", "train", "codes", "top"]
     columns = ["batch", "part", "step", *kept, "a", "b"]
-    known = batches.withColumns({"part": F.lit(-1), "step": F.lit(0), "a": empty, "b": empty}).select(columns)
+    known = batches.where("kind = 0").withColumns({"part": F.lit(-1), "step": F.lit(0), "a": empty, "b": empty}).select(columns)
 
     def with_answers(found: DataFrame, step: int) -> DataFrame:
         return known.unionByName(found.where("kind = 0").withColumns({c: empty for c in kept} | {"step": F.lit(step)}).select(columns))
@@ -579,7 +653,7 @@ def katz_scores(docs: DataFrame, train: Column, batch_bytes: int = BATCH_BYTES,
     known = with_answers(found, 1)
     for level in range(2, order + 1):
         questions = known.repartition(tasks, "batch").groupBy("batch").applyInArrow(ask_runs(model, level), QUESTION)
-        found = stored(questions.repartition(parts, "part").groupBy("part").applyInArrow(add_runs(model.factors[-1], level == order), ANSWER), "runs")
+        found = stored(questions.repartition(parts, "part").groupBy("part").applyInArrow(add_runs(model.factors[-1], level, level == order), ANSWER), "runs")
         factors = discounts(totals(found, MOST + 1))
         model = replace(model, factors=(*model.factors, factors), spread=(*model.spread, spread_sums(found)))
         known = with_answers(found, level)

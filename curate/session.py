@@ -58,6 +58,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Delete a stored stage, or a part of one, that no later stage reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clear_stored(spark: SparkSession) -> int:
     """Delete the stages that this driver stored so far; returns how many there were.
 
@@ -65,6 +71,5 @@ def clear_stored(spark: SparkSession) -> int:
     """
     paths = _STORED.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        drop_stored(spark, path)
     return len(paths)
