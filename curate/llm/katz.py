@@ -40,8 +40,10 @@ from curate.session import drop_stored, scratch_path, stored
 ORDER = 3
 BATCH_BYTES = 4 << 20
 PART_BYTES = 12 << 20
-WORD_SHARE = 8
+WORD_SHARE = 4
 """A batch has far fewer distinct words than longer runs, so their table has this many times fewer partitions."""
+TASK_SHARE = 3
+"""Batches or partitions that a task handles, one after another: fewer files and blocks of exchanges."""
 TOP = 1 << 16
 MOST = 5
 """Counts up to this one are discounted."""
@@ -465,23 +467,29 @@ def add_runs(factors: np.ndarray, level: int, last: bool) -> Callable:
     def add(key: tuple, table: pa.Table) -> pa.Table:
         """A partition of a level's table: totals and numbers of the runs, and sums of the histories' words."""
         table, part = table.sort_by("batch"), key[0].as_py()
-        own, wide, own_ends, wide_ends, past = ([summed(x) for x in table[c].to_pylist()] for c in ("own", "wide", "own_ends", "wide_ends", "past"))
-        two, told, lower, ends_lower, more = ([unpacked(x) for x in table[c].to_pylist()] for c in ("two", "told", "lower", "ends_lower", "more"))
-        if level == 2:
-            lower = [undone(x)[distinct(w)[2]] for x, w in zip(lower, two)]
+
+        def column(name: str) -> Iterator[np.ndarray]:
+            return map(unpacked, table[name].to_pylist())
+
+        own, wide, own_ends, wide_ends, past = ([np.cumsum(x) for x in column(c)] for c in ("own", "wide", "own_ends", "wide_ends", "past"))
         # Histories are known here by their places, spread ones by their numbers beyond those.
         base = 1 + max(int(x[-1]) for found in (own, own_ends, past, [np.zeros(1, np.int64)]) for x in found if len(x))
         ones = [np.concatenate([x, y + base]) for x, y in zip(own, wide)]
         ends = [np.concatenate([x, y + base]) for x, y in zip(own_ends, wide_ends)]
-        one, told_ends = np.concatenate(ones), np.concatenate([t[len(w):] for t, w in zip(told, two)])
-        _, first, which = distinct(joined(one, np.concatenate(two)))
-        total = np.bincount(which, weights=np.concatenate([t[: len(w)] for t, w in zip(told, two)]), minlength=len(first)).astype(np.int64)
+        del own, wide, own_ends, wide_ends
+        one = np.concatenate(ones)
+        first, which = distinct(joined(one, np.concatenate(list(column("two")))))[1:]
+        one, told = one[first], list(column("told"))  # columns are unpacked when their turn comes: one at a time
+        total = np.bincount(which, weights=np.concatenate([t[: len(x)] for t, x in zip(told, ones)]), minlength=len(first)).astype(np.int64)
+        told = np.concatenate([t[len(x):] for t, x in zip(told, ones)])
+        lower = column("lower") if level > 2 else (undone(x)[distinct(w)[2]] for x, w in zip(column("lower"), column("two")))
+        lower = np.concatenate([np.concatenate(list(lower))[first], *column("ends_lower")])
         place = np.maximum(np.cumsum(total > 0) - 1, 0)
-        times = np.concatenate([total, told_ends])
-        history, _, of = distinct(np.concatenate([one[first], *ends]))
+        times = np.concatenate([total, told])
+        history, _, of = distinct(np.concatenate([one, *ends]))
         sums = np.zeros((len(history) + 1, SUMS))
         sums[:-1, :MOST] = np.bincount(of * np.int64(SUMS + 1) + np.minimum(times, SUMS), minlength=len(history) * (SUMS + 1)).reshape(-1, SUMS + 1)[:, 1:SUMS]
-        sums[:-1, MOST] = np.bincount(of, weights=discounted(np.concatenate([np.concatenate(lower)[first], *ends_lower]), factors) * (times > 0), minlength=len(history))
+        sums[:-1, MOST] = np.bincount(of, weights=discounted(lower, factors) * (times > 0), minlength=len(history))
         mask = (sums[:-1, :MOST] > 0) @ (1 << np.arange(MOST))
         value = times << 1
         if not last:
@@ -497,7 +505,7 @@ def add_runs(factors: np.ndarray, level: int, last: bool) -> Callable:
             chosen = sums[row]
             columns = packed(value[np.concatenate([mine, mine_ends])]), packed(changes(place[mine][: 0 if last else None])), packed(chosen[:, :MOST].T.reshape(-1)), packed(chosen[:, MOST], "<f8")
             out.append((part, batch, 0, *(len(x).to_bytes(4, "little") + x + y for x, y in (columns[:2], columns[2:]))))
-        stats = np.sum([_histogram(times), *(x for x in more if len(x))], axis=0)
+        stats = np.sum([_histogram(times), *(x for x in column("more") if len(x))], axis=0)
         out.append((part, -1, 1, stats.astype("<i8").tobytes(), None))
         hot = np.flatnonzero(history >= base)
         out.append((part, -1, 2, (history[hot] - base).astype("<i8").tobytes(), sums[:-1][hot].astype("<f8").tobytes()))
@@ -560,6 +568,7 @@ def levels_of(table: pa.Table, model: Model, top: int) -> tuple[Tokens, list[Run
         runs = runs_of(tokens, below, level, model)
         if len(model.factors) >= level:
             learn(runs, [r for r in rows if r["step"] == level], tokens, below, level, model)
+            runs.asked, runs.told, runs.more = [], runs.told[:0], runs.more[:0]  # answered
         found.append(runs)
     return tokens, found
 
@@ -632,12 +641,13 @@ def katz_scores(docs: DataFrame, train: Column, batch_bytes: int = BATCH_BYTES,
     """
     size, texts = docs.agg(F.sum(F.octet_length("text")), F.count_if(F.coalesce(train, F.lit(False)))).first()
     parts = max(1, ceil((size or 0) / part_bytes))
-    word_parts, tasks = ceil(parts / WORD_SHARE), max(1, ceil((size or 0) / batch_bytes))
+    word_parts, part_tasks = ceil(parts / WORD_SHARE), ceil(parts / TASK_SHARE)
+    tasks = max(1, ceil((size or 0) / batch_bytes / TASK_SHARE))
     path = scratch_path(docs.sparkSession, "batches")
     batches_of(docs, train, word_parts, batch_bytes).write.partitionBy("kind").parquet(path)
     batches = docs.sparkSession.read.schema(f"{BATCH}, kind int").parquet(path)
     asked = batches.where("kind = 1").select(ASKS).mapInArrow(ask_words(word_parts), "part int, batch long, a binary, b binary")
-    found = stored(asked.repartition(word_parts, "part").groupBy("part").applyInArrow(add_words(word_parts), ANSWER), "words")
+    found = stored(asked.repartition(ceil(word_parts / TASK_SHARE), "part").groupBy("part").applyInArrow(add_words(word_parts), ANSWER), "words")
     drop_stored(docs.sparkSession, f"{path}/kind=1")
     distinct, tokens, *times = totals(found, MOST + 3)
     model = Model.of(parts, word_parts, int(texts), distinct, tokens, times)
@@ -653,7 +663,7 @@ def katz_scores(docs: DataFrame, train: Column, batch_bytes: int = BATCH_BYTES,
     known = with_answers(found, 1)
     for level in range(2, order + 1):
         questions = known.repartition(tasks, "batch").groupBy("batch").applyInArrow(ask_runs(model, level), QUESTION)
-        found = stored(questions.repartition(parts, "part").groupBy("part").applyInArrow(add_runs(model.factors[-1], level, level == order), ANSWER), "runs")
+        found = stored(questions.repartition(part_tasks, "part").groupBy("part").applyInArrow(add_runs(model.factors[-1], level, level == order), ANSWER), "runs")
         factors = discounts(totals(found, MOST + 1))
         model = replace(model, factors=(*model.factors, factors), spread=(*model.spread, spread_sums(found)))
         known = with_answers(found, level)
